@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def squared_l2(left: Column, right: Column) -> Column:
@@ -17,7 +18,7 @@ def squared_l2(left: Column, right: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def squared_l2_batched(left: pd.Series, right: pd.Series) -> pd.Series:
     """The same distance over Arrow batches, one numpy operation per batch."""
     if not len(left):
