@@ -185,8 +185,8 @@ def query(body: str, *needs: str, **blocks: str) -> str:
 
 def distance(left: str, right: str) -> str:
     return (
-        f"list_sum(list_transform(list_zip({left}, {right}), "
-        "p -> pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))"
+        f"list_sum([pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2) "
+        f"FOR p IN list_zip({left}, {right})])"
     )
 
 

@@ -36,7 +36,11 @@ def nearest(
     if not isinstance(vector, Column):
         vector = F.lit([float(x) for x in vector])
     candidates = index if predicate is None else index.where(predicate)
-    scored = candidates.withColumn("distance", squared_l2(F.col("embedding"), vector))
+    scored = (
+        candidates.withColumn("_vector", vector)
+        .withColumn("distance", squared_l2(F.col("embedding"), F.col("_vector")))
+        .drop("_vector")
+    )
     return ranked_top(scored, [F.col("distance").asc(), F.col(key).asc()], k, "rank")
 
 

@@ -38,7 +38,7 @@ def joined_text(
     """
 
     def join(frame: DataFrame, by: list[str], sort: list[str]) -> DataFrame:
-        row = F.struct(*[F.col(column) for column in sort], F.col(text))
+        row = F.struct(*dict.fromkeys([*sort, text]))
         return frame.groupBy(*by).agg(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(row)), lambda item: item[text]), separator
