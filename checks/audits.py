@@ -165,7 +165,18 @@ def _filters(questions):
     )
 
 
+_DESKS: dict[tuple[str, str], Desk] = {}
+
+
 def desk(spark, sf) -> Desk:
+    """The evidence tables of a data set, written once per application and shared by the checks."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DESKS:
+        _DESKS[key] = _build_desk(spark, sf)
+    return _DESKS[key]
+
+
+def _build_desk(spark, sf) -> Desk:
     # Each table below is read by many later checks, so the scans behind it should run once.
     complaints = cut_lineage(narratives(spark, sf).drop("consumer_complaint_narrative"))
     questions = cut_lineage(_questions(spark, sf, complaints))
