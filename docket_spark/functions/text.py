@@ -16,13 +16,23 @@ SPACE_SEPARATORS = "".join(
 WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def trim_spaces(value: Column) -> Column:
+    """Text without surrounding space separators.
+
+    Pure ASCII text, recognised by one byte per character, only needs the plain trim, which does
+    not look at the middle of the text.
+    """
+    ascii_only = F.octet_length(value) == F.length(value)
+    return F.when(ascii_only, F.trim(value)).otherwise(F.btrim(value, F.lit(SPACE_SEPARATORS)))
+
+
 def blank_to_null(value: Column) -> Column:
     """Text without surrounding spaces; NULL when nothing is left."""
-    return F.nullif(F.btrim(value.cast("string"), F.lit(SPACE_SEPARATORS)), F.lit(""))
+    return F.nullif(trim_spaces(value.cast("string")), F.lit(""))
 
 
 def is_nonblank(value: Column) -> Column:
-    return F.coalesce(F.length(F.btrim(value, F.lit(SPACE_SEPARATORS))) > 0, F.lit(False))
+    return F.coalesce(trim_spaces(value) != "", F.lit(False))
 
 
 def yes_no(value: Column) -> Column:

@@ -25,13 +25,16 @@ def registry_entries(registry=COMPANY_REGISTRY) -> dict[str, tuple[str, str | No
 
 
 def brand_of(key: Column, registry=COMPANY_REGISTRY) -> Column:
-    """Brand of a company key, NULL when the key is not curated."""
-    branches = [
-        F.when(key == entry, F.lit(brand))
+    """Brand of a company key, NULL when the key is not curated.
+
+    A constant map, so that the key, itself a pattern replacement, is evaluated once per row.
+    """
+    pairs = [
+        F.lit(part)
         for entry, (_, brand, _) in registry_entries(registry).items()
-        if brand is not None
+        for part in (entry, brand)
     ]
-    return F.coalesce(*branches)
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def identity_table(spark: SparkSession, registry=COMPANY_REGISTRY) -> DataFrame:

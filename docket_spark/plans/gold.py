@@ -109,32 +109,25 @@ def written_totals(tables: dict[str, DataFrame]) -> dict[str, int]:
     return {row["table_name"]: row["total"] for row in totals.collect()}
 
 
-def _write(frame: DataFrame, path: str) -> None:
-    # One folder per month serves month filters and month-wise refresh. Rebalancing lets adaptive
-    # execution split a large month and merge small ones.
-    frame.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
+def write_metric_table(frame: DataFrame, path: str) -> None:
+    # Months lie together inside every file, so a month range skips row groups by their
+    # statistics; a folder per month would only add small files to tables this size.
+    frame.sortWithinPartitions(MONTH).write.parquet(path)
 
 
 def write_metric_tables(spark: SparkSession, silver: DataFrame, folder: str) -> None:
     """Base tables from complaints first; the rest read the written detail table."""
     base = [name for name in METRIC_TABLES if not derives_from_detail(name)]
     for name in base:
-        _write(metrics_from_complaints(silver, name), f"{folder}/{name}")
+        write_metric_table(metrics_from_complaints(silver, name), f"{folder}/{name}")
     detail = read_metric_table(spark, folder, DETAIL)
     for name in METRIC_TABLES:
         if name not in base:
-            _write(metrics_from_detail(detail, name), f"{folder}/{name}")
+            write_metric_table(metrics_from_detail(detail, name), f"{folder}/{name}")
 
 
 def read_metric_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    measures = (
-        "complaint_count bigint, timely_response_count bigint, "
-        "timely_response_known_count bigint, timely_response_rate double"
-    )
-    fields = ", ".join(
-        f"{column} {'date' if column == MONTH else 'string'}" for column in METRIC_TABLES[name]
-    )
-    return spark.read.schema(f"{fields}, {measures}").parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def read_metric_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from docket_spark.constants import COMPANY_REGISTRY, SOURCE_COLUMNS
 from docket_spark.functions.dates import parse_date
 from docket_spark.functions.text import blank_to_null, company_key, yes_no
-from docket_spark.operators.profiling import null_profile, require_columns
+from docket_spark.operators.profiling import require_columns
 from docket_spark.operators.ranking import first_rows
 from docket_spark.plans.companies import brand_of
 from docket_spark.plans.publish import publish_generation, read_current, require_separate
 from docket_spark.sources.complaints import ROW_ORDER
 
 TABLE = "complaints"
+SUPERSEDED = "superseded"
 DATE_COLUMNS = ("date_received", "date_sent_to_company")
 SILVER_COLUMNS = (
     "complaint_id",
@@ -70,6 +71,25 @@ def canonical(cleaned: DataFrame, order: Sequence[Column] | None = None) -> Data
     return first_rows(cleaned, ["complaint_id"], order or [F.col(ROW_ORDER).asc()])
 
 
+def superseded(cleaned: DataFrame) -> DataFrame:
+    """Rows that lose to an earlier row of the same complaint id, with the row that is kept.
+
+    Needs a unique row order and no NULL ids. Only ids and positions are shuffled, and counts are
+    combined before that, so neither wide rows nor a very frequent id weigh on the exchange.
+    """
+    narrow = cleaned.select("complaint_id", ROW_ORDER)
+    repeated = (
+        narrow.groupBy("complaint_id")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(ROW_ORDER).alias("kept_row"))
+        .where(F.col("_n") > 1)
+    )
+    return (
+        narrow.join(repeated, "complaint_id")
+        .where(F.col(ROW_ORDER) > F.col("kept_row"))
+        .select("complaint_id", ROW_ORDER, "kept_row")
+    )
+
+
 def typed(rows: DataFrame, registry=COMPANY_REGISTRY) -> DataFrame:
     """Typed silver columns of cleaned rows."""
     key = company_key(F.col("company"))
@@ -92,14 +112,18 @@ def silver_table(
 
 
 def quality_report(silver: DataFrame, source_rows: int, invalid_rows: int) -> dict[str, Any]:
-    silver_rows = silver.count()
+    counts = silver.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(F.col(name).isNull()).alias(name) for name in silver.columns],
+    ).first()
+    silver_rows = counts["_rows"]
     return {
         "source_rows": source_rows,
         "silver_rows": silver_rows,
         "duplicate_rows_skipped": source_rows - silver_rows,
         "duplicate_policy": "first row in source order wins after trimming the complaint id",
         "invalid_rows": invalid_rows,
-        "null_counts": {r["column_name"]: r["null_count"] for r in null_profile(silver).collect()},
+        "null_counts": {name: counts[name] for name in silver.columns if counts[name]},
         "brand_alias_counts": {
             r["brand_name"]: r["complaint_count"] for r in brand_counts(silver).collect()
         },
@@ -137,11 +161,18 @@ def rebuild_silver(spark: SparkSession, bronze_root: str, root: str) -> dict[str
     ).first()
     if checked["invalid_rows"]:
         raise ValueError(f"source contains {checked['invalid_rows']} invalid canonical records")
-    silver = typed(canonical(cleaned))
+
+    def write(folder: str) -> None:
+        # The losing rows are written first: their real size then decides how they are joined,
+        # and when they are few the wide rows are filtered where they lie.
+        superseded(cleaned).write.parquet(f"{folder}/{SUPERSEDED}")
+        lost = spark.read.parquet(f"{folder}/{SUPERSEDED}").select(ROW_ORDER)
+        typed(cleaned.join(lost, ROW_ORDER, "left_anti")).write.parquet(f"{folder}/{TABLE}")
+
     return publish_generation(
         spark,
         root,
-        lambda folder: silver.write.parquet(f"{folder}/{TABLE}"),
+        write,
         lambda folder: quality_report(
             spark.read.parquet(f"{folder}/{TABLE}"),
             checked["source_rows"],

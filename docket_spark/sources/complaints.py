@@ -15,30 +15,20 @@ ROW_ORDER = "_row_order"
 def read_snapshot(
     spark: SparkSession, path: str, fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    """A raw snapshot with a stable row order column.
+    """A raw snapshot with a unique row order column.
 
-    Parquet files know the position of every row, so file name and position give an order that is
-    the same on every read. Text formats are read with the fixed schema; their order is the one
-    Spark reads them in and becomes permanent when the snapshot is landed.
+    The order is that in which Spark reads the files. It costs no shuffle and becomes permanent
+    when the snapshot is landed; later stages only use landed snapshots. Text formats are read
+    with the fixed schema.
     """
     reader = spark.read.options(**options)
     if fmt == "parquet":
         frame = reader.parquet(path)
-        order = F.struct(
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.row_index").cast("long").alias("row"),
-        )
     elif fmt in {"csv", "json", "orc"}:
         frame = reader.format(fmt).schema(SNAPSHOT_SCHEMA).load(path)
-        order = F.struct(
-            F.col("_metadata.file_name").alias("file"),
-            F.monotonically_increasing_id().alias("row"),
-        )
     else:
         raise ValueError(f"unsupported snapshot format: {fmt}")
-    if ROW_ORDER in frame.columns:
-        return frame
-    return frame.withColumn(ROW_ORDER, order)
+    return frame.withColumn(ROW_ORDER, F.monotonically_increasing_id())
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

@@ -21,6 +21,7 @@ from docket_spark.plans.gold import (
     dated,
     metrics_from_complaints,
     read_metric_tables,
+    write_metric_table,
     written_totals,
 )
 from docket_spark.plans.publish import current_folder, publish_generation, read_current
@@ -99,7 +100,7 @@ def refresh_gold(
     def write(folder: str) -> None:
         for name in METRIC_TABLES:
             table = refreshed_metrics(previous[name], new_silver, months, name)
-            table.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(f"{folder}/{name}")
+            write_metric_table(table, f"{folder}/{name}")
 
     def report(folder: str) -> dict[str, Any]:
         totals = written_totals(read_metric_tables(spark, folder))
@@ -198,12 +199,12 @@ def refresh_stream(
     stream = (
         spark.readStream.schema(SNAPSHOT_SCHEMA)
         .parquet(arrivals)
-        .withColumn(
-            ROW_ORDER,
+        .select(
+            "*",
             F.struct(
                 F.col("_metadata.file_name").alias("file"),
                 F.col("_metadata.row_index").alias("row"),
-            ),
+            ).alias(ROW_ORDER),
         )
     )
 
