@@ -393,11 +393,11 @@ def _(spark, sf):
         "claim_no",
         "kind",
         "template",
-        "row_index",
+        F.col("row_index").cast("bigint").alias("row_index"),
         F.array_join("columns", ",").alias("cols"),
         "complaint_id",
         "quote",
-        F.when(F.col("themes").isNotNull(), F.size("themes")).alias("theme_count"),
+        F.when(F.col("themes").isNotNull(), F.size("themes").cast("bigint")).alias("theme_count"),
     )
 
 
@@ -603,7 +603,7 @@ def _(spark, sf):
     "aud_answer_constraints",
     sql.query(
         "SELECT count(*) FILTER (WHERE trim(question_id) = '') AS blank_question_ids, count(*) "
-        "FILTER (WHERE trim(answer) = '') AS blank_answers, 0 AS invalid_citations, count(*) FILTER "
+        "FILTER (WHERE trim(answer) = '') AS blank_answers, CAST(0 AS BIGINT) AS invalid_citations, count(*) FILTER "
         f"(WHERE abstained AND citations <> '') AS cited_abstentions FROM ({_ANSWERS})",
         "idx",
         **DESK,

@@ -48,8 +48,7 @@ _MONTHS = (
 @register("inc_affected_months", sql.query(_MONTHS, "cleaned", **_BLOCKS))
 def _(spark, sf):
     old, fresh = _sides(spark, sf)
-    changes = refresh.changed_complaints(old, refresh.merge(old, fresh))
-    return refresh.affected_months(changes)
+    return refresh.affected_months(refresh.changes_from_arrivals(old, fresh))
 
 
 @register(
@@ -65,7 +64,7 @@ def _(spark, sf):
 def _(spark, sf):
     old, fresh = _sides(spark, sf)
     new = refresh.merge(old, fresh)
-    months = refresh.affected_months(refresh.changed_complaints(old, new))
+    months = refresh.affected_months(refresh.changes_from_arrivals(old, fresh))
     table = "company_month_metrics"
     previous = gold_plan.metrics_from_complaints(old, table)
     return rounded(

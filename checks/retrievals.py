@@ -28,6 +28,11 @@ _PREDICATE = (
 )
 
 
+def _long(name):
+    """A rank in the integer type the oracle counts in."""
+    return F.col(name).cast("bigint").alias(name)
+
+
 def anchor(spark, sf, vec_id=7):
     """One stored vector as the query vector, as a scalar subquery."""
     return (
@@ -65,7 +70,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     hits = retrieval.retrieve(index(spark, sf), anchor(spark, sf), FILTERS, 10)
-    return rounded(hits.select("rank", "complaint_id", "distance"), "distance")
+    return rounded(hits.select(_long("rank"), "complaint_id", "distance"), "distance")
 
 
 @register(
@@ -81,7 +86,7 @@ def _(spark, sf):
 def _(spark, sf):
     filters = retrieval.NarrativeFilters(issue="en")
     hits = retrieval.retrieve_diverse(index(spark, sf), anchor(spark, sf), filters)
-    return hits.select("position", "complaint_id", "issue", "sub_issue")
+    return hits.select(_long("position"), "complaint_id", "issue", "sub_issue")
 
 
 # One request per customer segment and region: the vector of the segment's first customer's nation.
@@ -120,7 +125,7 @@ _BATCHED = sql.query(
 @register("ret_keyed_topk", _BATCHED)
 def _(spark, sf):
     hits = nearest_by_key(index(spark, sf), _requests(spark, sf), ["product", "state"], 5)
-    return rounded(hits.select("question_id", "rank", "complaint_id", "distance"), "distance")
+    return rounded(hits.select("question_id", _long("rank"), "complaint_id", "distance"), "distance")
 
 
 @register("ret_batch_topk", _BATCHED)
@@ -128,7 +133,7 @@ def _(spark, sf):
     hits = nearest_batch(
         index(spark, sf), _requests(spark, sf), 5, filters=("product", "state"), block_bytes=8192
     )
-    return rounded(hits.select("question_id", "rank", "complaint_id", "distance"), "distance")
+    return rounded(hits.select("question_id", _long("rank"), "complaint_id", "distance"), "distance")
 
 
 @register(
@@ -221,7 +226,7 @@ def _(spark, sf):
     kept = diversify(
         documents_as_evidence(spark, sf), "question_id", ["lang", "length_class"], "rank", 12
     )
-    return kept.select("question_id", "position", F.col("rank").alias("doc_id"))
+    return kept.select("question_id", _long("position"), F.col("rank").alias("doc_id"))
 
 
 @register(
@@ -240,7 +245,7 @@ def _(spark, sf):
     quoted = documents_as_evidence(spark, sf).withColumn("quote", bounded_quote(F.col("text")))
     quoted = quoted.withColumn("print", quote_fingerprint(F.col("quote")))
     return pick_examples(quoted, "question_id", "complaint_id", "quote", "print", "rank", 3).select(
-        "question_id", "example_no", "complaint_id", "quote"
+        "question_id", _long("example_no"), "complaint_id", "quote"
     )
 
 
@@ -258,7 +263,7 @@ def _(spark, sf):
         F.concat(F.lit("  "), "source", F.lit(" ")).alias("sub_issue"),
     )
     return evidence.themes(items).select(
-        "question_id", "theme_no", "issue", "sub_issue", "retrieved_count"
+        "question_id", _long("theme_no"), "issue", "sub_issue", "retrieved_count"
     )
 
 

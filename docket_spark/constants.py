@@ -169,3 +169,81 @@ AUDITED_FIELDS = (
     "state",
     "company_response",
 )
+
+# --- Fixed values: reasons an audit reports, and their parts. ---
+REASONS = {
+    "missing_structured": "required structured evidence is missing",
+    "missing_narrative": "required narrative evidence is missing",
+    "complaint_id": "Complaint ID '",
+    "missing_metadata": "is missing metadata ",
+    "mismatched_filter": "mismatches filter ",
+    "invalid_timely": "has invalid timely_response metadata",
+    "mismatched_timely": "mismatches filter timely_response",
+    "invalid_date": "has invalid date_received metadata",
+    "before_start": "predates retrieval start",
+    "outside_end": "is outside retrieval end",
+    "not_canonical": "is not canonical decimal",
+    "duplicated_evidence": "is duplicated in evidence",
+    "unknown_kind": "unsupported claim kind: ",
+    "one_row_reference": "quantitative claim requires exactly one structured reference",
+    "absent_row": "structured row reference does not exist",
+    "no_column": "structured reference requires at least one column",
+    "absent_column": "structured column reference does not exist",
+    "exact_columns": " requires exact ordered structured columns",
+    "total_row": "comparison total must reference the total row",
+    "driver_row": "issue driver must reference a driver row",
+    "one_citation": "narrative claim requires exactly one narrative reference",
+    "not_in_evidence": "is not in evidence",
+    "duplicated": "is duplicated",
+    "not_in_excerpt": "is not in excerpt",
+    "theme_references": "sample theme must not contain row or complaint references",
+    "theme_size": "sample theme requires between one and three repeated labels",
+    "theme_mismatch": "sample themes do not match repeated retrieved metadata",
+    "limitation_references": "limitation claim must not contain evidence references",
+    "one_theme_claim": "sample themes require exactly one repeated-label summary",
+    "no_theme_claim": "sample theme summary requires repeated retrieved labels",
+    "sample_templates": "sample theme narratives require sample_complaint templates",
+    "no_interpretation": "sample themes do not allow free-form interpretations",
+    "allowed_limitations": "sample themes require allowlisted limitations",
+    "too_many_citations": "narrative examples exceed the maximum of three citations",
+    "no_citation": "narrative answer has no accepted citations",
+    "no_denominator": "known-response denominator interpretation is missing",
+    "claim_kind": "claim kind ",
+    "disallowed_template": " does not allow template ",
+    "quote": "quote for ",
+}
+SEQUENCE_REASONS = {
+    "response_distribution": (
+        "response distribution requires response_category_row for every row in order"
+    ),
+    "ranked_issues": (
+        "ranked issues require ranked_issue_row for bounded rows in order"
+    ),
+    "trend_drivers": (
+        "trend drivers require one comparison_total followed by issue_driver rows in order"
+    ),
+    "quarter_drivers": (
+        "trend drivers require one comparison_total followed by issue_driver rows in order"
+    ),
+}
+
+# --- Fixed values: parts of rendered sentences. ---
+SENTENCES = {
+    "complaints": "complaints ",
+    "share_of": "% of ",
+    "were": "Complaints were ",
+    "baseline": " in the baseline {span} versus ",
+    "comparison": " in the comparison {span}, a change of ",
+    "driver": "Driver ",
+    "change": ": change ",
+    "returned": "The executed analysis returned: ",
+    "among_examples": "Among the retrieved examples, ",
+    "complaint": "Complaint ",
+    "reported": " reported: “",
+    "themes": "Among the retrieved examples, repeated issue/sub-issue labels were: ",
+    "limitation": "Limitation: ",
+    "interpretations": "Interpretation: ",
+    "limitations": "Limitations: ",
+    "unresolved": "The explicit company or brand '",
+    "unresolved_end": "' could not be resolved.",
+}

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket_spark.constants import SENTENCES
 from docket_spark.functions.text import WHITESPACE
 
 # --- Fixed values: markers in a rendered answer. ---
-INTERPRETATION = "Interpretation: "
-LIMITATIONS = "Limitations: "
 QUOTATION = "Complaint ([0-9]+) reported: [“\"]([^”\"]*)[”\"]"
 DISPLAY_LABELS = ("issue", "sub_issue", "company_response_to_consumer", "company")
 DISPLAY_ROWS = 5
@@ -31,8 +30,8 @@ def _split_tail(text: Column, marker: str) -> tuple[Column, Column]:
 
 def parse_answer(answers: DataFrame, text: str = "answer") -> DataFrame:
     """Body sentences, quotations and the two tails of every rendered answer."""
-    body, limitations = _split_tail(F.coalesce(F.col(text), F.lit("")), LIMITATIONS)
-    body, interpretation = _split_tail(body, INTERPRETATION)
+    body, limitations = _split_tail(F.coalesce(F.col(text), F.lit("")), SENTENCES["limitations"])
+    body, interpretation = _split_tail(body, SENTENCES["interpretations"])
     step = answers.withColumns(
         {"_body": body, "interpretation": interpretation, "limitations": limitations}
     )

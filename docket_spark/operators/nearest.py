@@ -96,7 +96,8 @@ def nearest_batch(
             F.lit(None).cast("string").alias(request), key, F.lit(None).cast("double").alias("distance")
         ).where(F.lit(False))
         return first_rows(found, [request], [F.col("distance"), F.col(key)], k, "rank")
-    per_block = max(1, block_bytes // (8 * widths["width"]))
+    # Hashing fills blocks unevenly, so they are planned at half the allowed size.
+    per_block = max(1, block_bytes // (2 * 8 * widths["width"]))
     blocks = -(-widths["n"] // per_block)
     columns = [request, "query_vector", *filters]
     numbered = requests.select(*columns).withColumn(

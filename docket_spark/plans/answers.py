@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket_spark.constants import NO_NARRATIVES_REASON, NO_ROWS_REASON, REJECTED_PREFIX
+from docket_spark.constants import (
+    NO_NARRATIVES_REASON,
+    NO_ROWS_REASON,
+    REJECTED_PREFIX,
+    SENTENCES,
+)
 from docket_spark.functions.text import is_nonblank
 
 
@@ -49,9 +54,9 @@ def answer_records(
         .when(
             unresolved,
             F.concat(
-                F.lit("The explicit company or brand '"),
+                F.lit(SENTENCES["unresolved"]),
                 "company_or_brand",
-                F.lit("' could not be resolved."),
+                F.lit(SENTENCES["unresolved_end"]),
             ),
         )
         .when(no_rows, NO_ROWS_REASON)

@@ -15,6 +15,7 @@ from docket_spark.constants import (
     NO_REPEATED_LABEL,
     NOT_PREVALENCE,
     RELIEF_INTERPRETATION,
+    SENTENCES,
     TRUNCATED_NARRATIVE,
     UNKNOWN_EXCLUDED,
 )
@@ -197,25 +198,25 @@ def claim_texts(claims: DataFrame, rows: DataFrame) -> DataFrame:
             value("complaint_count"),
             F.lit(" {noun}("),
             format_number(share * 100),
-            F.lit("% of "),
+            F.lit(SENTENCES["share_of"]),
             value("total_complaints"),
             F.lit(")."),
         ).alias("_ranked"),
         F.concat(
-            F.lit("Complaints were "),
+            F.lit(SENTENCES["were"]),
             F.when(change > 0, "up").when(change < 0, "down").otherwise("flat"),
             F.lit(": "),
             value("baseline_complaints"),
-            F.lit(" in the baseline {span} versus "),
+            F.lit(SENTENCES["baseline"]),
             value("comparison_complaints"),
-            F.lit(" in the comparison {span}, a change of "),
+            F.lit(SENTENCES["comparison"]),
             value("absolute_change"),
             F.lit("."),
         ).alias("_total"),
         F.concat(
-            F.lit("Driver "),
+            F.lit(SENTENCES["driver"]),
             value("issue"),
-            F.lit(": change "),
+            F.lit(SENTENCES["change"]),
             value("absolute_change"),
             F.lit(" ("),
             value("baseline_complaints"),
@@ -240,9 +241,9 @@ def claim_texts(claims: DataFrame, rows: DataFrame) -> DataFrame:
         ),
     )
     reported = F.concat(
-        F.lit("Complaint "),
+        F.lit(SENTENCES["complaint"]),
         F.col("complaint_id"),
-        F.lit(" reported: “"),
+        F.lit(SENTENCES["reported"]),
         F.col("quote"),
         F.lit("”"),
     )
@@ -257,7 +258,7 @@ def claim_texts(claims: DataFrame, rows: DataFrame) -> DataFrame:
             F.concat(
                 F.element_at("_values", F.lit("issue")),
                 F.lit(": "),
-                F.replace(F.col("_ranked"), F.lit("{noun}"), F.lit("complaints ")),
+                F.replace(F.col("_ranked"), F.lit("{noun}"), F.lit(SENTENCES["complaints"])),
             ),
         )
         .when(
@@ -277,23 +278,23 @@ def claim_texts(claims: DataFrame, rows: DataFrame) -> DataFrame:
         .when(
             F.col("kind") == "quantitative",
             F.concat(
-                F.lit("The executed analysis returned: "), F.array_join(cells, ", "), F.lit(".")
+                F.lit(SENTENCES["returned"]), F.array_join(cells, ", "), F.lit(".")
             ),
         )
         .when(
             template == "sample_complaint",
-            F.concat(F.lit("Among the retrieved examples, "), reported),
+            F.concat(F.lit(SENTENCES["among_examples"]), reported),
         )
         .when(F.col("kind") == "narrative", reported)
         .when(
             F.col("kind") == "sample_theme",
             F.concat(
-                F.lit("Among the retrieved examples, repeated issue/sub-issue labels were: "),
+                F.lit(SENTENCES["themes"]),
                 F.array_join(labels, "; "),
                 F.lit("."),
             ),
         )
-        .otherwise(F.concat(F.lit("Limitation: "), template))
+        .otherwise(F.concat(F.lit(SENTENCES["limitation"]), template))
     )
     return joined.select("question_id", "claim_no", text.alias("text"))
 
@@ -318,7 +319,7 @@ def render(claims: DataFrame, remarks: DataFrame, rows: DataFrame) -> DataFrame:
         F.concat_ws(
             " ",
             "sentences",
-            tail("Interpretation: ", "interpretations"),
-            tail("Limitations: ", "limitations"),
+            tail(SENTENCES["interpretations"], "interpretations"),
+            tail(SENTENCES["limitations"], "limitations"),
         ).alias("answer"),
     )

@@ -18,6 +18,8 @@ from docket_spark.constants import (
     CLAIM_TEMPLATES,
     MAX_EXAMPLES,
     MAX_THEMES,
+    REASONS,
+    SEQUENCE_REASONS,
     TEMPLATE_COLUMNS,
     THEME_LIMITATIONS,
 )
@@ -29,22 +31,10 @@ from docket_spark.plans.evidence import theme_lists
 
 REASON_COLUMNS = ("question_id", "stage", "major", "minor", "reason")
 MISSING, EVIDENCE, CLAIMS, DRAFT = 0, 1, 2, 3
-SEQUENCE_REASONS = {
-    "response_distribution": (
-        "response distribution requires response_category_row for every row in order"
-    ),
-    "ranked_issues": "ranked issues require ranked_issue_row for bounded rows in order",
-    "trend_drivers": (
-        "trend drivers require one comparison_total followed by issue_driver rows in order"
-    ),
-    "quarter_drivers": (
-        "trend drivers require one comparison_total followed by issue_driver rows in order"
-    ),
-}
 
 
 def _named(identifier: Column, text: str) -> Column:
-    return F.concat(F.lit("Complaint ID '"), identifier, F.lit(f"' {text}"))
+    return F.concat(F.lit(REASONS["complaint_id"]), identifier, F.lit(f"' {text}"))
 
 
 def _checks(frame: DataFrame, stage: int, major: Column, *checks: Column) -> DataFrame:
@@ -74,8 +64,8 @@ def metadata_checks(identifier: Column) -> list[Column]:
         checks.append(
             F.when(
                 wanted.isNotNull(),
-                F.when(absent, _named(identifier, f"is missing metadata {name}")).when(
-                    fold(actual) != fold(wanted), _named(identifier, f"mismatches filter {name}")
+                F.when(absent, _named(identifier, REASONS["missing_metadata"] + name)).when(
+                    fold(actual) != fold(wanted), _named(identifier, REASONS["mismatched_filter"] + name)
                 ),
             )
         )
@@ -85,10 +75,10 @@ def metadata_checks(identifier: Column) -> list[Column]:
             F.col("want_timely_response").isNotNull(),
             F.when(
                 ~flag.isin("true", "false"),
-                _named(identifier, "has invalid timely_response metadata"),
+                _named(identifier, REASONS["invalid_timely"]),
             ).when(
                 (flag == "true") != F.col("want_timely_response"),
-                _named(identifier, "mismatches filter timely_response"),
+                _named(identifier, REASONS["mismatched_timely"]),
             ),
         )
     )
@@ -96,13 +86,13 @@ def metadata_checks(identifier: Column) -> list[Column]:
     day = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date"))
     ranged = F.col("want_start").isNotNull() | F.col("want_end").isNotNull()
     checks.append(
-        F.when(ranged & day.isNull(), _named(identifier, "has invalid date_received metadata"))
+        F.when(ranged & day.isNull(), _named(identifier, REASONS["invalid_date"]))
     )
     checks.append(
-        F.when(day < F.col("want_start"), _named(identifier, "predates retrieval start"))
+        F.when(day < F.col("want_start"), _named(identifier, REASONS["before_start"]))
     )
     checks.append(
-        F.when(day >= F.col("want_end"), _named(identifier, "is outside retrieval end"))
+        F.when(day >= F.col("want_end"), _named(identifier, REASONS["outside_end"]))
     )
     return checks
 
@@ -120,7 +110,7 @@ def evidence_reasons(items: DataFrame, filters: DataFrame) -> DataFrame:
         EVIDENCE,
         F.col("position"),
         *metadata_checks(identifier),
-        F.when(~is_canonical_id(identifier), _named(identifier, "is not canonical decimal")),
+        F.when(~is_canonical_id(identifier), _named(identifier, REASONS["not_canonical"])),
     )
     again = first_rows(
         items.select("question_id", "complaint_id", "position"),
@@ -134,7 +124,7 @@ def evidence_reasons(items: DataFrame, filters: DataFrame) -> DataFrame:
         F.lit(EVIDENCE).alias("stage"),
         F.col("position").cast("bigint").alias("major"),
         F.lit(100).alias("minor"),
-        _named(identifier, "is duplicated in evidence").alias("reason"),
+        _named(identifier, REASONS["duplicated_evidence"]).alias("reason"),
     )
     return _union([single, repeated])
 
@@ -158,12 +148,12 @@ def shape_reasons(claims: DataFrame) -> DataFrame:
         claims,
         CLAIMS,
         F.col("claim_no"),
-        F.when(~known, F.concat(F.lit("unsupported claim kind: "), F.col("kind"))).when(
+        F.when(~known, F.concat(F.lit(REASONS["unknown_kind"]), F.col("kind"))).when(
             ~_template_allowed(),
             F.concat(
-                F.lit("claim kind "),
+                F.lit(REASONS["claim_kind"]),
                 _quote_name("kind"),
-                F.lit(" does not allow template "),
+                F.lit(REASONS["disallowed_template"]),
                 _quote_name("template"),
             ),
         ),
@@ -202,31 +192,31 @@ def quantitative_reasons(claims: DataFrame, rows: DataFrame) -> DataFrame:
         joined,
         CLAIMS,
         F.col("claim_no"),
-        F.when(~single, "quantitative claim requires exactly one structured reference").when(
-            ~found, "structured row reference does not exist"
+        F.when(~single, REASONS["one_row_reference"]).when(
+            ~found, REASONS["absent_row"]
         ),
         F.when(
-            found & (F.size(columns) == 0), "structured reference requires at least one column"
+            found & (F.size(columns) == 0), REASONS["no_column"]
         ),
         F.when(
             found & (F.size(F.array_except(columns, F.col("row_columns"))) > 0),
-            "structured column reference does not exist",
+            REASONS["absent_column"],
         ),
         F.when(
             found & expected.isNotNull() & (columns != expected),
-            F.concat(template, F.lit(" requires exact ordered structured columns")),
+            F.concat(template, F.lit(REASONS["exact_columns"])),
         ),
         F.when(
             found
             & template.isin("comparison_total", "quarter_comparison_total")
             & ~row_type.eqNullSafe(F.lit("total")),
-            "comparison total must reference the total row",
+            REASONS["total_row"],
         ),
         F.when(
             found
             & template.isin("issue_driver", "quarter_issue_driver")
             & ~row_type.eqNullSafe(F.lit("driver")),
-            "issue driver must reference a driver row",
+            REASONS["driver_row"],
         ),
     )
 
@@ -268,16 +258,16 @@ def narrative_reasons(claims: DataFrame, items: DataFrame) -> DataFrame:
         CLAIMS,
         F.col("claim_no"),
         F.when(
-            ~F.col("_single"), "narrative claim requires exactly one narrative reference"
-        ).when(F.col("excerpt").isNull(), _named(identifier, "is not in evidence")),
+            ~F.col("_single"), REASONS["one_citation"]
+        ).when(F.col("excerpt").isNull(), _named(identifier, REASONS["not_in_evidence"])),
         F.when(
-            found & ~is_canonical_id(identifier), _named(identifier, "is not canonical decimal")
+            found & ~is_canonical_id(identifier), _named(identifier, REASONS["not_canonical"])
         ),
         F.lit(None).cast("string"),
         F.when(
             found & ~contains_quote(F.col("excerpt"), F.col("quote")),
             F.concat(
-                F.lit("quote for "), _named(identifier, "is not in excerpt")
+                F.lit(REASONS["quote"]), _named(identifier, REASONS["not_in_excerpt"])
             ),
         ),
     )
@@ -293,7 +283,7 @@ def narrative_reasons(claims: DataFrame, items: DataFrame) -> DataFrame:
         F.lit(CLAIMS).alias("stage"),
         F.col("claim_no").alias("major"),
         F.lit(2).alias("minor"),
-        _named(identifier, "is duplicated").alias("reason"),
+        _named(identifier, REASONS["duplicated"]).alias("reason"),
     )
     return _union([single, repeated])
 
@@ -309,11 +299,11 @@ def theme_reasons(claims: DataFrame, items: DataFrame) -> DataFrame:
         joined,
         CLAIMS,
         F.col("claim_no"),
-        F.when(~alone, "sample theme must not contain row or complaint references")
-        .when(~sized, "sample theme requires between one and three repeated labels")
+        F.when(~alone, REASONS["theme_references"])
+        .when(~sized, REASONS["theme_size"])
         .when(
             ~F.col("themes").eqNullSafe(F.col("expected_themes")),
-            "sample themes do not match repeated retrieved metadata",
+            REASONS["theme_mismatch"],
         ),
     )
 
@@ -328,7 +318,7 @@ def limitation_reasons(claims: DataFrame) -> DataFrame:
         claims.where((F.col("kind") == "limitation") & _template_allowed()),
         CLAIMS,
         F.col("claim_no"),
-        F.when(referenced, "limitation claim must not contain evidence references"),
+        F.when(referenced, REASONS["limitation_references"]),
     )
 
 
@@ -455,11 +445,11 @@ def draft_reasons(facts: DataFrame) -> DataFrame:
         F.lit(0),
         F.when(
             mode.isin("structured", "combined") & ~structured,
-            "required structured evidence is missing",
+            REASONS["missing_structured"],
         ),
         F.when(
             mode.isin("narrative", "combined") & ~F.col("has_retrieval"),
-            "required narrative evidence is missing",
+            REASONS["missing_narrative"],
         ),
     )
     sequence = [
@@ -473,35 +463,35 @@ def draft_reasons(facts: DataFrame) -> DataFrame:
         *sequence,
         F.when(
             sampled & expects_themes & (themed != 1),
-            "sample themes require exactly one repeated-label summary",
+            REASONS["one_theme_claim"],
         ),
         F.when(
             sampled & ~expects_themes & (themed > 0),
-            "sample theme summary requires repeated retrieved labels",
+            REASONS["no_theme_claim"],
         ),
         F.when(
             sampled & (F.col("plain_examples") > 0),
-            "sample theme narratives require sample_complaint templates",
+            REASONS["sample_templates"],
         ),
         F.when(
             sampled & (F.size("interpretations") > 0),
-            "sample themes do not allow free-form interpretations",
+            REASONS["no_interpretation"],
         ),
         F.when(
             sampled & (F.size(F.array_except("limitations", allowed)) > 0),
-            "sample themes require allowlisted limitations",
+            REASONS["allowed_limitations"],
         ),
         F.when(
             F.col("citation_count") > MAX_EXAMPLES,
-            "narrative examples exceed the maximum of three citations",
+            REASONS["too_many_citations"],
         ),
         F.when(
             mode.isin("narrative", "combined") & (F.col("citation_count") == 0),
-            "narrative answer has no accepted citations",
+            REASONS["no_citation"],
         ),
         F.when(
             F.col("rate_row") & ~discloses_unknown,
-            "known-response denominator interpretation is missing",
+            REASONS["no_denominator"],
         ),
     )
     return _union([missing, drafted])

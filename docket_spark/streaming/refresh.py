@@ -54,22 +54,35 @@ def merge(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.select(*SILVER_COLUMNS).unionByName(fresh.select(*SILVER_COLUMNS))
 
 
-def changed_complaints(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Ids that were added, removed or altered, with the months they belonged and belong to."""
+def _digest(frame: DataFrame, side: str) -> DataFrame:
+    return frame.select(
+        "complaint_id",
+        F.trunc("date_received", "MM").alias(f"{side}_month"),
+        F.xxhash64(*SILVER_COLUMNS).alias(f"{side}_hash"),
+    )
 
-    def digest(frame: DataFrame, side: str) -> DataFrame:
-        return frame.select(
-            "complaint_id",
-            F.trunc("date_received", "MM").alias(f"{side}_month"),
-            F.xxhash64(*SILVER_COLUMNS).alias(f"{side}_hash"),
-        )
 
-    joined = digest(old, "old").join(digest(new, "new"), "complaint_id", "full")
-    return joined.where(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select(
+def _differing(pairs: DataFrame) -> DataFrame:
+    return pairs.where(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select(
         "complaint_id", "old_month", "new_month"
     )
 
 
+def changed_complaints(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Ids that were added, removed or altered between two silver tables, with the months they
+    belonged and belong to."""
+    return _differing(_digest(old, "old").join(_digest(new, "new"), "complaint_id", "full"))
+
+
+def changes_from_arrivals(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The same for a merge, where only arriving ids can change.
+
+    The old table is first reduced to those ids, so it is not shuffled when they are few.
+    """
+    before = old.join(fresh.select("complaint_id"), "complaint_id", "left_semi")
+    return _differing(_digest(fresh, "new").join(_digest(before, "old"), "complaint_id", "left"))
+
+
 def affected_months(changes: DataFrame) -> DataFrame:
     """Months whose metrics can differ, from both the old and the new version of a complaint."""
     return (
@@ -90,10 +103,10 @@ def refreshed_metrics(
 
 
 def refresh_gold(
-    spark: SparkSession, old_silver: DataFrame, new_silver: DataFrame, root: str
+    spark: SparkSession, changes: DataFrame, new_silver: DataFrame, root: str
 ) -> dict[str, Any]:
     """Publish gold for refreshed silver, recomputing complaints of affected months only."""
-    months = cut_lineage(affected_months(changed_complaints(old_silver, new_silver)))
+    months = cut_lineage(affected_months(changes))
     dated_rows = new_silver.where(F.col("date_received").isNotNull()).count()
     previous = read_metric_tables(spark, current_folder(spark, root))
 

@@ -208,7 +208,9 @@ def test_refresh_equals_a_full_rebuild_and_can_be_repeated(spark, built, tmp_pat
     assert rows(picked) == [
         ("100", date(2025, 3, 1), "moved"), ("101", date(2025, 2, 3), "second"), ("200", date(2025, 2, 10), "new"),
     ]
-    report = refresh.refresh_gold(spark, old, new, gold_root)
+    changes = refresh.changes_from_arrivals(old, refresh.canonical_arrivals(arriving))
+    assert sorted(rows(changes), key=str) == sorted(rows(refresh.changed_complaints(old, new)), key=str)
+    report = refresh.refresh_gold(spark, changes, new, gold_root)
     assert report["refreshed_months"] == ["2025-01-01", "2025-02-01", "2025-03-01"]
     refreshed = gold.read_metric_tables(spark, current_folder(spark, gold_root))
     for name in METRIC_TABLES:
