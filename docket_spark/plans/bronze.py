@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docket_spark.constants import BRONZE_REQUIRED, POPULATION_END, POPULATION_START
 from docket_spark.functions.dates import parse_date
 from docket_spark.functions.text import blank_to_null
-from docket_spark.operators.profiling import content_fingerprint, require_columns, schema_profile
+from docket_spark.operators.profiling import content_fingerprint, require_columns
 from docket_spark.plans.publish import publish_generation, require_separate
 from docket_spark.sources.complaints import ROW_ORDER, file_digests, read_snapshot
 
@@ -76,7 +76,7 @@ def manifest(
     """Manifest of a snapshot: provenance, schema, profile and checksum."""
     criteria = _criteria(start, end)
     facts = population_profile(raw, start, end).first().asDict()
-    columns = schema_profile(raw.drop(ROW_ORDER)).orderBy("ordinal").collect()
+    columns = raw.drop(ROW_ORDER).schema.fields
     checksum = content_fingerprint(raw.drop(ROW_ORDER)).first()
     bounds = {
         name: facts[name].isoformat() if facts[name] else None
@@ -86,8 +86,13 @@ def manifest(
         **provenance,
         "table": TABLE,
         "schema": [
-            {"name": c["name"], "type": c["type"], "nullable": c["nullable"], "default": None}
-            for c in columns
+            {
+                "name": column.name,
+                "type": column.dataType.simpleString(),
+                "nullable": column.nullable,
+                "default": None,
+            }
+            for column in columns
         ],
         "row_count": facts["row_count"],
         "distinct_complaint_id_count": facts["distinct_complaint_id_count"],

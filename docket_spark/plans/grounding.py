@@ -23,7 +23,12 @@ from docket_spark.constants import (
     TEMPLATE_COLUMNS,
     THEME_LIMITATIONS,
 )
-from docket_spark.functions.text import contains_quote, fold, is_canonical_id
+from docket_spark.functions.text import (
+    collapse_whitespace,
+    contains_quote,
+    fold,
+    is_canonical_id,
+)
 from docket_spark.operators.ranking import first_rows
 from docket_spark.operators.totals import joined_text
 from docket_spark.plans.drafts import CHUNK, DRIVER_ROWS, RANKED_ROWS, SECTION, row_template
@@ -60,7 +65,7 @@ def metadata_checks(identifier: Column) -> list[Column]:
     checks = []
     for name in AUDITED_FIELDS:
         wanted, actual = F.col(f"want_{name}"), F.col(name)
-        absent = F.coalesce(F.trim(actual) == "", F.lit(True))
+        absent = F.coalesce(collapse_whitespace(actual) == "", F.lit(True))
         checks.append(
             F.when(
                 wanted.isNotNull(),
@@ -69,7 +74,7 @@ def metadata_checks(identifier: Column) -> list[Column]:
                 ),
             )
         )
-    flag = F.lower(F.trim(F.coalesce("timely_response", F.lit(""))))
+    flag = fold(F.coalesce("timely_response", F.lit("")))
     checks.append(
         F.when(
             F.col("want_timely_response").isNotNull(),
