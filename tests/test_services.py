@@ -127,8 +127,9 @@ def test_snapshots_in_other_formats(spark, tmp_path):
     frame = spark.createDataFrame(SILVER_SOURCE, RAW_SCHEMA)
     frame.coalesce(1).write.csv(str(tmp_path / "csv"), header=True)
     frame.coalesce(1).write.json(str(tmp_path / "json"))
+    frame.coalesce(1).write.orc(str(tmp_path / "orc"))
     expected = sorted(r["complaint_id"].strip() for r in frame.collect())
-    for fmt, options in (("csv", {"header": "true"}), ("json", {})):
+    for fmt, options in (("csv", {"header": "true"}), ("json", {}), ("orc", {})):
         read = read_snapshot(spark, str(tmp_path / fmt), fmt, **options)
         assert sorted(r["complaint_id"].strip() for r in read.collect()) == expected
         assert silver.silver_table(read).count() == 2
