@@ -51,7 +51,6 @@ def pieces_of(
             *[T.StructField(name, T.LongType()) for name in names[1:]],
         ]
     )
-    last = closing_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).ids
@@ -59,20 +58,20 @@ def pieces_of(
             for part in by_bytes(batch, "body", BATCH_BYTES):
                 owner, rows = [], []
                 texts = [x.decode("utf-8", "replace") for x in utf8(part.column("body"))]
-                for k, ids in enumerate(encode(texts)):
-                    ids += last
-                    total = len(ids) // 4
+                for k, found in enumerate(encode(texts)):
+                    total = len(found) + 1
+                    ids = np.append(found, closing_id).astype("<u4").tobytes()
                     first = total % capacity or capacity
                     for n, end in enumerate(range(first, total + 1, capacity)):
                         start = max(0, end - capacity) if n else 0
                         owner.append(k)
                         rows.append((n, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
-                found = np.array(rows, dtype=np.int64).reshape(-1, 4)
+                made = np.array(rows, dtype=np.int64).reshape(-1, 4)
                 yield pa.record_batch(
                     [
                         part.column("id").take(pa.array(owner, pa.int64())),
-                        pa.array(found[:, 0].astype(np.int32)),
-                        *[pa.array(found[:, c]) for c in (1, 2, 3)],
+                        pa.array(made[:, 0].astype(np.int32)),
+                        *[pa.array(made[:, c]) for c in (1, 2, 3)],
                     ],
                     names=["id", *names],
                 )
