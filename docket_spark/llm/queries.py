@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docket_spark.llm import exact_dedup, packing, tokens
+from docket_spark.llm import exact_dedup, packing, simhash, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -47,3 +47,8 @@ def op9(spark, sf_dir):
 @register("op5_best_fit_packing")
 def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@register("op1_simhash")
+def op1(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
