@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docket_spark.llm import exact_dedup, packing, simhash, tokens
+from docket_spark.llm import exact_dedup, language, packing, simhash, tokens
+from docket_spark.llm.columns import fold_of
 
 QUERIES = {}
 ORACLES = {}
@@ -52,3 +53,11 @@ def op5(spark, sf_dir):
 @register("op1_simhash")
 def op1(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    profiles = language.learn_profiles(docs, learn_from=~held_out)
+    return language.identify(docs, profiles, also={"held_out": held_out})
