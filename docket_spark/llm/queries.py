@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docket_spark.llm import exact_dedup, language, packing, simhash, tokens
+from docket_spark.llm import exact_dedup, language, packing, quality, simhash, tokens
 from docket_spark.llm.columns import fold_of
 
 QUERIES = {}
@@ -61,3 +61,12 @@ def op2(spark, sf_dir):
     held_out = fold_of("doc_id", 4) == 2
     profiles = language.learn_profiles(docs, learn_from=~held_out)
     return language.identify(docs, profiles, also={"held_out": held_out})
+
+
+@register("op10_quality_classifier")
+def op10(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_of("doc_id", 3) == 1
+    vectors = quality.word_vectors(docs)
+    network = quality.fit(docs, labels, vectors, learn_from=~held_out)
+    return quality.scores(docs, vectors, network, also={"held_out": held_out})
