@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from docket_spark.llm import exact_dedup, language, packing, quality, simhash, tokens
+from docket_spark.llm import exact_dedup, language, packing, quality, secrets, simhash, spans, tokens
 from docket_spark.llm.columns import fold_of
 
 QUERIES = {}
@@ -70,3 +71,16 @@ def op10(spark, sf_dir):
     vectors = quality.word_vectors(docs)
     network = quality.fit(docs, labels, vectors, learn_from=~held_out)
     return quality.scores(docs, vectors, network, also={"held_out": held_out})
+
+
+@register("op6_secret_scan")
+def op6(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    known = spans.by_start(F.col("known"))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("known"), kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(spans.listed(known), 256).alias("base_sha256"),
+        spans.listed(spans.by_start(F.concat("known", "added"))).alias("spans"),
+        spans.count_of(F.col("added"), "entropy").alias("n_entropy"),
+    )
