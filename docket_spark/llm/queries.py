@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docket_spark.llm import exact_dedup, language, packing, quality, secrets, simhash, spans, tokens
+from docket_spark.llm import exact_dedup, language, packing, pii, quality, secrets, simhash, spans, tokens
 from docket_spark.llm.columns import fold_of
 
 QUERIES = {}
@@ -84,3 +84,16 @@ def op6(spark, sf_dir):
         spans.listed(spans.by_start(F.concat("known", "added"))).alias("spans"),
         spans.count_of(F.col("added"), "entropy").alias("n_entropy"),
     )
+
+
+@register("op3_personal_data")
+def op3(spark, sf_dir):
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    known = spans.by_kind(F.col("known"))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("known"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(spans.listed(known), 256).alias("base_sha256"),
+        spans.listed(spans.by_kind(F.concat("known", "added"))).alias("spans"),
+        spans.count_of(F.col("added"), "context").alias("n_context"),
+    )
