@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docket_spark.llm.columns import by_bytes, column, field, utf8
+from docket_spark.llm.words import runs
 
 BUCKETS, SIZE, MARKS, REACH = 1 << 13, 64, 4, 2
 BLOCKS = 64
 SAMPLE = 12_000
 HIDDEN, EPOCHS, BATCH, RATE = 32, 40, 128, 3e-3
 TEXT_BYTES = 1 << 19
-_ODD = 0x9E3779B97F4A7C15
 _WORD = np.array([2 if c >= 128 or chr(c).isalnum() else 0 if c <= 32 else 1 for c in range(256)])
 
 
@@ -49,29 +49,10 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places, signs, dense
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_ODD, -1, 1 << 64)
-    up = np.full(n, _ODD, dtype=np.uint64)
-    down = np.full(n, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each word and the number of words of each text."""
-    joined = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-    kind = _WORD[joined]
-    turn = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-    start = turn[kind[turn] != 0]
-    stop = turn[kind[turn - 1] != 0]
-    up, down = _powers(1 << int(len(joined)).bit_length())
-    total = np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)])
-    hashed = (total[stop - 1] - total[start - 1]) * down[start]
-    hashed = (hashed ^ hashed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-    bucket = (hashed >> np.uint64(64 - int(BUCKETS).bit_length() + 1)).astype(np.int64)
-    ends = np.cumsum([len(x) + 1 for x in texts])
-    return bucket, np.diff(np.searchsorted(start, np.append(0, ends), "right"))
+    *_, hashed, many = runs(texts, _WORD)
+    return (hashed >> np.uint64(64 - int(BUCKETS).bit_length() + 1)).astype(np.int64), many
 
 
 def _contexts(texts: list[bytes], table: np.ndarray) -> None:

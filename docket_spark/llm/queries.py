@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docket_spark.llm import exact_dedup, language, packing, pii, quality, secrets, simhash, spans, tokens
+from docket_spark.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, spans, tokens
 from docket_spark.llm.columns import fold_of
 
 QUERIES = {}
@@ -97,3 +97,10 @@ def op3(spark, sf_dir):
         spans.listed(spans.by_kind(F.concat("known", "added"))).alias("spans"),
         spans.count_of(F.col("added"), "context").alias("n_context"),
     )
+
+
+@register("op8_benchmark_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
