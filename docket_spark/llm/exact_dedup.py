@@ -58,8 +58,11 @@ def exact_duplicates(
         .where("group_size > 1 or clash is not null")
         .drop("clash")
     )
-    rows = _signed(docs, doc_id, text).drop("folded")
-    joined = rows.join(repeated, ["content_hash", "digest"], "left")
+    # One key column of its own: both sides are dealt for this join, so a frequent key can be split.
+    key = F.concat("content_hash", "digest").alias("key")
+    repeated = repeated.select(key, "keep_id", "group_size")
+    rows = _signed(docs, doc_id, text).select("id", "content_hash", "digest", key)
+    joined = rows.join(repeated, "key", "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         F.col("id").alias(doc_id),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docket_spark.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, spans, tokens
+from docket_spark.llm import decontaminate, exact_dedup, language, packing, pii, quality, repeats, secrets, simhash, spans, tokens
 from docket_spark.llm.columns import fold_of
 
 QUERIES = {}
@@ -104,3 +104,18 @@ def op8(spark, sf_dir):
     return decontaminate.leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+
+
+@register("op4_substring_dedup")
+def op4(spark, sf_dir):
+    found = repeats.repeats(table(spark, sf_dir, "documents"))
+    places = F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"]))
+    return found.select(
+        "doc_id",
+        "first_doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+        .cast("long")
+        .alias("removed_chars"),
+        F.array_join(places, ",").alias("removed"),
+    )

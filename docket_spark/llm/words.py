@@ -11,10 +11,10 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_ODD, -1, 1 << 64)
-    up = np.full(n, _ODD, dtype=np.uint64)
-    down = np.full(n, inverse, dtype=np.uint64)
+def powers(n: int, odd: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``odd`` and of its inverse, modulo 2^64."""
+    up = np.full(n, odd, dtype=np.uint64)
+    down = np.full(n, pow(odd, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -37,7 +37,7 @@ def runs(
     turn = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     start = turn[kind[turn] != 0]
     stop = turn[kind[turn - 1] != 0]
-    up, down = _powers(1 << int(len(joined)).bit_length())
+    up, down = powers(1 << int(len(joined)).bit_length())
     total = np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)])
     hashed = mixed((total[stop - 1] - total[start - 1]) * down[start])
     ends = np.cumsum([len(x) + 1 for x in texts])
