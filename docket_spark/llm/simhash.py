@@ -16,6 +16,11 @@ dealt in salted parts, and every two parts meet in a task of their own, so no gr
 A trie yields a spanning forest of its links, not all of them: node pairs whose leaves are already one
 component are dropped too, which keeps large groups of near copies from costing all their pairs.
 
+Copies of similarity 0.8 differ in about ten bits of 64, more than a trie can afford. ``keep_one``
+therefore takes several independent fingerprints of five-word shingles and links documents that are
+close in any of them: by the binomial law, seven bits in one of six find a similarity of 0.8 with
+probability 0.77, 0.85 with 0.95 and 0.9 with 0.998, and of 0.5 with 0.01.
+
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 all others. Null ids are ignored in the choice of the smallest id unless a group has no other. Rows that
 repeat count once. Empty tables give empty results.
@@ -23,6 +28,7 @@ repeat count once. Empty tables give empty results.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -35,12 +41,14 @@ from pyspark.sql import types as T
 
 from docket_spark.llm.columns import by_bytes, column, field, row_rank, utf8, whole_row
 from docket_spark.llm.components import connected_components
+from docket_spark.llm.words import mixed
 from docket_spark.session import cut_lineage
 
 BITS = 64
 SEED = 42
 LEAF = 20_000
 CHUNK = 1 << 16
+STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 7, 6
 TEXT_BYTES = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
@@ -60,10 +68,13 @@ def shingle_hashes(text: bytes, words: int) -> bytes:
     return b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, last)])
 
 
-def majority_bits(hashes: list[bytes]) -> np.ndarray:
-    """Per item the 64 bits that are set in over half of its hashes, as unsigned integers."""
+def majority_bits(hashes: list[bytes], prints: int = 1) -> np.ndarray:
+    """Per item and print the 64 bits that are set in over half of its hashes, as unsigned integers.
+
+    The first print takes the hashes as they are, each further one mixes them anew.
+    """
     counts = np.array([len(x) // 8 for x in hashes], dtype=np.int64)
-    result = np.zeros(len(hashes), dtype=np.uint64)
+    result = np.zeros((len(hashes), prints), dtype=np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return result
@@ -76,13 +87,15 @@ def majority_bits(hashes: list[bytes]) -> np.ndarray:
     nth = np.arange(len(of)) - np.repeat(np.cumsum(groups) - groups, groups)
     cuts = begin[of] + 255 * nth
     first_group = np.cumsum(groups) - groups
-    bits = np.zeros((len(full), BITS), dtype=np.int64)
-    for k in range(8):
-        lanes = np.add.reduceat((all_hashes >> np.uint64(k)) & _LANES, cuts)
-        by_lane = lanes.view(np.uint8).reshape(-1, 8).astype(np.int64)
-        bits[:, k::8] = np.add.reduceat(by_lane, first_group, axis=0)
-    packed = np.packbits(2 * bits > size[:, None], axis=1, bitorder="little")
-    result[full] = packed.view("<u8")[:, 0]
+    for p in range(prints):
+        drawn = mixed(mixed(all_hashes + np.uint64(p))) if p else all_hashes
+        bits = np.zeros((len(full), BITS), dtype=np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((drawn >> np.uint64(k)) & _LANES, cuts)
+            by_lane = lanes.view(np.uint8).reshape(-1, 8).astype(np.int64)
+            bits[:, k::8] = np.add.reduceat(by_lane, first_group, axis=0)
+        packed = np.packbits(2 * bits > size[:, None], axis=1, bitorder="little")
+        result[full, p] = packed.view("<u8")[:, 0]
     return result
 
 
@@ -91,26 +104,32 @@ def fingerprints(
     doc_id: str = "doc_id",
     text: str = "text",
     words: int = 4,
+    prints: int = 1,
     also: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Per row: id, the columns of ``also``, and the fingerprint as a signed long."""
+    """Per row: id, the columns of ``also``, and the fingerprints print0, print1, ... (signed)."""
     rows = docs.select(
         column(doc_id).alias("id"),
         *[value.alias(name) for name, value in (also or {}).items()],
         column(text).cast("string").alias("body"),
     )
     kept = [name for name in rows.columns if name != "body"]
+    names = [f"print{p}" for p in range(prints)]
     schema = T.StructType(
-        [*[field(rows, name) for name in kept], T.StructField("fingerprint", T.LongType())]
+        [*[field(rows, name) for name in kept], *[T.StructField(n, T.LongType()) for n in names]]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "body", TEXT_BYTES):
-                found = majority_bits([shingle_hashes(x, words) for x in utf8(part.column("body"))])
+                hashes = [shingle_hashes(x, words) for x in utf8(part.column("body"))]
+                found = majority_bits(hashes, prints).view(np.int64)
                 yield pa.record_batch(
-                    [*[part.column(name) for name in kept], pa.array(found.view(np.int64))],
-                    names=[*kept, "fingerprint"],
+                    [
+                        *[part.column(name) for name in kept],
+                        *[pa.array(found[:, p]) for p in range(prints)],
+                    ],
+                    names=[*kept, *names],
                 )
 
     return rows.mapInArrow(sign, schema)
@@ -200,15 +219,18 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
 
 
 def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) between different fingerprints that span the components of all links."""
-    different = signed.select("fingerprint").distinct()
+    """Links (a, b) between nodes that span the components of all links.
+
+    ``signed``: node and fingerprint, both long; nodes of equal fingerprints are linked as well.
+    """
+    different = signed.groupBy("fingerprint").agg(F.min("node").alias("node"))
     forests = F.array(
         *[
             F.struct(F.lit(k).alias("forest"), F.col("fingerprint").bitwiseAND(m).alias("agreed"))
             for k, m in enumerate(agreeing_masks(budget))
         ]
     )
-    rows = different.select("fingerprint", F.inline(forests))
+    rows = different.select("fingerprint", "node", F.inline(forests))
     large = (
         rows.groupBy("forest", "agreed")
         .agg(F.count(F.lit(1)).alias("many"))
@@ -226,6 +248,7 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
             F.least("own", "other").alias("one"),
             F.greatest("own", "other").alias("two"),
             "fingerprint",
+            "node",
         )
     )
     trie = ["forest", "agreed", "one", "two"]
@@ -240,8 +263,9 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
         keys = signed_keys.view(np.uint64) ^ np.uint64(1 << 63)
         labels = trie_components(keys, np.flatnonzero(new), budget)
         linked = np.flatnonzero(labels != np.arange(len(labels)))
+        nodes = table.column("node").to_numpy()
         return pa.record_batch(
-            [pa.array(signed_keys[linked]), pa.array(signed_keys[labels[linked]])], names=["a", "b"]
+            [pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], names=["a", "b"]
         )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,19 +289,26 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
             yield solve(held)
 
     placed = dealt.repartition(*trie).sortWithinPartitions(*trie, "fingerprint")
-    return placed.mapInArrow(join, "a long, b long")
+    close = placed.mapInArrow(join, "a long, b long")
+    same = signed.distinct().join(
+        different.withColumnRenamed("node", "first"), "fingerprint"
+    ).where("node <> first")
+    return close.union(same.select(F.col("node").alias("a"), F.col("first").alias("b")))
 
 
-def _grouped(signed: DataFrame, budget: int) -> DataFrame:
+def _grouped(signed: DataFrame, budget: int, prints: int = 1) -> DataFrame:
     """``signed`` with root (a fingerprint) and component_id (the smallest id of the group)."""
-    members = connected_components(trie_links(signed, budget))
-    known = signed.groupBy("fingerprint").agg(F.min("id").alias("least"))
-    rooted = known.join(
-        members.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
-    ).withColumn("root", F.coalesce("root", "fingerprint"))
+    signed = signed.withColumn("node", F.col("print0"))
+    links = [
+        trie_links(signed.select("node", F.col(f"print{p}").alias("fingerprint")), budget)
+        for p in range(prints)
+    ]
+    members = connected_components(functools.reduce(DataFrame.union, links))
+    known = signed.groupBy("node").agg(F.min("id").alias("least"))
+    rooted = known.join(members, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fingerprint", "root").join(least, "root")
-    return signed.join(of, "fingerprint")
+    of = rooted.select("node", "root").join(least, "root")
+    return signed.join(of, "node")
 
 
 def near_duplicates(
@@ -291,7 +322,7 @@ def near_duplicates(
     signed = cut_lineage(fingerprints(docs, doc_id, text, words))
     return _grouped(signed, budget).select(
         F.col("id").alias(doc_id),
-        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("print0"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 
@@ -300,13 +331,16 @@ def keep_one(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    words: int = 4,
-    budget: int = 4,
+    words: int = STAGE_WORDS,
+    budget: int = STAGE_BUDGET,
+    prints: int = STAGE_PRINTS,
 ) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group: the smallest id, then smallest row hash."""
-    signed = cut_lineage(fingerprints(docs, doc_id, text, words, {"rank": row_rank(docs)}))
+    signed = cut_lineage(
+        fingerprints(docs, doc_id, text, words, prints, {"rank": row_rank(docs)})
+    )
     stays = (
-        _grouped(signed, budget)
+        _grouped(signed, budget, prints)
         .where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
         .agg(F.min(F.struct("id", "rank")).alias("kept"))
