@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes shuffle partitions and splits skewed join partitions at run time, so
@@ -28,20 +26,25 @@ def build_session(
     return builder.getOrCreate()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the cluster's shared checkpoint folder and continue from there.
+def checkpoint_folder(session: SparkSession, folder: str | None = None) -> str:
+    """The shared folder for intermediate tables, set on the context if it is not yet.
 
-    The folder is whatever the session already names. Only a local session with none set gets a
-    temporary folder; a cluster session without one is refused, because a folder on one machine
-    does not survive the loss of that machine.
+    ``spark.checkpoint.dir`` names it; ``folder`` is used where that is unset. With neither, a local
+    session takes a folder beside its warehouse, and a cluster session is refused, because a folder on
+    one machine does not survive the loss of that machine.
     """
-    session = frame.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        shared = session.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
+        shared = session.conf.get("spark.checkpoint.dir", None) or folder
+        if not shared:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="docket-checkpoint-")
+            shared = session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(frame: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``frame`` to the shared checkpoint folder and continue from there."""
+    checkpoint_folder(frame.sparkSession, folder)
     return frame.checkpoint(eager=True)
