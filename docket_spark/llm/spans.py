@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FOUND = "array<struct<start:long,end:long,value:string,part:string,before:string,after:string>>"
+BLOCK = 128
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` mentions it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each element of ``sizes`` the sum of those before it.
+
+    Sums are kept per block, so that many elements cost little more each than few.
+    """
+    zero = F.lit(0).cast("long")
+
+    def total(first: Column, many: Column | int) -> Column:
+        return F.aggregate(F.slice(sizes, first, many), zero, lambda x, y: x + y)
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")),
+        lambda b: total(b * BLOCK + 1, BLOCK),
+    )
+    before = F.aggregate(
+        blocks, F.array(zero), lambda held, x: F.array_append(held, F.element_at(held, -1) + x)
+    )
+    return let(
+        before,
+        lambda known: F.transform(
+            sizes,
+            lambda _, i: F.get(known, F.floor(i / BLOCK).cast("int"))
+            + total(i - i % BLOCK + 1, i % BLOCK),
+        ),
+    )
 
 
 def find(text: Column, pattern: str, part: int = 0) -> Column:
@@ -16,37 +51,34 @@ def find(text: Column, pattern: str, part: int = 0) -> Column:
     The places follow from the lengths of the matches and of the stretches between them. ``pattern``
     must not match an empty string. Texts without a match are looked at once.
     """
-    between = F.split(text, pattern, -1)
-    parts = F.arrays_zip(
-        between.alias("before"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(part)).alias("part"),
-        F.slice(F.split(text, pattern, -1), F.lit(2), F.lit(2**31 - 1)).alias("after"),
-    )
 
-    def step(held: Column, x: Column) -> Column:
-        start = held["at"] + F.length(x["before"])
-        end = start + F.length(x["value"])
-        one = F.struct(
-            start.cast("long").alias("start"),
-            end.cast("long").alias("end"),
+    def zipped(between: Column) -> Column:
+        return F.arrays_zip(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(part)).alias("part"),
+            F.slice(between, 1, F.size(between) - 1).alias("before"),
+            F.slice(between, 2, F.size(between) - 1).alias("after"),
+        )
+
+    def one(x: Column, at: Column) -> Column:
+        start = at + F.length(x["before"])
+        return F.struct(
+            start.alias("start"),
+            (start + F.length(x["value"])).alias("end"),
             x["value"].alias("value"),
             x["part"].alias("part"),
             x["before"].alias("before"),
             x["after"].alias("after"),
         )
-        return F.struct(
-            F.coalesce(end, start).cast("long").alias("at"),
-            F.when(x["value"].isNull(), held["found"])
-            .otherwise(F.concat(held["found"], F.array(one)))
-            .cast(_FOUND)
-            .alias("found"),
+
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(
+            parts, lambda x: (F.length(x["before"]) + F.length(x["value"])).cast("long")
         )
+        return F.zip_with(parts, let(sizes, sums_before), one)
 
-    nothing = F.array().cast(_FOUND)
-    start = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("found"))
-    found = F.aggregate(parts, start, step, lambda held: held["found"])
-    return F.when(text.rlike(pattern), found).otherwise(nothing)
+    found = let(let(F.split(text, pattern, -1), zipped), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_FOUND))
 
 
 def marked(found: Column, number: int, kind: str) -> Column:
