@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,3 +69,23 @@ def by_bytes(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[pa.Record
 def utf8(array: pa.Array) -> list[bytes]:
     """The bytes of each text; null is empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
+
+
+def rows_kept(
+    docs: DataFrame, text: str, keep: Callable[[Iterator], Iterator], limit: int
+) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` says, with all their columns, whatever their names.
+
+    ``keep`` is called once per task with the texts' batches, each of about ``limit`` bytes, and
+    yields for each an array of booleans.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (part for batch in batches for part in by_bytes(batch, "body", limit))
+        here, ahead = itertools.tee(parts)
+        for part, stays in zip(here, keep(utf8(x.column("body")) for x in ahead), strict=True):
+            yield part.select(["row"]).filter(pa.array(stays, pa.bool_()))
+
+    rows = docs.select(whole_row(docs).alias("row"), column(text).cast("string").alias("body"))
+    schema = T.StructType([T.StructField("row", docs.schema, False)])
+    return rows.mapInArrow(work, schema).select("row.*")

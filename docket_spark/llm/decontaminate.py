@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docket_spark.llm.columns import by_bytes, column, field, utf8
+from docket_spark.llm.columns import by_bytes, column, field, rows_kept, utf8
 from docket_spark.llm.words import mixed, runs
 
 SIMILARITY, RECALL = 0.8, 0.99
@@ -203,9 +203,8 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[tupl
         yield [r.id for r in rows], [r.body for r in rows]
 
 
-def _found(items: Items, part: pa.RecordBatch, text: str) -> list[tuple[int, int, int, int, int]]:
-    texts = [x.decode("utf-8", "replace") for x in utf8(part.column(text))]
-    return items.leaks(*words_of(texts))
+def _found(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    return items.leaks(*words_of([x.decode("utf-8", "replace") for x in texts]))
 
 
 def leaks(
@@ -237,7 +236,7 @@ def leaks(
             items = _items(texts, similarity, recall)
             for batch in batches:
                 for part in by_bytes(batch, "body", TEXT_BYTES):
-                    found = _found(items, part, "body")
+                    found = _found(items, utf8(part.column("body")))
                     item_type = pa.array(ids).type if ids else pa.null()
                     yield pa.record_batch(
                         [
@@ -265,13 +264,12 @@ def keep_clean(
     for _, texts in _blocks(benchmark, item_id, item_text):
         texts = tuple(texts)
 
-        def keep(batches, texts=texts):
+        def keep(parts: Iterator[list[bytes]], texts=texts) -> Iterator[np.ndarray]:
             items = _items(texts, similarity, recall)
-            for batch in batches:
-                for part in by_bytes(batch, text, TEXT_BYTES):
-                    clean = np.ones(part.num_rows, dtype=bool)
-                    clean[[f[0] for f in _found(items, part, text)]] = False
-                    yield part.filter(pa.array(clean))
+            for part in parts:
+                clean = np.ones(len(part), dtype=bool)
+                clean[[f[0] for f in _found(items, part)]] = False
+                yield clean
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = rows_kept(docs, text, keep, TEXT_BYTES)
     return docs

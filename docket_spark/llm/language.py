@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docket_spark.llm.columns import by_bytes, column, field, utf8
+from docket_spark.llm.columns import by_bytes, column, field, rows_kept, utf8
 
 UNKNOWN = "und"
 RANKS = 300
@@ -70,10 +70,12 @@ def ranked_ngrams(texts: list[bytes], ranks: int | None) -> tuple[np.ndarray, ..
     # A single letter is written as a gram whose last two places are empty.
     place = owner << (3 * bits + 2)
     one = place[letter] | 1 << (3 * bits) | small[letter]
-    pair_in_text = (letter[:-1] | letter[1:]) & (owner[:-1] == owner[1:])
-    pair = place[1:][pair_in_text] | 2 << (3 * bits) | two[pair_in_text]
-    inner = letter[1:-1] & (owner[:-2] == owner[2:])
-    triple = place[2:][inner] | 3 << (3 * bits) | three[inner]
+    # The blank between two texts serves both; a gram belongs to the text of its letters.
+    of_pair = np.where(letter[:-1], place[:-1], place[1:])
+    lettered = letter[:-1] | letter[1:]
+    pair = of_pair[lettered] | 2 << (3 * bits) | two[lettered]
+    inner = letter[1:-1]
+    triple = place[1:-1][inner] | 3 << (3 * bits) | three[inner]
     found = np.sort(np.concatenate([one, pair, triple]))
     first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
     count = np.diff(np.append(first, len(found)))
@@ -228,14 +230,12 @@ def keep_known(
     """The rows of ``docs`` that have a language, with all their columns.
 
     Rejected are texts that are null or without a letter. The rows themselves pass through the batches,
-    so the decision needs no join; a column that is called like a temporary one is not touched.
+    so the decision needs no join.
     """
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(texts: Iterator[list[bytes]]) -> Iterator[list[bool]]:
         model = Profiles(profiles, ranks)
-        for batch in batches:
-            for part in by_bytes(batch, text, TEXT_BYTES):
-                names, _ = model.judge(utf8(part.column(text)))
-                yield part.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+        for part in texts:
+            yield [name != UNKNOWN for name in model.judge(part)[0]]
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows_kept(docs, text, keep, TEXT_BYTES)

@@ -190,7 +190,7 @@ def remove_repeats(
     )
     cut = F.when(F.col("removed").isNull(), body).otherwise(kept)
     fields = [
-        (cut if name == text else F.col("row")["`" + name + "`" if "." in name else name]).alias(name)
+        (cut if name == text else F.col("row")[name]).alias(name)
         for name in docs.columns
     ]
     return joined.select(*fields)
