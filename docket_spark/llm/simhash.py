@@ -10,8 +10,9 @@ One trie over all fingerprints would visit a number of node pairs that grows wit
 corpus before pruning bites. So the bits are cut into ``budget + 2`` blocks; of these at least two agree
 in any linked pair, and there is one forest for each choice of two blocks: its tries hold the
 fingerprints that agree on both, the budget of those bits being zero. Every link lies in at least one
-trie. Tries are spread over the cluster by their agreeing bits. A trie above ``leaf`` fingerprints is
-dealt in salted parts, and every two parts meet in a task of their own, so no group is gathered.
+trie. Tries are spread over the cluster by their agreeing bits. A trie above about ``leaf`` fingerprints
+is dealt in salted parts, and every two parts meet in a task of their own, so no group is gathered. The
+list of such tries is broadcast if it is short, and joined otherwise.
 
 A trie yields a spanning forest of its links, not all of them: node pairs whose leaves are already one
 component are dropped too, which keeps large groups of near copies from costing all their pairs.
@@ -28,7 +29,6 @@ repeat count once. Empty tables give empty results.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -47,6 +47,7 @@ from docket_spark.session import cut_lineage
 BITS = 64
 SEED = 42
 LEAF = 20_000
+SHARE, LISTED = 16, 10_000
 CHUNK = 1 << 16
 STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 7, 6
 TEXT_BYTES = 1 << 20
@@ -221,89 +222,106 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
 def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) between nodes that span the components of all links.
 
-    ``signed``: node and fingerprint, both long; nodes of equal fingerprints are linked as well.
+    ``signed``: print, node and fingerprint, all whole numbers; fingerprints are compared within a
+    print, and nodes of equal ones are linked as well.
     """
-    different = signed.groupBy("fingerprint").agg(F.min("node").alias("node"))
-    forests = F.array(
-        *[
-            F.struct(F.lit(k).alias("forest"), F.col("fingerprint").bitwiseAND(m).alias("agreed"))
-            for k, m in enumerate(agreeing_masks(budget))
-        ]
+    masks = agreeing_masks(budget)
+    different = signed.groupBy("print", "fingerprint").agg(F.min("node").alias("node"))
+    choices = F.array(
+        *[F.struct(F.lit(k).alias("choice"), F.lit(m).alias("mask")) for k, m in enumerate(masks)]
+    )
+    rows = different.select("print", "fingerprint", "node", F.inline(choices)).select(
+        (F.col("print") * len(masks) + F.col("choice")).cast("long").alias("forest"),
+        F.col("fingerprint").bitwiseAND(F.col("mask")).alias("agreed"),
+        "fingerprint",
+        "node",
     )
-    rows = different.select("fingerprint", "node", F.inline(forests))
-    large = (
-        rows.groupBy("forest", "agreed")
-        .agg(F.count(F.lit(1)).alias("many"))
-        .where(F.col("many") > leaf)
+    # How many parts a trie is dealt in follows from the count of every SHARE-th fingerprint. That
+    # only decides where rows are compared, never whether.
+    large = cut_lineage(
+        rows.where(F.pmod(F.xxhash64("fingerprint"), F.lit(SHARE)) == 0)
+        .groupBy("forest", "agreed")
+        .agg(F.ceil(F.count(F.lit(1)) * SHARE / leaf).cast("int").alias("parts"))
+        .where("parts > 1")
     )
-    parts = F.coalesce(F.ceil(F.col("many") / leaf), F.lit(1))
+    if large.count() <= LISTED:
+        large = F.broadcast(large)
+    own = F.pmod(F.xxhash64("fingerprint"), "parts").cast("long")
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     dealt = (
         rows.join(large, ["forest", "agreed"], "left")
-        .withColumn("parts", parts.cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fingerprint"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+        .select("forest", "agreed", "fingerprint", "node", own.alias("own"), meets.alias("other"))
         .select(
-            "forest",
-            "agreed",
-            F.least("own", "other").alias("one"),
-            F.greatest("own", "other").alias("two"),
+            # forest and the two parts in one number
+            (
+                F.shiftleft("forest", 40)
+                + F.shiftleft(F.least("own", "other"), 20)
+                + F.greatest("own", "other")
+            ).alias("meeting"),
             "fingerprint",
             "node",
         )
     )
-    trie = ["forest", "agreed", "one", "two"]
-
-    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        names = [table.column(c).to_numpy() for c in trie]
-        signed_keys = table.column("fingerprint").to_numpy()
-        new = np.ones(len(signed_keys), dtype=bool)
-        new[1:] = np.any([x[1:] != x[:-1] for x in names], axis=0)
+    every_mask = F.array(*[F.lit(m) for m in masks])
+    choice = F.pmod(F.shiftright("meeting", 40), F.lit(len(masks))).cast("int")
+    agreed = F.col("fingerprint").bitwiseAND(F.get(every_mask, choice))
+    by_choice = np.array(masks, dtype=np.int64)
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        meeting, signed_keys, nodes = (c.to_numpy() for c in table.columns)
+        same = signed_keys & by_choice[(meeting >> 40) % len(masks)]
+        new = np.ones(len(meeting), dtype=bool)
+        new[1:] = (meeting[1:] != meeting[:-1]) | (same[1:] != same[:-1])
         # Flipping the first bit makes signed order unsigned; differences stay the same.
         keys = signed_keys.view(np.uint64) ^ np.uint64(1 << 63)
         labels = trie_components(keys, np.flatnonzero(new), budget)
         linked = np.flatnonzero(labels != np.arange(len(labels)))
-        nodes = table.column("node").to_numpy()
         return pa.record_batch(
             [pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], names=["a", "b"]
         )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, many = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if sum(x.num_rows for x in held) > leaf:
+            if many > leaf:
                 # The last trie may go on in this batch; what lies before it can be solved.
-                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                last = [table.column(c)[-1].as_py() for c in trie]
-                same = np.ones(table.num_rows, dtype=bool)
-                for name, value in zip(trie, last, strict=True):
-                    same &= table.column(name).to_numpy() == value
-                cut = int(np.argmax(same))
+                table = pa.Table.from_batches(held).combine_chunks()
+                meeting, keys, _ = (c.to_numpy() for c in table.columns)
+                same = keys & by_choice[(meeting >> 40) % len(masks)]
+                last = (meeting == meeting[-1]) & (same == same[-1])
+                cut = int(np.argmax(last))
                 if cut:
-                    yield solve([table.slice(0, cut)])
-                held = [table.slice(cut)]
+                    yield solve(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
             held.append(batch)
-        if held:
-            yield solve(held)
+            many = sum(x.num_rows for x in held)
+        if many:
+            yield solve(pa.Table.from_batches(held))
 
-    placed = dealt.repartition(*trie).sortWithinPartitions(*trie, "fingerprint")
+    placed = dealt.repartition(F.col("meeting"), agreed).sortWithinPartitions(
+        F.col("meeting"), agreed, F.col("fingerprint")
+    )
     close = placed.mapInArrow(join, "a long, b long")
     same = signed.distinct().join(
-        different.withColumnRenamed("node", "first"), "fingerprint"
-    ).where("node <> first")
-    return close.union(same.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        different.withColumnRenamed("node", "first"), ["print", "fingerprint"]
+    )
+    return close.union(
+        same.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    )
 
 
 def _grouped(signed: DataFrame, budget: int, prints: int = 1) -> DataFrame:
     """``signed`` with root (a fingerprint) and component_id (the smallest id of the group)."""
     signed = signed.withColumn("node", F.col("print0"))
-    links = [
-        trie_links(signed.select("node", F.col(f"print{p}").alias("fingerprint")), budget)
-        for p in range(prints)
-    ]
-    members = connected_components(functools.reduce(DataFrame.union, links))
+    each = F.array(
+        *[
+            F.struct(F.lit(p).alias("print"), F.col(f"print{p}").alias("fingerprint"))
+            for p in range(prints)
+        ]
+    )
+    links = trie_links(signed.select("node", F.inline(each)), budget)
+    members = connected_components(links)
     known = signed.groupBy("node").agg(F.min("id").alias("least"))
     rooted = known.join(members, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
