@@ -5,10 +5,12 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks import sql
 from checks.registry import gold, register, rounded, silver
 from docket_spark.functions.answers import display_findings
+from docket_spark.functions.dates import add_months
 from docket_spark.functions.metrics import metric_rollup, relative_change, sum_between
 from docket_spark.operators.totals import with_share
 from docket_spark.plans.analysis import Filters, Request, run, run_batch
@@ -450,8 +452,19 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    counts = run(Request("quarter_comparison", limit=1000, **QUARTERS), gold(spark, sf))
-    change = F.col("absolute_increase")
+    month, count = F.col("complaint_month"), F.col("complaint_count")
+    middle = QUARTERS["comparison_start"]
+    first, last = QUARTERS["baseline_start"], add_months(middle, 3)
+    counts = (
+        gold(spark, sf)["company_month_metrics"]
+        .where((month >= F.lit(first)) & (month < F.lit(last)))
+        .groupBy("company")
+        .agg(
+            sum_between(count, month, first, middle).alias("baseline_complaints"),
+            sum_between(count, month, middle, last).alias("comparison_complaints"),
+        )
+    )
+    change = F.col("comparison_complaints") - F.col("baseline_complaints")
     return rounded(
         counts.select(
             "company",
@@ -530,7 +543,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     request = Request("period_comparison_with_issue_drivers", limit=12, **YEARS)
-    rows = run(request, gold(spark, sf)).withColumn(
-        "place", F.monotonically_increasing_id() + 1
+    # The total and at most twelve drivers: numbering them by the operation's own order is bounded.
+    order = Window.orderBy(
+        F.col("row_type") == "driver", F.abs("absolute_change").desc(), F.col("issue")
     )
+    rows = run(request, gold(spark, sf)).withColumn("place", F.row_number().over(order).cast("long"))
     return rows.select("place", "row_type", "issue", "absolute_change")

@@ -44,7 +44,7 @@ RATE_COLUMNS = (
     "timely_response_known_count",
     "timely_response_rate",
 )
-ABSENT = 5  # companies with n_nationkey % 7 == ABSENT get no evidence at all
+ABSENT = 5  # requests of companies with n_nationkey % 7 == ABSENT ask for a name nobody has
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,10 @@ def _items(spark, sf, questions):
         F.col("vec_id").alias("number"), F.col("embedding").alias("query_vector")
     )
     companies = questions.select("company", "number").distinct()
-    asked = companies.where(F.col("number") % 7 != ABSENT).join(vectors, "number").select(
-        F.col("company").alias("question_id"), "company", "query_vector"
+    unknown = F.concat("company", F.lit(" (unknown)"))
+    wanted = F.when(F.col("number") % 7 == ABSENT, unknown).otherwise(F.col("company"))
+    asked = companies.join(vectors, "number").select(
+        F.col("company").alias("question_id"), wanted.alias("company"), "query_vector"
     )
     ranked = nearest_by_key(index(spark, sf), asked, ["company"], 24)
     kept = retrieval.diverse(ranked, 8).drop("question_id")

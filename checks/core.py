@@ -496,6 +496,17 @@ def _(spark, sf):
     return silver(spark, sf)
 
 
+@register(
+    "win_kept_rows",
+    sql.query(
+        f"SELECT {', '.join(silver_plan.SILVER_COLUMNS)} FROM silver",
+        "silver",
+    ),
+)
+def _(spark, sf):
+    return silver_plan.typed(silver_plan.kept_rows(silver_plan.clean(raw(spark, sf))))
+
+
 @register(
     "srt_index_order_limit",
     sql.query(

@@ -47,7 +47,7 @@ def narratives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
-    """Index rows of the narratives that have a vector."""
+    """Index rows of all narratives; vectors are dealt to the documents in turn."""
     return index_rows(narratives(spark, sf)).join(testdata.vectors(spark, sf), "complaint_id")
 
 

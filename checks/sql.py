@@ -133,8 +133,8 @@ SELECT complaint_id, substr(consumer_complaint_narrative, 1, 6000) AS excerpt, p
   issue, sub_issue, company, company_key, brand_name, date_received, state, timely_response,
   company_response_to_consumer AS company_response,
   length(consumer_complaint_narrative) > 6000 AS narrative_truncated, embedding
-FROM narrative JOIN (SELECT CAST(vec_id AS VARCHAR) AS complaint_id, embedding FROM embeddings)
-  USING (complaint_id)
+FROM narrative JOIN embeddings
+  ON vec_id = CAST(complaint_id AS BIGINT) % (SELECT count(*) FROM embeddings)
 WHERE length(trim(consumer_complaint_narrative)) > 0"""
 
 BLOCKS = {

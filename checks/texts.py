@@ -288,7 +288,7 @@ def _(spark, sf):
     )
 
 
-_SENTENCE = "regexp_replace(substr(c, 1, 60), '[“”\".!?:]', '', 'g')"
+_SENTENCE = "regexp_replace(c, '[“”\".!?:]', '', 'g')"
 _ANSWER = (
     f"SELECT doc_id, {_SENTENCE} AS s, 'Found ' || n_chars || ' characters. Complaint ' || doc_id "
     f"|| ' reported: “' || {_SENTENCE} || '” Interpretation: from ' || source || '. "
@@ -308,9 +308,7 @@ _ANSWER = (
     ),
 )
 def _(spark, sf):
-    quote = F.regexp_replace(
-        F.substring(t.collapse_whitespace(F.col("text")), 1, 60), "[“”\".!?:]", ""
-    )
+    quote = F.regexp_replace(t.collapse_whitespace(F.col("text")), "[“”\".!?:]", "")
     answers = _documents(spark, sf).select(
         "doc_id",
         F.concat(

@@ -170,32 +170,31 @@ AUDITED_FIELDS = (
     "company_response",
 )
 
-# --- Fixed values: reasons an audit reports, and their parts. ---
+# --- Fixed values: reasons an audit reports; a name in braces stands for its value. ---
 REASONS = {
     "missing_structured": "required structured evidence is missing",
     "missing_narrative": "required narrative evidence is missing",
-    "complaint_id": "Complaint ID '",
-    "missing_metadata": "is missing metadata ",
-    "mismatched_filter": "mismatches filter ",
-    "invalid_timely": "has invalid timely_response metadata",
-    "mismatched_timely": "mismatches filter timely_response",
-    "invalid_date": "has invalid date_received metadata",
-    "before_start": "predates retrieval start",
-    "outside_end": "is outside retrieval end",
-    "not_canonical": "is not canonical decimal",
-    "duplicated_evidence": "is duplicated in evidence",
-    "unknown_kind": "unsupported claim kind: ",
+    "missing_metadata": "Complaint ID '{id}' is missing metadata {field}",
+    "mismatched_filter": "Complaint ID '{id}' mismatches filter {field}",
+    "invalid_timely": "Complaint ID '{id}' has invalid timely_response metadata",
+    "mismatched_timely": "Complaint ID '{id}' mismatches filter timely_response",
+    "invalid_date": "Complaint ID '{id}' has invalid date_received metadata",
+    "before_start": "Complaint ID '{id}' predates retrieval start",
+    "outside_end": "Complaint ID '{id}' is outside retrieval end",
+    "not_canonical": "Complaint ID '{id}' is not canonical decimal",
+    "duplicated_evidence": "Complaint ID '{id}' is duplicated in evidence",
+    "unknown_kind": "unsupported claim kind: {kind}",
     "one_row_reference": "quantitative claim requires exactly one structured reference",
     "absent_row": "structured row reference does not exist",
     "no_column": "structured reference requires at least one column",
     "absent_column": "structured column reference does not exist",
-    "exact_columns": " requires exact ordered structured columns",
+    "exact_columns": "{template} requires exact ordered structured columns",
     "total_row": "comparison total must reference the total row",
     "driver_row": "issue driver must reference a driver row",
     "one_citation": "narrative claim requires exactly one narrative reference",
-    "not_in_evidence": "is not in evidence",
-    "duplicated": "is duplicated",
-    "not_in_excerpt": "is not in excerpt",
+    "not_in_evidence": "Complaint ID '{id}' is not in evidence",
+    "duplicated": "Complaint ID '{id}' is duplicated",
+    "not_in_excerpt": "quote for Complaint ID '{id}' is not in excerpt",
     "theme_references": "sample theme must not contain row or complaint references",
     "theme_size": "sample theme requires between one and three repeated labels",
     "theme_mismatch": "sample themes do not match repeated retrieved metadata",
@@ -208,9 +207,7 @@ REASONS = {
     "too_many_citations": "narrative examples exceed the maximum of three citations",
     "no_citation": "narrative answer has no accepted citations",
     "no_denominator": "known-response denominator interpretation is missing",
-    "claim_kind": "claim kind ",
-    "disallowed_template": " does not allow template ",
-    "quote": "quote for ",
+    "disallowed_template": "claim kind '{kind}' does not allow template '{template}'",
 }
 SEQUENCE_REASONS = {
     "response_distribution": (
@@ -227,23 +224,25 @@ SEQUENCE_REASONS = {
     ),
 }
 
-# --- Fixed values: parts of rendered sentences. ---
+# --- Fixed values: rendered sentences, whole; a name in braces stands for its value. ---
 SENTENCES = {
-    "complaints": "complaints ",
-    "share_of": "% of ",
-    "were": "Complaints were ",
-    "baseline": " in the baseline {span} versus ",
-    "comparison": " in the comparison {span}, a change of ",
-    "driver": "Driver ",
-    "change": ": change ",
-    "returned": "The executed analysis returned: ",
-    "among_examples": "Among the retrieved examples, ",
-    "complaint": "Complaint ",
-    "reported": " reported: “",
-    "themes": "Among the retrieved examples, repeated issue/sub-issue labels were: ",
-    "limitation": "Limitation: ",
-    "interpretations": "Interpretation: ",
-    "limitations": "Limitations: ",
-    "unresolved": "The explicit company or brand '",
-    "unresolved_end": "' could not be resolved.",
+    "ranked_issue_row": "{issue}: {count} complaints ({percent}% of {total}).",
+    "response_category_row": "{category}: {count} ({percent}% of {total}).",
+    "comparison_total": (
+        "Complaints were {direction}: {baseline} in the baseline year versus {comparison} in the "
+        "comparison year, a change of {change}."
+    ),
+    "quarter_comparison_total": (
+        "{company}: Complaints were {direction}: {baseline} in the baseline period versus "
+        "{comparison} in the comparison period, a change of {change}."
+    ),
+    "driver": "Driver {issue}: change {change} ({baseline} to {comparison}).",
+    "structured_row": "The executed analysis returned: {cells}.",
+    "sample_complaint": "Among the retrieved examples, Complaint {id} reported: “{quote}”",
+    "attributed_complaint": "Complaint {id} reported: “{quote}”",
+    "themes": "Among the retrieved examples, repeated issue/sub-issue labels were: {labels}.",
+    "limitation": "Limitation: {text}",
+    "interpretations": "Interpretation: {texts}",
+    "limitations": "Limitations: {texts}",
+    "unresolved": "The explicit company or brand '{name}' could not be resolved.",
 }

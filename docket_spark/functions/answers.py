@@ -14,6 +14,11 @@ DISPLAY_LABELS = ("issue", "sub_issue", "company_response_to_consumer", "company
 DISPLAY_ROWS = 5
 
 
+def _prefix(name: str) -> str:
+    """What a sentence says before its first value."""
+    return SENTENCES[name].partition("{")[0]
+
+
 def _strip(value: Column) -> Column:
     return F.regexp_replace(value, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
@@ -30,8 +35,8 @@ def _split_tail(text: Column, marker: str) -> tuple[Column, Column]:
 
 def parse_answer(answers: DataFrame, text: str = "answer") -> DataFrame:
     """Body sentences, quotations and the two tails of every rendered answer."""
-    body, limitations = _split_tail(F.coalesce(F.col(text), F.lit("")), SENTENCES["limitations"])
-    body, interpretation = _split_tail(body, SENTENCES["interpretations"])
+    body, limitations = _split_tail(F.coalesce(F.col(text), F.lit("")), _prefix("limitations"))
+    body, interpretation = _split_tail(body, _prefix("interpretations"))
     step = answers.withColumns(
         {"_body": body, "interpretation": interpretation, "limitations": limitations}
     )

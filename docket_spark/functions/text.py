@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +101,14 @@ def format_number(value: Column) -> Column:
 
 def document_id(complaint_id: Column) -> Column:
     return F.sha2(complaint_id, 256)
+
+
+def fill(sentence: str, /, **values: Column) -> Column:
+    """``sentence`` with every name in braces replaced by its value; NULL where a value is NULL."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(sentence):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(values[name].cast("string"))
+    return F.concat(*parts)

@@ -11,7 +11,7 @@ from docket_spark.constants import (
     REJECTED_PREFIX,
     SENTENCES,
 )
-from docket_spark.functions.text import is_nonblank
+from docket_spark.functions.text import fill, is_nonblank
 
 
 def answer_records(
@@ -53,11 +53,7 @@ def answer_records(
         F.when(uncovered, F.col("uncovered"))
         .when(
             unresolved,
-            F.concat(
-                F.lit(SENTENCES["unresolved"]),
-                "company_or_brand",
-                F.lit(SENTENCES["unresolved_end"]),
-            ),
+            fill(SENTENCES["unresolved"], name=F.col("company_or_brand")),
         )
         .when(no_rows, NO_ROWS_REASON)
         .when(no_items, NO_NARRATIVES_REASON)

@@ -19,7 +19,7 @@ from docket_spark.constants import (
     TRUNCATED_NARRATIVE,
     UNKNOWN_EXCLUDED,
 )
-from docket_spark.functions.text import bounded_quote, format_number, quote_fingerprint
+from docket_spark.functions.text import bounded_quote, fill, format_number, quote_fingerprint
 from docket_spark.operators.ranking import pick_examples
 from docket_spark.operators.totals import joined_text
 from docket_spark.plans.evidence import theme_lists
@@ -190,40 +190,25 @@ def claim_texts(claims: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = [part for name, text in texts.items() for part in (F.lit(name), text)]
     change = F.col("absolute_change") if "absolute_change" in texts else F.lit(None).cast("bigint")
     share = F.col("share") if "share" in texts else F.lit(None).cast("double")
+    shown = {
+        "issue": value("issue"),
+        "category": value("company_response_to_consumer"),
+        "company": value("winner_company"),
+        "count": value("complaint_count"),
+        "percent": format_number(share * 100),
+        "total": value("total_complaints"),
+        "direction": F.when(change > 0, "up").when(change < 0, "down").otherwise("flat"),
+        "baseline": value("baseline_complaints"),
+        "comparison": value("comparison_complaints"),
+        "change": value("absolute_change"),
+    }
+    sentences = ("ranked_issue_row", "response_category_row", "comparison_total")
+    sentences += ("quarter_comparison_total", "driver")
     rendered_rows = rows.select(
         "question_id",
         "row_index",
         F.create_map(*pairs).alias("_values"),
-        F.concat(
-            value("complaint_count"),
-            F.lit(" {noun}("),
-            format_number(share * 100),
-            F.lit(SENTENCES["share_of"]),
-            value("total_complaints"),
-            F.lit(")."),
-        ).alias("_ranked"),
-        F.concat(
-            F.lit(SENTENCES["were"]),
-            F.when(change > 0, "up").when(change < 0, "down").otherwise("flat"),
-            F.lit(": "),
-            value("baseline_complaints"),
-            F.lit(SENTENCES["baseline"]),
-            value("comparison_complaints"),
-            F.lit(SENTENCES["comparison"]),
-            value("absolute_change"),
-            F.lit("."),
-        ).alias("_total"),
-        F.concat(
-            F.lit(SENTENCES["driver"]),
-            value("issue"),
-            F.lit(SENTENCES["change"]),
-            value("absolute_change"),
-            F.lit(" ("),
-            value("baseline_complaints"),
-            F.lit(" to "),
-            value("comparison_complaints"),
-            F.lit(")."),
-        ).alias("_driver"),
+        *[fill(SENTENCES[name], **shown).alias(f"_{name}") for name in sentences],
     )
     joined = claims.join(rendered_rows, ["question_id", "row_index"], "left")
     template = F.col("template")
@@ -240,61 +225,24 @@ def claim_texts(claims: DataFrame, rows: DataFrame) -> DataFrame:
             F.lit(")"),
         ),
     )
-    reported = F.concat(
-        F.lit(SENTENCES["complaint"]),
-        F.col("complaint_id"),
-        F.lit(SENTENCES["reported"]),
-        F.col("quote"),
-        F.lit("”"),
-    )
-    winner = F.element_at("_values", F.lit("winner_company"))
-
-    def spanning(span: str) -> Column:
-        return F.replace(F.col("_total"), F.lit("{span}"), F.lit(span))
-
+    cited = {"id": F.col("complaint_id"), "quote": F.col("quote")}
     text = (
-        F.when(
-            template == "ranked_issue_row",
-            F.concat(
-                F.element_at("_values", F.lit("issue")),
-                F.lit(": "),
-                F.replace(F.col("_ranked"), F.lit("{noun}"), F.lit(SENTENCES["complaints"])),
-            ),
-        )
-        .when(
-            template == "response_category_row",
-            F.concat(
-                F.element_at("_values", F.lit("company_response_to_consumer")),
-                F.lit(": "),
-                F.replace(F.col("_ranked"), F.lit("{noun}"), F.lit("")),
-            ),
-        )
-        .when(template == "comparison_total", spanning("year"))
-        .when(
-            template == "quarter_comparison_total",
-            F.concat(winner, F.lit(": "), spanning("period")),
-        )
+        F.when(template == "ranked_issue_row", F.col("_ranked_issue_row"))
+        .when(template == "response_category_row", F.col("_response_category_row"))
+        .when(template == "comparison_total", F.col("_comparison_total"))
+        .when(template == "quarter_comparison_total", F.col("_quarter_comparison_total"))
         .when(template.isin("issue_driver", "quarter_issue_driver"), F.col("_driver"))
         .when(
             F.col("kind") == "quantitative",
-            F.concat(
-                F.lit(SENTENCES["returned"]), F.array_join(cells, ", "), F.lit(".")
-            ),
-        )
-        .when(
-            template == "sample_complaint",
-            F.concat(F.lit(SENTENCES["among_examples"]), reported),
+            fill(SENTENCES["structured_row"], cells=F.array_join(cells, ", ")),
         )
-        .when(F.col("kind") == "narrative", reported)
+        .when(template == "sample_complaint", fill(SENTENCES["sample_complaint"], **cited))
+        .when(F.col("kind") == "narrative", fill(SENTENCES["attributed_complaint"], **cited))
         .when(
             F.col("kind") == "sample_theme",
-            F.concat(
-                F.lit(SENTENCES["themes"]),
-                F.array_join(labels, "; "),
-                F.lit("."),
-            ),
+            fill(SENTENCES["themes"], labels=F.array_join(labels, "; ")),
         )
-        .otherwise(F.concat(F.lit(SENTENCES["limitation"]), template))
+        .otherwise(fill(SENTENCES["limitation"], text=template))
     )
     return joined.select("question_id", "claim_no", text.alias("text"))
 
@@ -311,15 +259,15 @@ def render(claims: DataFrame, remarks: DataFrame, rows: DataFrame) -> DataFrame:
         F.floor(F.col("claim_no") / CHUNK),
     )
 
-    def tail(prefix: str, name: str) -> Column:
-        return F.when(F.size(name) > 0, F.concat(F.lit(prefix), F.array_join(name, " ")))
+    def tail(name: str) -> Column:
+        return F.when(F.size(name) > 0, fill(SENTENCES[name], texts=F.array_join(name, " ")))
 
     return remarks.join(sentences, "question_id", "left").select(
         "question_id",
         F.concat_ws(
             " ",
             "sentences",
-            tail(SENTENCES["interpretations"], "interpretations"),
-            tail(SENTENCES["limitations"], "limitations"),
+            tail("interpretations"),
+            tail("limitations"),
         ).alias("answer"),
     )

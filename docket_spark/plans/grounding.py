@@ -26,6 +26,7 @@ from docket_spark.constants import (
 from docket_spark.functions.text import (
     collapse_whitespace,
     contains_quote,
+    fill,
     fold,
     is_canonical_id,
 )
@@ -38,8 +39,8 @@ REASON_COLUMNS = ("question_id", "stage", "major", "minor", "reason")
 MISSING, EVIDENCE, CLAIMS, DRAFT = 0, 1, 2, 3
 
 
-def _named(identifier: Column, text: str) -> Column:
-    return F.concat(F.lit(REASONS["complaint_id"]), identifier, F.lit(f"' {text}"))
+def _named(identifier: Column, reason: str, field: str = "") -> Column:
+    return fill(REASONS[reason], id=identifier, field=F.lit(field))
 
 
 def _checks(frame: DataFrame, stage: int, major: Column, *checks: Column) -> DataFrame:
@@ -69,8 +70,8 @@ def metadata_checks(identifier: Column) -> list[Column]:
         checks.append(
             F.when(
                 wanted.isNotNull(),
-                F.when(absent, _named(identifier, REASONS["missing_metadata"] + name)).when(
-                    fold(actual) != fold(wanted), _named(identifier, REASONS["mismatched_filter"] + name)
+                F.when(absent, _named(identifier, "missing_metadata", name)).when(
+                    fold(actual) != fold(wanted), _named(identifier, "mismatched_filter", name)
                 ),
             )
         )
@@ -80,10 +81,10 @@ def metadata_checks(identifier: Column) -> list[Column]:
             F.col("want_timely_response").isNotNull(),
             F.when(
                 ~flag.isin("true", "false"),
-                _named(identifier, REASONS["invalid_timely"]),
+                _named(identifier, "invalid_timely"),
             ).when(
                 (flag == "true") != F.col("want_timely_response"),
-                _named(identifier, REASONS["mismatched_timely"]),
+                _named(identifier, "mismatched_timely"),
             ),
         )
     )
@@ -91,13 +92,13 @@ def metadata_checks(identifier: Column) -> list[Column]:
     day = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date"))
     ranged = F.col("want_start").isNotNull() | F.col("want_end").isNotNull()
     checks.append(
-        F.when(ranged & day.isNull(), _named(identifier, REASONS["invalid_date"]))
+        F.when(ranged & day.isNull(), _named(identifier, "invalid_date"))
     )
     checks.append(
-        F.when(day < F.col("want_start"), _named(identifier, REASONS["before_start"]))
+        F.when(day < F.col("want_start"), _named(identifier, "before_start"))
     )
     checks.append(
-        F.when(day >= F.col("want_end"), _named(identifier, REASONS["outside_end"]))
+        F.when(day >= F.col("want_end"), _named(identifier, "outside_end"))
     )
     return checks
 
@@ -115,7 +116,7 @@ def evidence_reasons(items: DataFrame, filters: DataFrame) -> DataFrame:
         EVIDENCE,
         F.col("position"),
         *metadata_checks(identifier),
-        F.when(~is_canonical_id(identifier), _named(identifier, REASONS["not_canonical"])),
+        F.when(~is_canonical_id(identifier), _named(identifier, "not_canonical")),
     )
     again = first_rows(
         items.select("question_id", "complaint_id", "position"),
@@ -129,7 +130,7 @@ def evidence_reasons(items: DataFrame, filters: DataFrame) -> DataFrame:
         F.lit(EVIDENCE).alias("stage"),
         F.col("position").cast("bigint").alias("major"),
         F.lit(100).alias("minor"),
-        _named(identifier, REASONS["duplicated_evidence"]).alias("reason"),
+        _named(identifier, "duplicated_evidence").alias("reason"),
     )
     return _union([single, repeated])
 
@@ -142,10 +143,6 @@ def _template_allowed() -> Column:
     return F.coalesce(*allowed, F.lit(False))
 
 
-def _quote_name(name: str) -> Column:
-    return F.concat(F.lit("'"), F.col(name), F.lit("'"))
-
-
 def shape_reasons(claims: DataFrame) -> DataFrame:
     """Claims of unknown kind or with a template their kind does not allow."""
     known = F.col("kind").isin(*CLAIM_TEMPLATES)
@@ -153,13 +150,12 @@ def shape_reasons(claims: DataFrame) -> DataFrame:
         claims,
         CLAIMS,
         F.col("claim_no"),
-        F.when(~known, F.concat(F.lit(REASONS["unknown_kind"]), F.col("kind"))).when(
+        F.when(~known, fill(REASONS["unknown_kind"], kind=F.col("kind"))).when(
             ~_template_allowed(),
-            F.concat(
-                F.lit(REASONS["claim_kind"]),
-                _quote_name("kind"),
-                F.lit(REASONS["disallowed_template"]),
-                _quote_name("template"),
+            fill(
+                REASONS["disallowed_template"],
+                kind=F.col("kind"),
+                template=F.col("template"),
             ),
         ),
     )
@@ -209,7 +205,7 @@ def quantitative_reasons(claims: DataFrame, rows: DataFrame) -> DataFrame:
         ),
         F.when(
             found & expected.isNotNull() & (columns != expected),
-            F.concat(template, F.lit(REASONS["exact_columns"])),
+            fill(REASONS["exact_columns"], template=template),
         ),
         F.when(
             found
@@ -264,16 +260,14 @@ def narrative_reasons(claims: DataFrame, items: DataFrame) -> DataFrame:
         F.col("claim_no"),
         F.when(
             ~F.col("_single"), REASONS["one_citation"]
-        ).when(F.col("excerpt").isNull(), _named(identifier, REASONS["not_in_evidence"])),
+        ).when(F.col("excerpt").isNull(), _named(identifier, "not_in_evidence")),
         F.when(
-            found & ~is_canonical_id(identifier), _named(identifier, REASONS["not_canonical"])
+            found & ~is_canonical_id(identifier), _named(identifier, "not_canonical")
         ),
         F.lit(None).cast("string"),
         F.when(
             found & ~contains_quote(F.col("excerpt"), F.col("quote")),
-            F.concat(
-                F.lit(REASONS["quote"]), _named(identifier, REASONS["not_in_excerpt"])
-            ),
+            _named(identifier, "not_in_excerpt"),
         ),
     )
     again = first_rows(
@@ -288,7 +282,7 @@ def narrative_reasons(claims: DataFrame, items: DataFrame) -> DataFrame:
         F.lit(CLAIMS).alias("stage"),
         F.col("claim_no").alias("major"),
         F.lit(2).alias("minor"),
-        _named(identifier, REASONS["duplicated"]).alias("reason"),
+        _named(identifier, "duplicated").alias("reason"),
     )
     return _union([single, repeated])
 

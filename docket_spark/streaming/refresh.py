@@ -206,8 +206,9 @@ def refresh_stream(
 ) -> None:
     """Process every snapshot file that arrived since the last run, then stop.
 
-    Each micro batch is merged through ``apply_batch``. The row order inside a batch is file name
-    and read position, as in a landed snapshot.
+    Each micro batch is merged through ``apply_batch``. Inside a batch the newest file comes first,
+    then rows in the order of their file, so a complaint ends as its newest snapshot has it whether
+    snapshots are processed one by one or together. Files of the same moment go by path.
     """
     stream = (
         spark.readStream.schema(SNAPSHOT_SCHEMA)
@@ -215,7 +216,8 @@ def refresh_stream(
         .select(
             "*",
             F.struct(
-                F.col("_metadata.file_name").alias("file"),
+                (-F.unix_micros("_metadata.file_modification_time")).alias("newest"),
+                F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.row_index").alias("row"),
             ).alias(ROW_ORDER),
         )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docket_spark.constants import METRIC_TABLES
 from docket_spark.plans import bronze, gold, silver
 from docket_spark.plans.publish import current_folder, current_report, read_current
-from docket_spark.sources.complaints import ROW_ORDER
+from docket_spark.sources.complaints import ROW_ORDER, read_snapshot
 
 BRONZE = "date_received string, consumer_complaint_narrative string, complaint_id string"
 CLEAN = [("2025-01-03T10:00:00Z", "narrative", "1")]
@@ -197,3 +197,22 @@ def test_date_texts(spark):
     assert parsed == [date(2025, 1, 3)] * len(good) + [None] * len(bad)
     ordinal = frame.where("t = '2025-01-03'").select(date_ordinal(parse_date(F.col("t")))).first()[0]
     assert ordinal == date(2025, 1, 3).toordinal()
+
+
+def test_neither_file_size_nor_split_size_moves_the_first_row(spark, tmp_path):
+    """a.parquet has one row, b.parquet many; the row in a comes first however files are read."""
+    folder = str(tmp_path / "snapshot")
+    for name, n in (("a", 1), ("b", 20_000)):
+        part = spark.range(n).selectExpr("CAST(id AS STRING) AS complaint_id", f"'{name}' AS product")
+        part.coalesce(1).write.parquet(str(tmp_path / name))
+        source = next((tmp_path / name).glob("part-*.parquet"))
+        (tmp_path / "snapshot").mkdir(exist_ok=True)
+        (tmp_path / "snapshot" / f"{name}.parquet").write_bytes(source.read_bytes())
+    for size in ("128m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            first = silver.canonical(read_snapshot(spark, folder))
+            assert first.where("complaint_id = '0'").first()["product"] == "a"
+            assert first.count() == 20_000
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -241,6 +241,32 @@ def test_stream_processes_arrivals_once(spark, built, tmp_path):
     assert current_folder(spark, built[1]) == after
 
 
+def test_snapshots_processed_one_by_one_or_together_end_alike(spark, built, tmp_path):
+    """The newest snapshot wins either way, also where its name sorts last."""
+    import os
+    import shutil
+
+    ends = []
+    for together in (False, True):
+        root = str(tmp_path / f"silver-{together}")
+        shutil.copytree(built[1], root)
+        inbox, checkpoint = tmp_path / f"inbox-{together}", str(tmp_path / f"checkpoint-{together}")
+        inbox.mkdir()
+        for k, name in enumerate(("a", "b")):
+            made = tmp_path / f"made-{together}-{name}"
+            row = raw_row(complaint_id="1", product=f"version {k + 1}", timely_response="Yes")
+            spark.createDataFrame([row], RAW_SCHEMA).coalesce(1).write.parquet(str(made))
+            target = inbox / f"{name}.parquet"
+            target.write_bytes(next(made.glob("part-*.parquet")).read_bytes())
+            os.utime(target, (1_700_000_000 + 60 * k,) * 2)
+            if not together:
+                refresh.refresh_stream(spark, str(inbox), root, checkpoint)
+        refresh.refresh_stream(spark, str(inbox), root, checkpoint)
+        found = read_current(spark, root, "complaints").where("complaint_id = '1'").collect()
+        ends.append([r["product"] for r in found])
+    assert ends == [["version 2"], ["version 2"]]
+
+
 def test_drift(spark):
     old = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "x")], "a int, b string")
     new = spark.createDataFrame([(1, None, 1)] * 3 + [(1, "x", 1)], "a int, b string, c int")
