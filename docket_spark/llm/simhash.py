@@ -4,7 +4,8 @@ A fingerprint has 64 bits; two documents are linked when at most ``budget`` bits
 the connected components. Links are found on the different fingerprints only, so exact copies cost
 nothing here, by traversing pairs of trie nodes together: a pair starts with one node and itself, each
 level extends both nodes by one bit and adds one to the pair's difference where the bits differ, and a
-pair whose difference exceeds the budget is dropped with all that lies below it.
+pair whose difference exceeds the budget is dropped with all that lies below it. Where two nodes hold
+few keys (``SMALL`` combinations), the keys themselves are compared.
 
 One trie over all fingerprints would visit a number of node pairs that grows with the square of the
 corpus before pruning bites. So the bits are cut into ``budget + 2`` blocks; of these at least two agree
@@ -49,6 +50,7 @@ SEED = 42
 LEAF = 20_000
 SHARE, LISTED = 16, 10_000
 CHUNK = 1 << 16
+SMALL = 1024
 STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 7, 6
 TEXT_BYTES = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
@@ -153,10 +155,28 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return labels
         a, b = a[apart], b[apart]
         np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while (further := labels[labels]).tolist() != labels.tolist():
+        while not np.array_equal(further := labels[labels], labels):
             labels = further
 
 
+def _near(
+    keys: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, budget: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked keys, one in [a, b) and one in [c, d), of small node pairs."""
+    across = d - c
+    many = (b - a) * across
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    cuts = np.searchsorted(np.cumsum(many), np.arange(CHUNK, many.sum() + CHUNK, CHUNK))
+    for at, end in itertools.pairwise([0, *(cuts + 1)]):
+        size = many[at:end]
+        pair = np.repeat(np.arange(at, at + len(size)), size)
+        inside = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        i, j = a[pair] + inside // across[pair], c[pair] + inside % across[pair]
+        linked = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+        found.append(np.array([i[linked], j[linked]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
     """Component labels of ``keys`` inside each trie.
 
@@ -181,20 +201,19 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
         a, b, c, d, differ = (x[~one] for x in (a, b, c, d, differ))
         if not len(a):
             continue
-        single = (b - a == 1) & (d - c == 1)
-        near = single & (np.bitwise_count(keys[a] ^ keys[c]) <= budget)
-        close = ~single & (differ + (BITS - level) <= budget)
-        if near.any() or close.any():
-            left, right = a[near], c[near]
-            if close.any():  # whatever lies below, it is within the budget
-                for lo, hi in ((a[close], b[close]), (c[close], d[close])):
-                    size = hi - lo
-                    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    left = np.append(left, np.repeat(a[close], size))
-                    right = np.append(right, np.repeat(lo, size) + inside)
+        small = (b - a) * (d - c) <= SMALL
+        close = ~small & (differ + (BITS - level) <= budget)
+        left, right = _near(keys, a[small], b[small], c[small], d[small], budget)
+        if close.any():  # whatever lies below, it is within the budget
+            for lo, hi in ((a[close], b[close]), (c[close], d[close])):
+                size = hi - lo
+                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                left = np.append(left, np.repeat(a[close], size))
+                right = np.append(right, np.repeat(lo, size) + inside)
+        if len(left):
             labels = _merge(labels, left, right)
             changes = np.append(0, np.cumsum(labels[1:] != labels[:-1]))
-        go = ~single & ~close
+        go = ~small & ~close
         a, b, c, d, differ = (x[go] for x in (a, b, c, d, differ))
         if not len(a):
             continue
@@ -276,9 +295,12 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
         # Flipping the first bit makes signed order unsigned; differences stay the same.
         keys = signed_keys.view(np.uint64) ^ np.uint64(1 << 63)
         labels = trie_components(keys, np.flatnonzero(new), budget)
-        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        # The smallest node stands for a component, so that tries with the same group agree on it.
+        least = nodes.copy()
+        np.minimum.at(least, labels, nodes)
+        linked = np.flatnonzero(least[labels] != nodes)
         return pa.record_batch(
-            [pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], names=["a", "b"]
+            [pa.array(nodes[linked]), pa.array(least[labels[linked]])], names=["a", "b"]
         )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
