@@ -11,9 +11,10 @@ from docket_spark.session import cut_lineage
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (columns a, b) to (node, root), root being the smallest node reachable.
 
-    Every round relabels the links' ends, takes per label the smallest label next to it and follows
-    two pointers; labels only fall, and the rounds end when no link joins two labels. The number of
-    rounds grows with the logarithm of the longest chain. Nothing is gathered: a frequent node is one
+    Every round takes per label the smallest label next to it, follows these pointers to their ends by
+    doubling, and relabels the nodes. Half of the labels that still meet another go in each round, so
+    rounds, and steps in a round, grow with the logarithm only. The rounds end when no link joins two
+    labels. Nothing is gathered: a frequent node is one
     row after partial aggregation, and joins on it have one row on the label side, so that adaptive
     execution can split the other. Each round is written to the checkpoint folder.
     """
@@ -28,11 +29,18 @@ def connected_components(links: DataFrame) -> DataFrame:
             .agg(F.min("b").alias("low"))
             .select("root", F.least("root", "low").alias("next"))
         )
-        for _ in range(2):
+        moved = True
+        while moved:
             further = hooked.select(F.col("root").alias("next"), F.col("next").alias("beyond"))
-            hooked = hooked.join(further, "next", "left").select(
-                "root", F.coalesce("beyond", "next").alias("next")
+            jumped = cut_lineage(
+                hooked.select("root", "next").join(further, "next", "left").select(
+                    "root",
+                    F.coalesce("beyond", "next").alias("next"),
+                    (F.coalesce("beyond", "next") != F.col("next")).alias("moved"),
+                )
             )
+            moved = not jumped.where("moved").isEmpty()
+            hooked = jumped.drop("moved")
         labels = cut_lineage(
             labels.join(hooked, "root", "left").select(
                 "node", F.coalesce("next", "root").alias("root")
@@ -40,11 +48,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         of_a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         of_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        between = cut_lineage(
-            links.join(of_a, "a")
-            .join(of_b, "b")
-            .where("ra <> rb")
-            .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            .distinct()
+        # A link whose ends have one label stays so: only the others are looked at again.
+        links = cut_lineage(
+            links.select("a", "b").join(of_a, "a").join(of_b, "b").where("ra <> rb")
         )
+        between = links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     return labels
