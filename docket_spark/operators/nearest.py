@@ -60,14 +60,16 @@ def nearest_by_key(
     if k < 1:
         raise ValueError("top_k must be positive")
     candidates = index if predicate is None else index.where(predicate)
+    # Only ids and distances are sorted; documents join the k ids that are left.
     scored = (
-        candidates.join(requests, list(on))
-        .withColumn("distance", squared_l2(F.col("embedding"), F.col("query_vector")))
-        .drop("query_vector", "embedding")
-    )
-    return first_rows(
-        scored, [request], [F.col("distance").asc(), F.col(key).asc()], k, "rank"
+        candidates.select(key, "embedding", *on)
+        .join(requests.select(request, "query_vector", *on), list(on))
+        .select(request, key, squared_l2(F.col("embedding"), F.col("query_vector")).alias("distance"))
     )
+    hits = first_rows(scored, [request], [F.col("distance").asc(), F.col(key).asc()], k, "rank")
+    found = hits.join(candidates.drop("embedding"), key)
+    asked = [c for c in requests.columns if c not in {"query_vector", *on, *candidates.columns}]
+    return found.join(requests.select(*asked), request) if len(asked) > 1 else found
 
 
 def nearest_batch(

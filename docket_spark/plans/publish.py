@@ -89,9 +89,13 @@ def publish_generation(
     root: str,
     write: Callable[[str], Any],
     report: Callable[[str], Mapping[str, Any]],
+    base: str | None = None,
 ) -> dict[str, Any]:
     """Write data, derive its report from what was written, then switch the pointer.
 
+    ``base`` is the folder of the generation this one was made from. If another one is current by
+    the time of the switch, nothing is published, so that no update is lost.
+
     ``write`` gets the new generation's folder. ``report`` gets the same folder and raises when
     the written data does not reconcile; the generation is then removed and never seen.
     """
@@ -104,6 +108,8 @@ def publish_generation(
         files.write_text(
             f"{folder}/{REPORT}", json.dumps(content, indent=2, sort_keys=True, default=str) + "\n"
         )
+        if base is not None and current_folder(spark, root) != base:
+            raise RuntimeError("the base generation was replaced meanwhile; refresh again")
     except Exception:
         files.delete(folder)
         raise

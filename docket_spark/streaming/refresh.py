@@ -24,7 +24,7 @@ from docket_spark.plans.gold import (
     write_metric_table,
     written_totals,
 )
-from docket_spark.plans.publish import current_folder, publish_generation, read_current
+from docket_spark.plans.publish import current_folder, publish_generation
 from docket_spark.plans.retrieval import eligible
 from docket_spark.plans.silver import (
     SILVER_COLUMNS,
@@ -188,12 +188,14 @@ def apply_batch(spark: SparkSession, silver_root: str, arriving: DataFrame) -> N
     invalid = count_invalid(clean(arriving)).first()["invalid_rows"]
     if invalid:
         raise ValueError(f"source contains {invalid} invalid canonical records")
-    merged = merge(read_current(spark, silver_root, TABLE), canonical_arrivals(arriving))
+    base = current_folder(spark, silver_root)
+    merged = merge(spark.read.parquet(f"{base}/{TABLE}"), canonical_arrivals(arriving))
     publish_generation(
         spark,
         silver_root,
         lambda folder: merged.write.parquet(f"{folder}/{TABLE}"),
         lambda folder: {"silver_rows": spark.read.parquet(f"{folder}/{TABLE}").count()},
+        base=base,
     )
 
 

@@ -163,3 +163,11 @@ def test_filters_reach_the_scan(spark, tmp_path, silver_root):
     hits = retrieval.retrieve(index, [0.0] * 8, NarrativeFilters(product="Payments", state="CA"), 3)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(state,CA)" in plan and "PartitionFilters: [isnotnull(product" in plan
+
+
+def test_product_labels_stay_texts(spark, tmp_path):
+    rows = [("1", "007"), ("2", "08"), ("3", "2024-01-01"), ("4", None)]
+    frame = spark.createDataFrame(rows, "complaint_id string, product string")
+    frame.write.partitionBy("product").parquet(str(tmp_path / retrieval.TABLE))
+    found = retrieval.read_index(spark, str(tmp_path)).collect()
+    assert sorted((r["complaint_id"], r["product"]) for r in found) == rows
