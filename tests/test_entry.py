@@ -1,6 +1,7 @@
 """The driver contract, and a few registered queries against DuckDB at the smallest scale."""
 
 import os
+import re
 
 import pytest
 
@@ -19,7 +20,9 @@ SAMPLE = (
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    # Trained and searched results of the training-data operators have tests of their own.
+    own = {n for n in contract.queries() if re.match(r"op[0-9]+_|pipeline$", n)}
+    assert set(contract.queries()) - set(contract.oracle_sql()) - own == {
         "src_file_digests",
         "src_content_fingerprint",
         "ret_index_embedding",
