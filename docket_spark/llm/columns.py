@@ -54,18 +54,33 @@ def field(frame: DataFrame, name: str, alias: str | None = None) -> T.StructFiel
     return T.StructField(alias or name, frame.schema[name].dataType, True)
 
 
-def by_bytes(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose ``name`` holds about ``limit`` bytes; a longer row stands alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+def _cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
-    while start < batch.num_rows:
+    while start < len(sizes):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
-        yield batch.slice(start, stop - start)
+        yield start, stop - start
         start = stop
 
 
+def by_bytes(batch: pa.RecordBatch, name: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose ``name`` holds about ``limit`` bytes; a longer row stands alone."""
+    for start, many in _cuts(batch.column(name), limit):
+        yield batch.slice(start, many)
+    pa.default_memory_pool().release_unused()
+
+
+def rows_by_bytes(
+    batch: pa.RecordBatch, row: str, text: str, limit: int
+) -> Iterator[pa.RecordBatch]:
+    """The same by field ``text`` of the struct ``row``."""
+    for start, many in _cuts(batch.column(row).field(text), limit):
+        yield batch.slice(start, many)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(array: pa.Array) -> list[bytes]:
     """The bytes of each text; null is empty."""
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
@@ -81,11 +96,11 @@ def rows_kept(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (part for batch in batches for part in by_bytes(batch, "body", limit))
+        parts = (part for batch in batches for part in rows_by_bytes(batch, "row", text, limit))
         here, ahead = itertools.tee(parts)
-        for part, stays in zip(here, keep(utf8(x.column("body")) for x in ahead), strict=True):
-            yield part.select(["row"]).filter(pa.array(stays, pa.bool_()))
+        texts = (utf8(part.column("row").field(text)) for part in ahead)
+        for part, stays in zip(here, keep(texts), strict=True):
+            yield part.filter(pa.array(stays, pa.bool_()))
 
-    rows = docs.select(whole_row(docs).alias("row"), column(text).cast("string").alias("body"))
     schema = T.StructType([T.StructField("row", docs.schema, False)])
-    return rows.mapInArrow(work, schema).select("row.*")
+    return docs.select(whole_row(docs).alias("row")).mapInArrow(work, schema).select("row.*")

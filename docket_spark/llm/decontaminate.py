@@ -41,7 +41,7 @@ SIMILARITY, RECALL = 0.8, 0.99
 SAMPLED, AGREEMENT = 2, 0.35
 SHORTEST = 8
 BLOCK_WORDS = 1 << 20
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 _WORD = np.array([1 if c >= 128 or chr(c).isalnum() else 0 for c in range(256)])
 _FILTER_BITS = 22
 

@@ -32,7 +32,7 @@ UNKNOWN = "und"
 RANKS = 300
 PER_LANGUAGE = 4000
 SHARPNESS = 40.0
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 18
 _CODE = 21  # bits of a code point
 
 

@@ -57,11 +57,9 @@ class Encoder:
     """Ids of texts as arrays of unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         byte_of = _byte_of()
@@ -74,6 +72,14 @@ class Encoder:
             "ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID}
         )
 
+    @functools.cached_property
+    def library(self):
+        """The reference, loaded by the first text that needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [self._foreign(x) if _FOREIGN.search(x) else self._plain(x) for x in texts]
 

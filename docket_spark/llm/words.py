@@ -10,7 +10,7 @@ _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@functools.cache
+@functools.lru_cache(maxsize=4)
 def powers(n: int, odd: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of ``odd`` and of its inverse, modulo 2^64."""
     up = np.full(n, odd, dtype=np.uint64)
