@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -328,9 +328,15 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     same = signed.distinct().join(
         different.withColumnRenamed("node", "first"), ["print", "fingerprint"]
     )
-    return close.union(
+    links = close.union(
         same.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     )
+    # A node has at most one link a trie. Its smallest partner takes over the others, which keeps the
+    # components: the tries of one large group then agree on nearly all links but the nodes' first.
+    least = F.min("b").over(Window.partitionBy("a"))
+    return links.distinct().withColumn("least", least).select(
+        F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("least")).alias("a"), "b"
+    )
 
 
 def _grouped(signed: DataFrame, budget: int, prints: int = 1) -> DataFrame:
