@@ -18,10 +18,16 @@ list of such tries is broadcast if it is short, and joined otherwise.
 A trie yields a spanning forest of its links, not all of them: node pairs whose leaves are already one
 component are dropped too, which keeps large groups of near copies from costing all their pairs.
 
-Copies of similarity 0.8 differ in about ten bits of 64, more than a trie can afford. ``keep_one``
-therefore takes several independent fingerprints of five-word shingles and links documents that are
-close in any of them: by the binomial law, seven bits in one of six find a similarity of 0.8 with
-probability 0.77, 0.85 with 0.95 and 0.9 with 0.998, and of 0.5 with 0.01.
+Copies of similarity 0.8 differ in about ten bits of 64, and one fingerprint misses many of them.
+``keep_one`` therefore takes several independent fingerprints of five-word shingles and
+calls documents close in any of them candidates. These are verified by the exact Jaccard similarity of
+the whole shingle sets, and only verified links make groups. First each member of a candidate group is
+compared with the group's smallest, then what is still apart with the smallest of each of its tries, and
+at last every pair of candidates that is still apart, which a second traversal lists without pruning by
+components. A set is made once for each text that has a candidate, and joined by the set's hash.
+
+By the binomial law, seven bits in one of six find a similarity of 0.8 with probability 0.77. Shingles and
+sets are known by 64-bit hashes.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 all others. Null ids are ignored in the choice of the smallest id unless a group has no other. Rows that
@@ -31,7 +37,7 @@ repeat count once. Empty tables give empty results.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +58,10 @@ SHARE, LISTED = 16, 10_000
 CHUNK = 1 << 16
 SMALL = 1024
 STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 7, 6
+# Sets of up to FEW different shingles take FEW_PRINTS fingerprints.
+FEW, FEW_PRINTS = 16, 6
+# Similarity 0.8, compared in whole numbers.
+SIMILAR = (4, 5)
 TEXT_BYTES = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
@@ -71,6 +81,11 @@ def shingle_hashes(text: bytes, words: int) -> bytes:
     return b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, last)])
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The different hashes of ``shingle_hashes``, ascending."""
+    return np.unique(np.frombuffer(shingle_hashes(text, words), dtype=">u8"))
+
+
 def majority_bits(hashes: list[bytes], prints: int = 1) -> np.ndarray:
     """Per item and print the 64 bits that are set in over half of its hashes, as unsigned integers.
 
@@ -138,6 +153,52 @@ def fingerprints(
     return rows.mapInArrow(sign, schema)
 
 
+def set_fingerprints(
+    docs: DataFrame, doc_id: str, text: str, words: int, prints: int, also: dict[str, Column]
+) -> DataFrame:
+    """Per row: id, the columns of ``also``, node (the hash of the set of its shingles), size (how
+    many) and prints (the fingerprints)."""
+    rows = docs.select(
+        column(doc_id).alias("id"),
+        *[value.alias(name) for name, value in also.items()],
+        column(text).cast("string").alias("body"),
+    )
+    kept = [name for name in rows.columns if name != "body"]
+    schema = T.StructType(
+        [
+            *[field(rows, name) for name in kept],
+            T.StructField("node", T.LongType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("prints", T.ArrayType(T.LongType())),
+        ]
+    )
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "body", TEXT_BYTES):
+                sets = [shingle_set(x, words) for x in utf8(part.column("body"))]
+                hashes = [x.tobytes() for x in sets]
+                repeated = [shingle_hashes(x, words) for x in utf8(part.column("body"))]
+                sizes = np.array([len(x) for x in sets], dtype=np.int64)
+                found = list(majority_bits(repeated, prints).view(np.int64))
+                few = np.flatnonzero(sizes <= FEW)
+                more = majority_bits([repeated[k] for k in few], max(prints, FEW_PRINTS))
+                for k, own in zip(few, more.view(np.int64), strict=True):
+                    found[k] = own
+                nodes = [xxhash.xxh64_intdigest(x, SEED) for x in hashes]
+                yield pa.record_batch(
+                    [
+                        *[part.column(name) for name in kept],
+                        pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                        pa.array(sizes),
+                        pa.array(found, pa.list_(pa.int64())),
+                    ],
+                    names=[*kept, "node", "size", "prints"],
+                )
+
+    return rows.mapInArrow(sign, schema)
+
+
 def agreeing_masks(budget: int) -> list[int]:
     """For each choice of two of ``budget + 2`` blocks of bits, the mask of these bits (signed)."""
     edges = [BITS * k // (budget + 2) for k in range(budget + 3)]
@@ -177,18 +238,44 @@ def _near(
     return tuple(np.concatenate(found, axis=1))
 
 
+def trie_pairs(
+    keys: np.ndarray, starts: np.ndarray, budget: int, known: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of every two linked keys inside a trie whose ``known`` labels differ.
+
+    As for ``trie_components``, but keys may repeat.
+    """
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    for left, right in _traverse(keys, starts, budget, known):
+        apart = known[left] != known[right]
+        found.append(np.array([left[apart], right[apart]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
     """Component labels of ``keys`` inside each trie.
 
     ``keys`` are unsigned, ascending and different inside a trie; ``starts`` has the position where
     each trie begins. A label is the position of the component's first key.
     """
+    labels = np.arange(len(keys))
+    for left, right in _traverse(keys, starts, budget, labels, spanning=True):
+        labels[:] = _merge(labels, left, right)
+    return labels
+
+
+def _traverse(
+    keys: np.ndarray, starts: np.ndarray, budget: int, labels: np.ndarray, spanning: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of linked keys; node pairs of one label only are left out.
+
+    With ``spanning`` the caller merges ``labels`` in between, and links need only span components.
+    """
     n = len(keys)
     ends = np.append(starts[1:], n)
     many = ends - starts > 1
     a, b = starts[many], ends[many]
-    labels = np.arange(n)
-    changes = np.arange(n)
+    changes = np.append(0, np.cumsum(labels[1:] != labels[:-1]))
     zeros_before: dict[int, np.ndarray] = {}
     stack = [(0, a, b, a, b, np.zeros(len(a), dtype=np.int64))]
     while stack:
@@ -202,7 +289,9 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
         if not len(a):
             continue
         small = (b - a) * (d - c) <= SMALL
-        close = ~small & (differ + (BITS - level) <= budget)
+        if not spanning:
+            small |= level == BITS  # equal keys
+        close = ~small & spanning & (differ + (BITS - level) <= budget)
         left, right = _near(keys, a[small], b[small], c[small], d[small], budget)
         if close.any():  # whatever lies below, it is within the budget
             for lo, hi in ((a[close], b[close]), (c[close], d[close])):
@@ -211,7 +300,8 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
                 left = np.append(left, np.repeat(a[close], size))
                 right = np.append(right, np.repeat(lo, size) + inside)
         if len(left):
-            labels = _merge(labels, left, right)
+            yield left, right
+        if len(left) and spanning:
             changes = np.append(0, np.cumsum(labels[1:] != labels[:-1]))
         go = ~small & ~close
         a, b, c, d, differ = (x[go] for x in (a, b, c, d, differ))
@@ -235,7 +325,6 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
         for at in range(0, len(a), CHUNK):
             part = slice(at, at + CHUNK)
             stack.append((level + 1, a[part], b[part], c[part], d[part], differ[part]))
-    return labels
 
 
 def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
@@ -244,16 +333,68 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     ``signed``: print, node and fingerprint, all whole numbers; fingerprints are compared within a
     print, and nodes of equal ones are linked as well.
     """
-    masks = agreeing_masks(budget)
+    return shared_links(trie_stars(signed, budget, leaf))
+
+
+def shared_links(links: DataFrame) -> DataFrame:
+    """Links with the same components as ``links`` (columns a, b), but fewer."""
+    # A node has at most one link a trie. Its smallest partner takes over the others, which keeps the
+    # components: the tries of one large group then agree on nearly all links but the nodes' first.
+    least = F.min("b").over(Window.partitionBy("a"))
+    return links.withColumn("least", least).select(
+        F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("least")).alias("a"), "b"
+    )
+
+
+def trie_stars(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
+    """Links (a, b) of nodes with the smallest node of their component in each trie."""
     different = signed.groupBy("print", "fingerprint").agg(F.min("node").alias("node"))
+
+    def solve(keys: np.ndarray, starts: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+        labels = trie_components(keys, starts, budget)
+        # The smallest node stands for a component, so that tries with the same group agree on it.
+        least = nodes.copy()
+        np.minimum.at(least, labels, nodes)
+        linked = np.flatnonzero(least[labels] != nodes)
+        return nodes[linked], least[labels[linked]]
+
+    close = _in_tries(different, budget, leaf, solve)
+    same = signed.distinct().join(
+        different.withColumnRenamed("node", "first"), ["print", "fingerprint"]
+    )
+    links = close.union(
+        same.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    )
+    return links.distinct()
+
+
+def apart_pairs(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
+    """Every two nodes (a, b) that are linked in some trie and whose labels differ.
+
+    ``signed``: print, node, fingerprint and label, all whole numbers.
+    """
+
+    def solve(keys, starts, nodes, labels):
+        left, right = trie_pairs(keys, starts, budget, labels)
+        a, b = nodes[left], nodes[right]
+        return np.maximum(a, b), np.minimum(a, b)
+
+    return _in_tries(signed, budget, leaf, solve).distinct()
+
+
+def _in_tries(signed: DataFrame, budget: int, leaf: int, solve_keys: Callable) -> DataFrame:
+    """The links (a, b) that ``solve_keys`` finds from the keys of whole tries, where each trie
+    starts, and the further columns of ``signed``."""
+    masks = agreeing_masks(budget)
+    carried = [name for name in signed.columns if name not in ("print", "fingerprint")]
     choices = F.array(
         *[F.struct(F.lit(k).alias("choice"), F.lit(m).alias("mask")) for k, m in enumerate(masks)]
     )
-    rows = different.select("print", "fingerprint", "node", F.inline(choices)).select(
+    rows = signed.select("print", "fingerprint", *carried, F.inline(choices)).select(
         (F.col("print") * len(masks) + F.col("choice")).cast("long").alias("forest"),
         F.col("fingerprint").bitwiseAND(F.col("mask")).alias("agreed"),
         "fingerprint",
-        "node",
+        *carried,
     )
     # How many parts a trie is dealt in follows from the count of every SHARE-th fingerprint. That
     # only decides where rows are compared, never whether.
@@ -270,7 +411,7 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     dealt = (
         rows.join(large, ["forest", "agreed"], "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
-        .select("forest", "agreed", "fingerprint", "node", own.alias("own"), meets.alias("other"))
+        .select("forest", "agreed", "fingerprint", *carried, own.alias("own"), meets.alias("other"))
         .select(
             # forest and the two parts in one number
             (
@@ -279,7 +420,7 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
                 + F.greatest("own", "other")
             ).alias("meeting"),
             "fingerprint",
-            "node",
+            *carried,
         )
     )
     every_mask = F.array(*[F.lit(m) for m in masks])
@@ -288,20 +429,14 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     by_choice = np.array(masks, dtype=np.int64)
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        meeting, signed_keys, nodes = (c.to_numpy() for c in table.columns)
+        meeting, signed_keys, *more = (c.to_numpy() for c in table.columns)
         same = signed_keys & by_choice[(meeting >> 40) % len(masks)]
         new = np.ones(len(meeting), dtype=bool)
         new[1:] = (meeting[1:] != meeting[:-1]) | (same[1:] != same[:-1])
         # Flipping the first bit makes signed order unsigned; differences stay the same.
         keys = signed_keys.view(np.uint64) ^ np.uint64(1 << 63)
-        labels = trie_components(keys, np.flatnonzero(new), budget)
-        # The smallest node stands for a component, so that tries with the same group agree on it.
-        least = nodes.copy()
-        np.minimum.at(least, labels, nodes)
-        linked = np.flatnonzero(least[labels] != nodes)
-        return pa.record_batch(
-            [pa.array(nodes[linked]), pa.array(least[labels[linked]])], names=["a", "b"]
-        )
+        found = solve_keys(keys, np.flatnonzero(new), *more)
+        return pa.record_batch([pa.array(x) for x in found], names=["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -309,7 +444,7 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
             if many > leaf:
                 # The last trie may go on in this batch; what lies before it can be solved.
                 table = pa.Table.from_batches(held).combine_chunks()
-                meeting, keys, _ = (c.to_numpy() for c in table.columns)
+                meeting, keys = (c.to_numpy() for c in table.columns[:2])
                 same = keys & by_choice[(meeting >> 40) % len(masks)]
                 last = (meeting == meeting[-1]) & (same == same[-1])
                 cut = int(np.argmax(last))
@@ -324,39 +459,127 @@ def trie_links(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     placed = dealt.repartition(F.col("meeting"), agreed).sortWithinPartitions(
         F.col("meeting"), agreed, F.col("fingerprint")
     )
-    close = placed.mapInArrow(join, "a long, b long")
-    same = signed.distinct().join(
-        different.withColumnRenamed("node", "first"), ["print", "fingerprint"]
-    )
-    links = close.union(
-        same.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    )
-    # A node has at most one link a trie. Its smallest partner takes over the others, which keeps the
-    # components: the tries of one large group then agree on nearly all links but the nodes' first.
-    least = F.min("b").over(Window.partitionBy("a"))
-    return links.distinct().withColumn("least", least).select(
-        F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("least")).alias("a"), "b"
-    )
+    return placed.mapInArrow(join, "a long, b long")
+
 
+def _with_root(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with root, the smallest node that the links reach from its node."""
+    members = connected_components(links)
+    return known.join(members, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-def _grouped(signed: DataFrame, budget: int, prints: int = 1) -> DataFrame:
+
+def _grouped(signed: DataFrame, budget: int) -> DataFrame:
     """``signed`` with root (a fingerprint) and component_id (the smallest id of the group)."""
     signed = signed.withColumn("node", F.col("print0"))
-    each = F.array(
-        *[
-            F.struct(F.lit(p).alias("print"), F.col(f"print{p}").alias("fingerprint"))
-            for p in range(prints)
-        ]
+    links = trie_links(
+        signed.select(F.lit(0).alias("print"), "node", F.col("print0").alias("fingerprint")), budget
     )
-    links = trie_links(signed.select("node", F.inline(each)), budget)
-    members = connected_components(links)
+    return _least_ids(signed, links)
+
+
+def _least_ids(signed: DataFrame, links: DataFrame) -> DataFrame:
     known = signed.groupBy("node").agg(F.min("id").alias("least"))
-    rooted = known.join(members, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = _with_root(known, links)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("node", "root").join(least, "root")
     return signed.join(of, "node")
 
 
+def _picked(docs: DataFrame, doc_id: str, wanted: DataFrame, row: Column) -> DataFrame:
+    """``wanted`` (columns id and rank, and others) with ``row`` of one such row of ``docs``."""
+    wanted = wanted.withColumnsRenamed({"id": "of_id", "rank": "of_rank"})
+    rows = docs.select(
+        row.alias("row"), row_rank(docs).alias("rank"), column(doc_id).alias("id")
+    )
+    same = rows["rank"].eqNullSafe(wanted["of_rank"]) & rows["id"].eqNullSafe(wanted["of_id"])
+    return rows.join(wanted, same)
+
+
+def shingle_sets(picked: DataFrame, words: int) -> DataFrame:
+    """``picked`` (columns node and body) as node and shingles, the set of its text."""
+    schema = "node long, shingles array<long>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "body", TEXT_BYTES):
+                sets = [shingle_set(x, words) for x in utf8(part.column("body"))]
+                ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+                whole = np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.uint64)
+                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.view(np.int64)))
+                yield pa.record_batch([part.column("node"), shingles], names=["node", "shingles"])
+
+    return picked.mapInArrow(cut, schema)
+
+
+def verified_links(
+    docs: DataFrame, signed: DataFrame, text: str, doc_id: str, words: int, budget: int
+) -> DataFrame:
+    """Links (a, b) of candidates of similarity 0.8 or more that span the components of all such.
+
+    ``signed`` is as from ``set_fingerprints``, with rank.
+    """
+    nodes = signed.groupBy("node").agg(
+        F.any_value("size").alias("size"),
+        F.any_value("prints").alias("prints"),
+        F.min(F.struct("id", "rank")).alias("of"),
+    )
+    keyed = nodes.select("node", F.posexplode("prints").alias("print", "fingerprint"))
+    stars = cut_lineage(trie_stars(keyed, budget))
+    coarse = cut_lineage(connected_components(shared_links(stars)))
+    inside = nodes.join(coarse, "node")
+    picked = _picked(docs, doc_id, inside.select("node", "of.*"), column(text).cast("string"))
+    once = picked.groupBy("node").agg(F.any_value("row").alias("body"))
+    sets = cut_lineage(
+        shingle_sets(once, words).join(inside.select("node", "size", "root", "prints"), "node")
+    )
+    held = sets.select("node", "size", "shingles")
+    over, under = SIMILAR
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        # Sizes alone rule out most; texts are compared after that.
+        sizes = held.select("node", "size")
+        fits = (
+            pairs.join(sizes.withColumnsRenamed({"node": "a", "size": "size_a"}), "a")
+            .join(sizes.withColumnsRenamed({"node": "b", "size": "size_b"}), "b")
+            .where(F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over)
+        )
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        shingles = held.select("node", "shingles")
+        return (
+            fits.join(shingles.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
+            .join(shingles.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b")
+            .where(both * (over + under) >= (F.col("size_a") + F.col("size_b")) * over)
+            .select("a", "b")
+        )
+
+    links = cut_lineage(similar(coarse.where("node <> root").toDF("a", "b")))
+    # Candidates that are not yet joined: by the smallest of their tries, then pair by pair.
+    for every_pair in (False, True):
+        group = sets.select("node", "prints", F.col("root").alias("group"))
+        labels = cut_lineage(_with_root(group, links).select("node", "prints", "group", "root"))
+        open_groups = (
+            labels.groupBy("group")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            .where("low <> high")
+            .select("group")
+        )
+        still = labels.join(open_groups, "group", "left_semi")
+        if still.isEmpty():
+            break
+        if every_pair:
+            rows = still.select(
+                "node", F.col("root").alias("label"), F.posexplode("prints").alias("print", "fingerprint")
+            )
+            pairs = apart_pairs(rows.select("print", "node", "fingerprint", "label"), budget)
+        else:
+            root_a, root_b = (
+                still.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"
+            )
+            pairs = stars.join(root_a, "a").join(root_b, "b").where("root_a <> root_b")
+        links = links.union(cut_lineage(similar(pairs.select("a", "b"))))
+    return links
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -383,18 +606,15 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group: the smallest id, then smallest row hash."""
     signed = cut_lineage(
-        fingerprints(docs, doc_id, text, words, prints, {"rank": row_rank(docs)})
+        set_fingerprints(docs, doc_id, text, words, prints, {"rank": row_rank(docs)})
     )
+    links = verified_links(docs, signed, text, doc_id, words, budget)
     stays = (
-        _grouped(signed, budget, prints)
+        _least_ids(signed, links)
         .where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
         .agg(F.min(F.struct("id", "rank")).alias("kept"))
         .select("kept.*")
     )
-    rows = docs.select(
-        whole_row(docs).alias("row"), row_rank(docs).alias("rank"), column(doc_id).alias("id")
-    )
-    same = rows["rank"].eqNullSafe(stays["rank"]) & rows["id"].eqNullSafe(stays["id"])
-    found = rows.join(stays, same, "left_semi")
+    found = _picked(docs, doc_id, stays, whole_row(docs))
     return found.groupBy("rank", "id").agg(F.any_value("row").alias("row")).select("row.*")

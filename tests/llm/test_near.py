@@ -127,3 +127,49 @@ def test_keep_one(spark):
     assert set(ids) == {r[0] for r in rows} - set(copies) - {None, 3, 4}
     none = documents(spark, [])
     assert simhash.keep_one(none).count() == simhash.near_duplicates(none).count() == 0
+
+
+def pair_texts(draw, n, changed):
+    """Two texts of ``n`` words; in the second ``changed`` words far from each other are others."""
+    own = [f"v{draw.getrandbits(40)}" for _ in range(n)]
+    other = list(own)
+    for k in range(changed):
+        other[6 + k * (n - 10) // max(1, changed)] = f"n{draw.getrandbits(40)}"
+    return " ".join(own), " ".join(other)
+
+
+def jaccard(a, b, words=5):
+    a, b = (
+        {tuple(x[k : k + words]) for k in range(max(1, len(x) - words + 1))}
+        for x in (a.split(), b.split())
+    )
+    return len(a & b) / len(a | b)
+
+
+def kept_of_pairs(spark, pairs):
+    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    return {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+
+
+def test_keep_one_drops_nothing_below_the_similarity(spark):
+    draw = random.Random(21)
+    pairs = [pair_texts(draw, 200, k) for k in (5, 6, 7, 8) for _ in range(15)]
+    assert all(0.65 < jaccard(*pair) < 0.8 for pair in pairs)
+    # A chain: the second is close to the first and the third, these are not close to each other.
+    first, second = pair_texts(draw, 200, 4)
+    third = " ".join([*second.split()[:-18], *(f"z{k}" for k in range(18))])
+    assert min(jaccard(first, second), jaccard(second, third)) >= 0.8 > jaccard(first, third)
+    kept = kept_of_pairs(spark, [*pairs, (first, second), (third, "alone")])
+    n = 2 * len(pairs)
+    assert kept == {*range(n), n, n + 3}
+
+
+def test_pairs_apart_equal_all_pairs():
+    draw = random.Random(24)
+    keys = np.array(sorted(clouds(draw, 500, 6) * 2), np.uint64)
+    known = np.array([draw.randrange(3) for _ in keys])
+    found = simhash.trie_pairs(keys, np.array([0]), 5, known)
+    pairs = sorted({(min(i, j), max(i, j)) for i, j in zip(*(x.tolist() for x in found))})
+    near = np.bitwise_count(keys[:, None] ^ keys[None]) <= 5
+    want = np.argwhere(np.triu(near & (known[:, None] != known[None]), 1))
+    assert pairs == [tuple(x) for x in want.tolist()]
