@@ -26,8 +26,10 @@ compared with the group's smallest, then what is still apart with the smallest o
 at last every pair of candidates that is still apart, which a second traversal lists without pruning by
 components. A set is made once for each text that has a candidate, and joined by the set's hash.
 
-By the binomial law, seven bits in one of six find a similarity of 0.8 with probability 0.77. Shingles and
-sets are known by 64-bit hashes.
+By the binomial law, eleven bits in one of four fingerprints find a similarity of exactly 0.8 with
+probability 0.995 for large sets and at least 0.99 for unions of 17 shingles and more. Fewer shingles
+differ in more bits, up to 0.1875 of them (four of five), so sets of up to 16 take eight fingerprints,
+which is again at least 0.99. Shingles and sets are known by 64-bit hashes.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 all others. Null ids are ignored in the choice of the smallest id unless a group has no other. Rows that
@@ -57,9 +59,9 @@ LEAF = 20_000
 SHARE, LISTED = 16, 10_000
 CHUNK = 1 << 16
 SMALL = 1024
-STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 7, 6
+STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 11, 4
 # Sets of up to FEW different shingles take FEW_PRINTS fingerprints.
-FEW, FEW_PRINTS = 16, 6
+FEW, FEW_PRINTS = 16, 8
 # Similarity 0.8, compared in whole numbers.
 SIMILAR = (4, 5)
 TEXT_BYTES = 1 << 20

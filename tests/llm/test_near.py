@@ -164,6 +164,19 @@ def test_keep_one_drops_nothing_below_the_similarity(spark):
     assert kept == {*range(n), n, n + 3}
 
 
+def test_keep_one_finds_what_is_just_similar(spark):
+    draw = random.Random(22)
+    pairs = [pair_texts(draw, 200, 4) for _ in range(80)]
+    for n in (8, 9, 12):  # few shingles, one more word at the end
+        for _ in range(25):
+            own = [f"s{draw.getrandbits(40)}" for _ in range(n)]
+            pairs.append((" ".join(own), " ".join([*own, "more"])))
+    assert all(0.8 <= jaccard(*pair) < 0.9 for pair in pairs)
+    kept = kept_of_pairs(spark, pairs)
+    assert {2 * k for k in range(len(pairs))} <= kept
+    assert len(kept) - len(pairs) <= 0.02 * len(pairs)
+
+
 def test_pairs_apart_equal_all_pairs():
     draw = random.Random(24)
     keys = np.array(sorted(clouds(draw, 500, 6) * 2), np.uint64)
