@@ -19,7 +19,7 @@ A trie yields a spanning forest of its links, not all of them: node pairs whose
 component are dropped too, which keeps large groups of near copies from costing all their pairs.
 
 Copies of similarity 0.8 differ in about ten bits of 64, and one fingerprint misses many of them.
-``keep_one`` therefore takes several independent fingerprints of five-word shingles and
+``keep_one`` therefore takes several independent fingerprints of the different five-word shingles and
 calls documents close in any of them candidates. These are verified by the exact Jaccard similarity of
 the whole shingle sets, and only verified links make groups. First each member of a candidate group is
 compared with the group's smallest, then what is still apart with the smallest of each of its tries, and
@@ -159,7 +159,7 @@ def set_fingerprints(
     docs: DataFrame, doc_id: str, text: str, words: int, prints: int, also: dict[str, Column]
 ) -> DataFrame:
     """Per row: id, the columns of ``also``, node (the hash of the set of its shingles), size (how
-    many) and prints (the fingerprints)."""
+    many) and prints (the fingerprints, each different shingle counted once)."""
     rows = docs.select(
         column(doc_id).alias("id"),
         *[value.alias(name) for name, value in also.items()],
@@ -180,11 +180,10 @@ def set_fingerprints(
             for part in by_bytes(batch, "body", TEXT_BYTES):
                 sets = [shingle_set(x, words) for x in utf8(part.column("body"))]
                 hashes = [x.tobytes() for x in sets]
-                repeated = [shingle_hashes(x, words) for x in utf8(part.column("body"))]
                 sizes = np.array([len(x) for x in sets], dtype=np.int64)
-                found = list(majority_bits(repeated, prints).view(np.int64))
+                found = list(majority_bits(hashes, prints).view(np.int64))
                 few = np.flatnonzero(sizes <= FEW)
-                more = majority_bits([repeated[k] for k in few], max(prints, FEW_PRINTS))
+                more = majority_bits([hashes[k] for k in few], max(prints, FEW_PRINTS))
                 for k, own in zip(few, more.view(np.int64), strict=True):
                     found[k] = own
                 nodes = [xxhash.xxh64_intdigest(x, SEED) for x in hashes]

@@ -177,6 +177,20 @@ def test_keep_one_finds_what_is_just_similar(spark):
     assert len(kept) - len(pairs) <= 0.02 * len(pairs)
 
 
+def test_repeats_of_a_shingle_do_not_draw_texts_together(spark):
+    draw = random.Random(23)
+    texts = [
+        " ".join(["the"] * 300 + [f"u{draw.getrandbits(40)}" for _ in range(60)]) for _ in range(6)
+    ]
+    rows = documents(spark, list(enumerate(texts)))
+    found = simhash.set_fingerprints(rows, "doc_id", "text", 5, simhash.STAGE_PRINTS, {}).collect()
+    for k, a in enumerate(found):
+        for b in found[k + 1 :]:
+            both = zip(a.prints, b.prints, strict=True)
+            assert min(((x ^ y) % (1 << 64)).bit_count() for x, y in both) > simhash.STAGE_BUDGET
+    assert len(kept_of_pairs(spark, [tuple(texts[k : k + 2]) for k in (0, 2, 4)])) == 6
+
+
 def test_pairs_apart_equal_all_pairs():
     draw = random.Random(24)
     keys = np.array(sorted(clouds(draw, 500, 6) * 2), np.uint64)
