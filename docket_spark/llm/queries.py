@@ -108,7 +108,7 @@ def op8(spark, sf_dir):
 
 @register("op4_substring_dedup")
 def op4(spark, sf_dir):
-    found = repeats.repeats(table(spark, sf_dir, "documents"))
+    found = repeats.repeats(table(spark, sf_dir, "documents"), both_ends=True)
     places = F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"]))
     return found.select(
         "doc_id",

@@ -3,7 +3,9 @@
 A sentence ends at a line break or at . ! ? before white space. A sentence of more than ``LONG`` words
 is cut behind words whose hash says so, about every eighth; such places depend on the words only, so a
 passage is cut alike wherever it stands. A span starts at every sentence and takes as many following
-ones as make at least two sentences and ``least_words`` words. Spans are equal when their words are, A-Z
+ones as make at least two sentences and ``least_words`` words. With ``both_ends`` another one ends at
+every sentence and takes as many before it: the two families cover every repeated run of sentences that
+holds a span, also its short last sentences. Spans are equal when their words are, A-Z
 lower-cased and white space apart. Every span is hashed to 128 bits, spans are joined globally, and the
 sentences of every span that is not the first of its kind are removed. First is the smallest document
 id, then the earliest place.
@@ -37,8 +39,10 @@ _WORD = np.array([0 if c == 32 or 9 <= c <= 13 else 1 for c in range(256)])
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def sentence_spans(texts: list[bytes], least_words: int) -> tuple[np.ndarray, ...]:
-    """Per span: its text, two hashes, and its first and end code point in the text."""
+def sentence_spans(
+    texts: list[bytes], least_words: int, both_ends: bool = False
+) -> tuple[np.ndarray, ...]:
+    """Per different span: its text, two hashes, and its first and end code point in the text."""
     joined, start, stop, word, many = runs([x.translate(_LOWER) for x in texts], _WORD)
     if not len(word):
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
@@ -55,9 +59,19 @@ def sentence_spans(texts: list[bytes], least_words: int) -> tuple[np.ndarray, ..
     until = np.searchsorted(end, begin + least_words, "left")
     until = np.maximum(until, np.arange(len(begin)) + 1)
     inside = until < len(end)
-    begin, until = begin[inside], until[inside]
-    inside = text[begin] == text[end[until] - 1]
-    begin, finish = begin[inside], end[until[inside]]
+    of, until = np.flatnonzero(inside), until[inside]
+    if both_ends:
+        # The sentence that holds the least_words-th word from the end, but at least the one before.
+        since = np.searchsorted(begin, end - least_words, "right") - 1
+        since = np.minimum(since, np.arange(len(end)) - 1)
+        inside = since >= 0
+        ends_here = np.flatnonzero(inside)
+        both = np.unique(
+            np.array([np.append(of, since[inside]), np.append(until, ends_here)]), axis=1
+        )
+        of, until = both
+    inside = text[begin[of]] == text[end[until] - 1]
+    begin, finish = begin[of[inside]], end[until[inside]]
     hashes = []
     for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         up, down = powers(1 << int(len(word)).bit_length(), odd)
@@ -70,7 +84,9 @@ def sentence_spans(texts: list[bytes], least_words: int) -> tuple[np.ndarray, ..
     return text[begin], *hashes, first, until_point
 
 
-def _spans(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFrame:
+def _spans(
+    docs: DataFrame, doc_id: str, text: str, least_words: int, both_ends: bool
+) -> DataFrame:
     """Per document and different span: id, h1, h2, start, end, and later (its later places)."""
     rows = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("body"))
     place = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -88,7 +104,9 @@ def _spans(docs: DataFrame, doc_id: str, text: str, least_words: int) -> DataFra
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "body", TEXT_BYTES):
-                owner, h1, h2, start, end = sentence_spans(utf8(part.column("body")), least_words)
+                owner, h1, h2, start, end = sentence_spans(
+                    utf8(part.column("body")), least_words, both_ends
+                )
                 order = np.lexsort((start, h2, h1, owner))
                 owner, h1, h2, start, end = (x[order] for x in (owner, h1, h2, start, end))
                 new = np.ones(len(owner), dtype=bool)
@@ -133,11 +151,15 @@ def merged_places(places: Column) -> Column:
 
 
 def repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    least_words: int = LEAST_WORDS,
+    both_ends: bool = False,
 ) -> DataFrame:
     """Per document that loses sentences: its id, the stretches removed (start, end, in code points,
     merged and in order), and the smallest first document of its repeated spans."""
-    spans = _spans(docs, doc_id, text, least_words)
+    spans = _spans(docs, doc_id, text, least_words, both_ends)
     firsts = (
         spans.groupBy("h1", "h2")
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("many"))
@@ -167,10 +189,14 @@ def repeats(
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    least_words: int = LEAST_WORDS,
+    both_ends: bool = False,
 ) -> DataFrame:
     """``docs`` with all columns, its texts without the sentences that an earlier place has."""
-    found = repeats(docs, doc_id, text, least_words).select(
+    found = repeats(docs, doc_id, text, least_words, both_ends).select(
         column(doc_id).alias("found_id"), "removed"
     )
     rows = docs.select(whole_row(docs).alias("row"), column(doc_id).alias("id"))

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from docket_spark.llm import decontaminate, repeats, words
+from docket_spark.llm import decontaminate, queries, repeats, words
 from tests.llm.tables import PROSE, documents, hard_rows
 
 
@@ -186,3 +186,16 @@ def test_remove_repeats(spark):
     assert texts[2] is None and texts[7] == "x" * 30_000
     none = documents(spark, [])
     assert repeats.remove_repeats(none).count() == repeats.repeats(none).count() == 0
+
+
+def test_short_sentences_at_the_end_of_a_repeated_passage_go(spark, tmp_path):
+    words = iter(range(1000))
+    say = lambda *sizes: " ".join(
+        " ".join(f"w{next(words)}" for _ in range(n)) + "." for n in sizes
+    )
+    passage = say(5, 18, 5, 4)
+    rows = [(1, f"{say(7)} {passage} {say(9)}"), (2, f"{say(8, 6)} {passage} {say(11)}")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()
+    start = rows[1][1].index(passage)
+    assert [(r.doc_id, r.removed) for r in found] == [(2, f"{start}:{start + len(passage)}")]
