@@ -17,8 +17,11 @@ before it as in the item. This loses nothing and leaves the walks to a small sha
 The benchmark is shipped in blocks of a fixed number of words, one pass over the documents for each.
 Documents are never shuffled or joined; a passage that a third of them share costs each its own walk.
 
-Defined cases: null texts are empty and never leak. Items that are null or shorter than ``SHORTEST``
-words would occur by chance and are not searched for. Ids are passed on as they are, null and repeated
+Items of fewer than ``SHORTEST`` words have no walks to speak of: every place where one of their stretches
+occurs is verified, so they are found exactly, verbatim below five words and within one edit above.
+
+Defined cases: null texts are empty and never leak. Items that are null or have no word are not searched
+for. Ids are passed on as they are, null and repeated
 ones too; rows that repeat are searched each. Empty tables give empty results.
 """
 
@@ -88,7 +91,7 @@ class Items:
         walks = math.ceil(math.log(1 - recall) / math.log(1 - AGREEMENT**SAMPLED))
         stretches: dict[int, list[tuple[int, int, int]]] = {}
         for k, own in enumerate(self.words):
-            if len(own) < SHORTEST:
+            if not len(own):
                 continue
             size = len(own) // (self.edits[k] + 1)
             for offset in range(0, size * (self.edits[k] + 1), size):
@@ -161,7 +164,8 @@ class Items:
             ]
             keys = self.walk_keys(windows, sizes)
             theirs = self.keys[[item for _, item, _ in part]]
-            for k in np.flatnonzero((keys == theirs).any(axis=1)):
+            short = np.array(sizes) < SHORTEST
+            for k in np.flatnonzero((keys == theirs).any(axis=1) | short):
                 d, item, p = part[k]
                 lo, hi = bounds[k]
                 most = self.edits[item]

@@ -199,3 +199,24 @@ def test_short_sentences_at_the_end_of_a_repeated_passage_go(spark, tmp_path):
     found = queries.QUERIES["op4_substring_dedup"](spark, str(tmp_path)).collect()
     start = rows[1][1].index(passage)
     assert [(r.doc_id, r.removed) for r in found] == [(2, f"{start}:{start + len(passage)}")]
+
+
+def test_short_items_leak_too(spark):
+    draw = random.Random(15)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate((1, 2, 4, 5, 6, 7))]
+    items.append((None, "..."))
+    rows, want = [], set()
+    for k, item in items[:-1]:
+        for place in range(len(item.split())):
+            own = item.split()
+            own[place] = "other"
+            around = [f"d{draw.randrange(99)}" for _ in range(20)]
+            rows.append((100 * k + 2 * place, " ".join([*around, *own, *around])))
+            rows.append((100 * k + 2 * place + 1, " ".join([*around, item, *around])))
+            want.add((100 * k + 2 * place + 1, k, 0))
+            if len(own) >= 5:
+                want.add((100 * k + 2 * place, k, 1))
+    docs = documents(spark, rows)
+    found = decontaminate.leaks(docs, benchmark(spark, items)).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in found} == want
+    assert decontaminate.keep_clean(docs, benchmark(spark, items)).count() == len(rows) - len(want)
