@@ -18,18 +18,7 @@ list of such tries is broadcast if it is short, and joined otherwise.
 A trie yields a spanning forest of its links, not all of them: node pairs whose leaves are already one
 component are dropped too, which keeps large groups of near copies from costing all their pairs.
 
-Copies of similarity 0.8 differ in about ten bits of 64, and one fingerprint misses many of them.
-``keep_one`` therefore takes several independent fingerprints of the different five-word shingles and
-calls documents close in any of them candidates. These are verified by the exact Jaccard similarity of
-the whole shingle sets, and only verified links make groups. First each member of a candidate group is
-compared with the group's smallest, then what is still apart with the smallest of each of its tries, and
-at last every pair of candidates that is still apart, which a second traversal lists without pruning by
-components. A set is made once for each text that has a candidate, and joined by the set's hash.
-
-By the binomial law, eleven bits in one of four fingerprints find a similarity of exactly 0.8 with
-probability 0.995 for large sets and at least 0.99 for unions of 17 shingles and more. Fewer shingles
-differ in more bits, up to 0.1875 of them (four of five), so sets of up to 16 take eight fingerprints,
-which is again at least 0.99. Shingles and sets are known by 64-bit hashes.
+``keep_one`` keeps the smallest id of each group, which is the id that names the group.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 all others. Null ids are ignored in the choice of the smallest id unless a group has no other. Rows that
@@ -39,7 +28,7 @@ repeat count once. Empty tables give empty results.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +48,6 @@ LEAF = 20_000
 SHARE, LISTED = 16, 10_000
 CHUNK = 1 << 16
 SMALL = 1024
-STAGE_WORDS, STAGE_BUDGET, STAGE_PRINTS = 5, 11, 4
-# Sets of up to FEW different shingles take FEW_PRINTS fingerprints.
-FEW, FEW_PRINTS = 16, 8
-# Similarity 0.8, compared in whole numbers.
-SIMILAR = (4, 5)
 TEXT_BYTES = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
@@ -83,11 +67,6 @@ def shingle_hashes(text: bytes, words: int) -> bytes:
     return b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, last)])
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The different hashes of ``shingle_hashes``, ascending."""
-    return np.unique(np.frombuffer(shingle_hashes(text, words), dtype=">u8"))
-
-
 def majority_bits(hashes: list[bytes], prints: int = 1) -> np.ndarray:
     """Per item and print the 64 bits that are set in over half of its hashes, as unsigned integers.
 
@@ -155,51 +134,6 @@ def fingerprints(
     return rows.mapInArrow(sign, schema)
 
 
-def set_fingerprints(
-    docs: DataFrame, doc_id: str, text: str, words: int, prints: int, also: dict[str, Column]
-) -> DataFrame:
-    """Per row: id, the columns of ``also``, node (the hash of the set of its shingles), size (how
-    many) and prints (the fingerprints, each different shingle counted once)."""
-    rows = docs.select(
-        column(doc_id).alias("id"),
-        *[value.alias(name) for name, value in also.items()],
-        column(text).cast("string").alias("body"),
-    )
-    kept = [name for name in rows.columns if name != "body"]
-    schema = T.StructType(
-        [
-            *[field(rows, name) for name in kept],
-            T.StructField("node", T.LongType()),
-            T.StructField("size", T.LongType()),
-            T.StructField("prints", T.ArrayType(T.LongType())),
-        ]
-    )
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, "body", TEXT_BYTES):
-                sets = [shingle_set(x, words) for x in utf8(part.column("body"))]
-                hashes = [x.tobytes() for x in sets]
-                sizes = np.array([len(x) for x in sets], dtype=np.int64)
-                found = list(majority_bits(hashes, prints).view(np.int64))
-                few = np.flatnonzero(sizes <= FEW)
-                more = majority_bits([hashes[k] for k in few], max(prints, FEW_PRINTS))
-                for k, own in zip(few, more.view(np.int64), strict=True):
-                    found[k] = own
-                nodes = [xxhash.xxh64_intdigest(x, SEED) for x in hashes]
-                yield pa.record_batch(
-                    [
-                        *[part.column(name) for name in kept],
-                        pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
-                        pa.array(sizes),
-                        pa.array(found, pa.list_(pa.int64())),
-                    ],
-                    names=[*kept, "node", "size", "prints"],
-                )
-
-    return rows.mapInArrow(sign, schema)
-
-
 def agreeing_masks(budget: int) -> list[int]:
     """For each choice of two of ``budget + 2`` blocks of bits, the mask of these bits (signed)."""
     edges = [BITS * k // (budget + 2) for k in range(budget + 3)]
@@ -239,20 +173,6 @@ def _near(
     return tuple(np.concatenate(found, axis=1))
 
 
-def trie_pairs(
-    keys: np.ndarray, starts: np.ndarray, budget: int, known: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of every two linked keys inside a trie whose ``known`` labels differ.
-
-    As for ``trie_components``, but keys may repeat.
-    """
-    found = [np.zeros((2, 0), dtype=np.int64)]
-    for left, right in _traverse(keys, starts, budget, known):
-        apart = known[left] != known[right]
-        found.append(np.array([left[apart], right[apart]]))
-    return tuple(np.concatenate(found, axis=1))
-
-
 def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
     """Component labels of ``keys`` inside each trie.
 
@@ -260,17 +180,17 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, budget: int) -> np.nda
     each trie begins. A label is the position of the component's first key.
     """
     labels = np.arange(len(keys))
-    for left, right in _traverse(keys, starts, budget, labels, spanning=True):
+    for left, right in _traverse(keys, starts, budget, labels):
         labels[:] = _merge(labels, left, right)
     return labels
 
 
 def _traverse(
-    keys: np.ndarray, starts: np.ndarray, budget: int, labels: np.ndarray, spanning: bool = False
+    keys: np.ndarray, starts: np.ndarray, budget: int, labels: np.ndarray
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of linked keys; node pairs of one label only are left out.
+    """Positions of linked keys that span the components; node pairs of one label only are left out.
 
-    With ``spanning`` the caller merges ``labels`` in between, and links need only span components.
+    The caller merges ``labels`` in between.
     """
     n = len(keys)
     ends = np.append(starts[1:], n)
@@ -290,9 +210,7 @@ def _traverse(
         if not len(a):
             continue
         small = (b - a) * (d - c) <= SMALL
-        if not spanning:
-            small |= level == BITS  # equal keys
-        close = ~small & spanning & (differ + (BITS - level) <= budget)
+        close = ~small & (differ + (BITS - level) <= budget)
         left, right = _near(keys, a[small], b[small], c[small], d[small], budget)
         if close.any():  # whatever lies below, it is within the budget
             for lo, hi in ((a[close], b[close]), (c[close], d[close])):
@@ -302,7 +220,6 @@ def _traverse(
                 right = np.append(right, np.repeat(lo, size) + inside)
         if len(left):
             yield left, right
-        if len(left) and spanning:
             changes = np.append(0, np.cumsum(labels[1:] != labels[:-1]))
         go = ~small & ~close
         a, b, c, d, differ = (x[go] for x in (a, b, c, d, differ))
@@ -369,21 +286,7 @@ def trie_stars(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
     return links.distinct()
 
 
-def apart_pairs(signed: DataFrame, budget: int, leaf: int = LEAF) -> DataFrame:
-    """Every two nodes (a, b) that are linked in some trie and whose labels differ.
-
-    ``signed``: print, node, fingerprint and label, all whole numbers.
-    """
-
-    def solve(keys, starts, nodes, labels):
-        left, right = trie_pairs(keys, starts, budget, labels)
-        a, b = nodes[left], nodes[right]
-        return np.maximum(a, b), np.minimum(a, b)
-
-    return _in_tries(signed, budget, leaf, solve).distinct()
-
-
-def _in_tries(signed: DataFrame, budget: int, leaf: int, solve_keys: Callable) -> DataFrame:
+def _in_tries(signed: DataFrame, budget: int, leaf: int, solve_keys) -> DataFrame:
     """The links (a, b) that ``solve_keys`` finds from the keys of whole tries, where each trie
     starts, and the further columns of ``signed``."""
     masks = agreeing_masks(budget)
@@ -496,91 +399,6 @@ def _picked(docs: DataFrame, doc_id: str, wanted: DataFrame, row: Column) -> Dat
     return rows.join(wanted, same)
 
 
-def shingle_sets(picked: DataFrame, words: int) -> DataFrame:
-    """``picked`` (columns node and body) as node and shingles, the set of its text."""
-    schema = "node long, shingles array<long>"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, "body", TEXT_BYTES):
-                sets = [shingle_set(x, words) for x in utf8(part.column("body"))]
-                ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
-                whole = np.concatenate([np.zeros(0, np.uint64), *sets]).astype(np.uint64)
-                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.view(np.int64)))
-                yield pa.record_batch([part.column("node"), shingles], names=["node", "shingles"])
-
-    return picked.mapInArrow(cut, schema)
-
-
-def verified_links(
-    docs: DataFrame, signed: DataFrame, text: str, doc_id: str, words: int, budget: int
-) -> DataFrame:
-    """Links (a, b) of candidates of similarity 0.8 or more that span the components of all such.
-
-    ``signed`` is as from ``set_fingerprints``, with rank.
-    """
-    nodes = signed.groupBy("node").agg(
-        F.any_value("size").alias("size"),
-        F.any_value("prints").alias("prints"),
-        F.min(F.struct("id", "rank")).alias("of"),
-    )
-    keyed = nodes.select("node", F.posexplode("prints").alias("print", "fingerprint"))
-    stars = cut_lineage(trie_stars(keyed, budget))
-    coarse = cut_lineage(connected_components(shared_links(stars)))
-    inside = nodes.join(coarse, "node")
-    picked = _picked(docs, doc_id, inside.select("node", "of.*"), column(text).cast("string"))
-    once = picked.groupBy("node").agg(F.any_value("row").alias("body"))
-    sets = cut_lineage(
-        shingle_sets(once, words).join(inside.select("node", "size", "root", "prints"), "node")
-    )
-    held = sets.select("node", "size", "shingles")
-    over, under = SIMILAR
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        # Sizes alone rule out most; texts are compared after that.
-        sizes = held.select("node", "size")
-        fits = (
-            pairs.join(sizes.withColumnsRenamed({"node": "a", "size": "size_a"}), "a")
-            .join(sizes.withColumnsRenamed({"node": "b", "size": "size_b"}), "b")
-            .where(F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over)
-        )
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        shingles = held.select("node", "shingles")
-        return (
-            fits.join(shingles.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
-            .join(shingles.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b")
-            .where(both * (over + under) >= (F.col("size_a") + F.col("size_b")) * over)
-            .select("a", "b")
-        )
-
-    links = cut_lineage(similar(coarse.where("node <> root").toDF("a", "b")))
-    # Candidates that are not yet joined: by the smallest of their tries, then pair by pair.
-    for every_pair in (False, True):
-        group = sets.select("node", "prints", F.col("root").alias("group"))
-        labels = cut_lineage(_with_root(group, links).select("node", "prints", "group", "root"))
-        open_groups = (
-            labels.groupBy("group")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            .where("low <> high")
-            .select("group")
-        )
-        still = labels.join(open_groups, "group", "left_semi")
-        if still.isEmpty():
-            break
-        if every_pair:
-            rows = still.select(
-                "node", F.col("root").alias("label"), F.posexplode("prints").alias("print", "fingerprint")
-            )
-            pairs = apart_pairs(rows.select("print", "node", "fingerprint", "label"), budget)
-        else:
-            root_a, root_b = (
-                still.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"
-            )
-            pairs = stars.join(root_a, "a").join(root_b, "b").where("root_a <> root_b")
-        links = links.union(cut_lineage(similar(pairs.select("a", "b"))))
-    return links
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -601,17 +419,13 @@ def keep_one(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    words: int = STAGE_WORDS,
-    budget: int = STAGE_BUDGET,
-    prints: int = STAGE_PRINTS,
+    words: int = 4,
+    budget: int = 4,
 ) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group: the smallest id, then smallest row hash."""
-    signed = cut_lineage(
-        set_fingerprints(docs, doc_id, text, words, prints, {"rank": row_rank(docs)})
-    )
-    links = verified_links(docs, signed, text, doc_id, words, budget)
+    signed = cut_lineage(fingerprints(docs, doc_id, text, words, also={"rank": row_rank(docs)}))
     stays = (
-        _least_ids(signed, links)
+        _grouped(signed, budget)
         .where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
         .agg(F.min(F.struct("id", "rank")).alias("kept"))

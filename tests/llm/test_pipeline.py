@@ -4,9 +4,10 @@ import collections
 import random
 
 import corpus_pipeline
-from docket_spark.llm import packing, queries, simhash
+from docket_spark.llm import packing, queries
 from docket_spark.llm.queries import BYTE_BPE
 from tests.llm.tables import PROSE, documents, hard_rows
+from tests.llm.test_near import all_pairs, plain_fingerprint
 from tests.llm.test_texts import pieces
 
 
@@ -24,14 +25,17 @@ def corpus(draw):
         copies[(text or "").lower()].append(i)
     for ids in copies.values():
         gone |= set(ids) - {max(ids)}
-    for k in range(5):  # near copies: the smallest id stays
+    for k in range(15):
         text = next(t for i, t, *_ in rows if i == 120 + k).split()
         text[50] = "changed"
         rows.append((300 + k, " ".join(text), "en"))
-        gone.add(300 + k)
-    for k, item in items:  # leaks
+    for k, item in items:
         rows.append((400 + k, f"{invent(80)} {item.upper()} {invent(40)}", "en"))
-        gone.add(400 + k)
+    # near copies: the smallest id stays
+    groups = all_pairs({i: plain_fingerprint(t) for i, t, *_ in rows if i not in gone}, 4)
+    near = {i for i, least in groups.items() if i != least}
+    assert near and near < {300 + k for k in range(15)}
+    gone |= near | {400 + k for k, _ in items}  # and the leaks
     return rows, items, gone
 
 
@@ -72,6 +76,5 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
 
 def test_names_of_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "simhash_dedup"
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
-    assert simhash.STAGE_WORDS == 5
