@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from checks import sql
 from checks.registry import index, narratives, register, rounded
 from docket_spark.functions.embedding import hashed_terms, with_embedding
 from docket_spark.functions.text import bounded_quote, quote_fingerprint
-from docket_spark.operators.nearest import nearest_batch, nearest_by_key
+from docket_spark.operators import pivots
+from docket_spark.operators.nearest import nearest_by_key
 from docket_spark.operators.ranking import diversify, pick_examples
 from docket_spark.plans import evidence, retrieval
+from docket_spark.session import checkpoint_folder
 from docket_spark.sources import testdata
 
 FILTERS = retrieval.NarrativeFilters(
@@ -127,47 +130,121 @@ def _(spark, sf):
     return rounded(hits.select("question_id", _long("rank"), "complaint_id", "distance"), "distance")
 
 
-@register("ret_batch_topk", _BATCHED)
+# Every hundredth vector asks, some with filters of its own document and some with days.
+_ASKED = """SELECT CAST(vec_id AS VARCHAR) AS question_id, vec_id, e.embedding AS query_vector,
+  CASE WHEN vec_id % 300 = 0 THEN lang END AS issue,
+  CASE WHEN vec_id % 400 = 100 THEN 'BUILDING' END AS product,
+  CASE WHEN vec_id % 200 = 0 THEN DATE '1994-01-01' END AS first_day,
+  CASE WHEN vec_id % 500 = 0 THEN DATE '1997-01-01' END AS end_day
+FROM embeddings e LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0"""
+_MATCHING = (
+    "idx JOIN asked ON (asked.issue IS NULL OR idx.issue = asked.issue) AND (asked.product IS NULL OR "
+    "idx.product = asked.product) AND (first_day IS NULL OR date_received >= first_day) AND (end_day IS "
+    "NULL OR date_received < end_day)"
+)
+
+
+def asked(spark, sf):
+    vec = F.col("vec_id")
+    documents = testdata.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
+    return (
+        testdata.table(spark, sf, "embeddings")
+        .where(vec % 100 == 0)
+        .join(documents, "vec_id", "left")
+        .select(
+            vec.cast("string").alias("question_id"),
+            "vec_id",
+            F.col("embedding").alias("query_vector"),
+            F.when(vec % 300 == 0, F.col("lang")).alias("issue"),
+            F.when(vec % 400 == 100, "BUILDING").alias("product"),
+            F.when(vec % 200 == 0, F.lit(date(1994, 1, 1))).alias("start"),
+            F.when(vec % 500 == 0, F.lit(date(1997, 1, 1))).alias("end"),
+        )
+    )
+
+
+_ALL_ASKED = sql.query(
+    "SELECT question_id, rank, complaint_id, round(distance, 6) AS distance FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY question_id ORDER BY distance, complaint_id) AS rank FROM "
+    f"(SELECT question_id, complaint_id, {sql.distance('idx.embedding', 'query_vector')} AS distance "
+    f"FROM {_MATCHING})) WHERE rank <= 5",
+    "idx",
+    asked=_ASKED,
+)
+
+
+@register("ret_batch_topk", _ALL_ASKED)
 def _(spark, sf):
-    hits = nearest_batch(
-        index(spark, sf), _requests(spark, sf), 5, filters=("product", "state"), block_bytes=8192
+    hits = retrieval.retrieve_batch(index(spark, sf), asked(spark, sf), 5)
+    return rounded(hits.select("question_id", _long("rank"), "complaint_id", "distance"), "distance")
+
+
+@register("ret_pruned_topk", _ALL_ASKED)
+def _(spark, sf):
+    folder = f"{checkpoint_folder(spark)}/layout-{uuid.uuid4().hex}"
+    rows = index(spark, sf).select("complaint_id", "embedding", "issue", "product", "date_received")
+    pivots.write_layout(rows, folder, pivots=16)
+    hits = pivots.nearest_batch_pruned(
+        spark, folder, asked(spark, sf), 5, ("issue", "product"), {"date_received": ("start", "end")}
     )
     return rounded(hits.select("question_id", _long("rank"), "complaint_id", "distance"), "distance")
 
 
+@register(
+    "ret_diverse_batch",
+    sql.query(
+        "SELECT question_id, position, complaint_id FROM (SELECT *, row_number() OVER (PARTITION BY "
+        "question_id ORDER BY CASE WHEN n > 8 THEN nth > 1 ELSE false END, rank) AS position FROM "
+        "(SELECT *, count(*) OVER (PARTITION BY question_id) AS n, row_number() OVER (PARTITION BY "
+        "question_id, issue, sub_issue ORDER BY rank) AS nth FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY question_id ORDER BY distance, complaint_id) AS rank FROM (SELECT question_id, "
+        f"complaint_id, idx.issue, sub_issue, {sql.distance('idx.embedding', 'query_vector')} AS "
+        f"distance FROM {_MATCHING})) WHERE rank <= 24)) WHERE position <= 8",
+        "idx",
+        asked=_ASKED,
+    ),
+)
+def _(spark, sf):
+    hits = retrieval.retrieve_batch(index(spark, sf), asked(spark, sf), diversified=True)
+    return hits.select("question_id", _long("position"), "complaint_id")
+
+
 @register(
     "ret_request_status",
     sql.query(
-        "SELECT n_name AS question_id, CASE WHEN bad THEN 'configuration_error' WHEN hits IS NULL "
-        "THEN 'empty' ELSE 'ok' END AS status, CASE WHEN bad THEN 0 ELSE coalesce(hits, 0) END AS "
-        "hit_count, CASE WHEN n_nationkey % 6 = 4 THEN 'query must be nonblank' WHEN "
-        "n_nationkey % 6 = 5 THEN 'top_k must be positive' END AS error FROM (SELECT n_name, "
-        "n_nationkey, n_nationkey % 6 >= 4 AS bad, CASE WHEN c > 3 THEN 3 ELSE c END AS hits FROM nation LEFT JOIN "
-        "(SELECT company, count(*) AS c FROM idx WHERE narrative_truncated GROUP BY 1) ON company "
-        "= n_name)",
+        "SELECT question_id, CASE vec_id % 500 WHEN 400 THEN 'configuration_error' WHEN 300 THEN "
+        "'configuration_error' WHEN 200 THEN 'index_error' ELSE CASE WHEN n IS NULL THEN 'empty' ELSE "
+        "'ok' END END AS status, CASE WHEN vec_id % 500 IN (200, 300, 400) THEN 0 ELSE "
+        "least(coalesce(n, 0), 3) END AS hit_count, CASE vec_id % 500 WHEN 400 THEN 'the request has no "
+        "query text' WHEN 300 THEN 'the request asks for fewer than one row' WHEN 200 THEN 'the "
+        "request''s vector has 10 numbers' END AS error FROM asked LEFT JOIN (SELECT question_id, "
+        "count(*) AS n FROM idx JOIN asked ON (vec_id % 500 <> 100 OR company = 'no such company') AND "
+        "(first_day IS NULL OR date_received >= first_day) AND (end_day IS NULL OR date_received < "
+        "end_day) GROUP BY 1) USING (question_id)",
         "idx",
+        asked=_ASKED,
     ),
 )
 def _(spark, sf):
-    part = F.col("n_nationkey") % 6
-    requests = testdata.table(spark, sf, "nation").select(
-        F.col("n_name").alias("question_id"),
-        F.col("n_name").alias("company"),
-        F.col("n_nationkey").alias("vec_id"),
-        F.when(part == 4, " ").otherwise("fees").alias("query_text"),
-        F.when(part == 5, 0).otherwise(3).alias("top_k"),
-    )
-    vectors = testdata.table(spark, sf, "embeddings").select(
-        "vec_id", F.col("embedding").alias("query_vector")
-    )
-    hits = nearest_by_key(
-        index(spark, sf),
-        requests.join(vectors, "vec_id"),
-        ["company"],
-        3,
-        predicate=F.col("narrative_truncated"),
+    part = F.col("vec_id") % 500
+    requests = (
+        asked(spark, sf)
+        .drop("issue", "product")
+        .withColumns(
+            {
+                "query_text": F.when(part == 400, " ").otherwise("fees"),
+                "top_k": F.when(part == 300, 0).otherwise(3),
+                "company": F.when(part == 100, "no such company"),
+                "query_vector": F.when(part == 200, F.slice("query_vector", 1, 10)).otherwise(
+                    F.col("query_vector")
+                ),
+            }
+        )
     )
-    return retrieval.retrieval_status(requests, hits)
+    rows = index(spark, sf)
+    width = rows.agg(F.max(F.size("embedding"))).scalar()
+    hits = retrieval.retrieve_batch(rows, retrieval.searchable(requests, width), "top_k")
+    return retrieval.retrieval_status(requests, hits, width=width)
 
 
 @register("ret_index_embedding")

@@ -1,27 +1,21 @@
 """Exact nearest neighbours with metadata filters applied before any distance.
 
-Three forms, none of which pairs every request with every document in a join:
+* One request: filters become scan predicates, the distance is a column, ordering is a top-k.
+* Many requests that each name a value of a filter column: an equi-join on that column.
 
-* one request: filters become scan predicates, the distance is a column, ordering is a top-k;
-* many requests that each name a value of a filter column: an equi-join on that column;
-* arbitrary requests: blocks of request vectors of a fixed byte size are shipped to the tasks and
-  every Arrow batch of documents is reduced to at most k rows per request before it leaves Python.
+Requests with filters of their own each are searched by ``blocks``, with few comparisons by ``pivots``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket_spark.functions.vectors import squared_l2
 from docket_spark.operators.ranking import first_rows, ranked_top
 
-BLOCK_BYTES = 32 * 1024 * 1024
-
 
 def nearest(
     index: DataFrame,
@@ -32,7 +26,7 @@ def nearest(
 ) -> DataFrame:
     """The k documents nearest to one vector among those that satisfy the predicate."""
     if k < 1:
-        raise ValueError("top_k must be positive")
+        raise ValueError("k below 1: a search returns at least one row")
     if not isinstance(vector, Column):
         vector = F.lit([float(x) for x in vector])
     candidates = index if predicate is None else index.where(predicate)
@@ -58,7 +52,7 @@ def nearest_by_key(
     ``requests`` holds one row per request with its ``query_vector`` and the key columns.
     """
     if k < 1:
-        raise ValueError("top_k must be positive")
+        raise ValueError("k below 1: a search returns at least one row")
     candidates = index if predicate is None else index.where(predicate)
     # Only ids and distances are sorted; documents join the k ids that are left.
     scored = (
@@ -70,86 +64,3 @@ def nearest_by_key(
     found = hits.join(candidates.drop("embedding"), key)
     asked = [c for c in requests.columns if c not in {"query_vector", *on, *candidates.columns}]
     return found.join(requests.select(*asked), request) if len(asked) > 1 else found
-
-
-def nearest_batch(
-    index: DataFrame,
-    requests: DataFrame,
-    k: int,
-    filters: Sequence[str] = (),
-    request: str = "question_id",
-    key: str = "complaint_id",
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """The k nearest documents of every request, each with its own optional equality filters.
-
-    ``requests``: request id, ``query_vector`` and the filter columns, NULL meaning no filter.
-    Request blocks are cut by bytes, so what is shipped does not grow with either table; more
-    requests mean more passes over the index.
-    """
-    if k < 1:
-        raise ValueError("top_k must be positive")
-    session = index.sparkSession
-    widths = requests.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("width")
-    ).first()
-    if not widths["n"]:
-        found = index.select(
-            F.lit(None).cast("string").alias(request), key, F.lit(None).cast("double").alias("distance")
-        ).where(F.lit(False))
-        return first_rows(found, [request], [F.col("distance"), F.col(key)], k, "rank")
-    # Hashing fills blocks unevenly, so they are planned at half the allowed size.
-    per_block = max(1, block_bytes // (2 * 8 * widths["width"]))
-    blocks = -(-widths["n"] // per_block)
-    columns = [request, "query_vector", *filters]
-    numbered = requests.select(*columns).withColumn(
-        "_block", F.pmod(F.xxhash64(request), F.lit(blocks))
-    )
-    schema = f"{request} string, {key} string, distance double"
-    found = None
-    for number in range(blocks):
-        block = numbered.where(F.col("_block") == number).toPandas()
-        if block.empty:
-            continue
-        shipped = session.sparkContext.broadcast(
-            (
-                block[request].astype(str).to_numpy(),
-                np.stack(block["query_vector"].to_numpy()).astype("float64"),
-                {name: block[name].to_numpy(dtype=object) for name in filters},
-            )
-        )
-
-        def score(
-            batches: Iterator[pd.DataFrame], shipped=shipped
-        ) -> Iterator[pd.DataFrame]:
-            ids, vectors, wanted = shipped.value
-            for batch in batches:
-                if batch.empty:
-                    continue
-                documents = np.stack(batch["embedding"].to_numpy()).astype("float64")
-                keys = batch[key].astype(str).to_numpy()
-                parts = []
-                for i, query in enumerate(vectors):
-                    mask = np.ones(len(batch), dtype=bool)
-                    for name, values in wanted.items():
-                        if values[i] is not None:
-                            mask &= (batch[name] == values[i]).to_numpy()
-                    rows = np.flatnonzero(mask)
-                    if not len(rows):
-                        continue
-                    delta = documents[rows] - query
-                    distance = np.einsum("ij,ij->i", delta, delta)
-                    best = np.lexsort((keys[rows], distance))[:k]
-                    parts.append(
-                        pd.DataFrame(
-                            {request: ids[i], key: keys[rows][best], "distance": distance[best]}
-                        )
-                    )
-                if parts:
-                    yield pd.concat(parts)
-
-        part = index.select(key, "embedding", *filters).mapInPandas(score, schema)
-        found = part if found is None else found.unionByName(part)
-    return first_rows(
-        found, [request], [F.col("distance").asc(), F.col(key).asc()], k, "rank"
-    )
