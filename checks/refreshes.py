@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql
 from checks.registry import narratives, raw, register, rounded
+from docket_spark.constants import METRIC_TABLES
+from docket_spark.functions.embedding import hashed_terms
 from docket_spark.plans import gold as gold_plan
 from docket_spark.plans import retrieval
+from docket_spark.plans.index_segments import read_rows
+from docket_spark.plans.parts import read_current
+from docket_spark.plans.publish import current_folder, has_current, publish_generation
 from docket_spark.plans.silver import SILVER_COLUMNS, silver_table
+from docket_spark.session import checkpoint_folder
 from docket_spark.sources import testdata
 from docket_spark.sources.complaints import ROW_ORDER
 from docket_spark.streaming import refresh
@@ -31,11 +39,124 @@ def _sides(spark, sf):
     return silver_table(rows.where(~late)), refresh.canonical_arrivals(rows.where(late))
 
 
+def _published(spark, sf):
+    """Roots of published silver: the earlier lines dealt into buckets, then a batch of the later ones."""
+    root = f"{checkpoint_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    rows = raw(spark, sf)
+    is_late = F.col(f"{ROW_ORDER}.l_shipdate") >= F.lit(_CUT).cast("timestamp_ntz")
+    old = silver_table(rows.where(~is_late))
+    publish_generation(
+        spark, f"{root}/silver", lambda f: old.write.parquet(f"{f}/complaints"), lambda f: {}
+    )
+    refresh.apply_batch(spark, f"{root}/silver", rows.limit(0), buckets=16)
+    return root, rows.where(is_late)
+
+
 @register(
     "inc_merge", sql.query(f"SELECT {_COLUMNS} FROM merged", "cleaned", **_BLOCKS)
 )
 def _(spark, sf):
-    return refresh.merge(*_sides(spark, sf))
+    root, late = _published(spark, sf)
+    refresh.apply_batch(spark, f"{root}/silver", late)
+    return read_current(spark, f"{root}/silver", "complaints")
+
+
+_TABLES = {
+    name: f"SELECT {', '.join(dims)}, {sql.MEASURES} FROM (SELECT *, CAST(date_trunc('month', "
+    f"date_received) AS DATE) AS complaint_month FROM merged WHERE date_received IS NOT NULL) "
+    f"GROUP BY {', '.join(dims)}"
+    for name, dims in METRIC_TABLES.items()
+}
+
+
+_GOLD: dict[tuple[str, str], str] = {}
+
+
+def _refreshed_gold(spark, sf):
+    """The root of refreshed gold, made once for all its tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GOLD or not has_current(spark, f"{_GOLD[key]}/gold"):
+        root, late = _published(spark, sf)
+        refresh.refresh_gold(spark, f"{root}/silver", f"{root}/gold")
+        refresh.apply_batch(spark, f"{root}/silver", late)
+        refresh.refresh_gold(spark, f"{root}/silver", f"{root}/gold")
+        _GOLD[key] = root
+    return _GOLD[key]
+
+
+def _refreshed(name):
+    def build(spark, sf):
+        root = _refreshed_gold(spark, sf)
+        table = gold_plan.read_metric_table(spark, current_folder(spark, f"{root}/gold"), name)
+        return rounded(table, "timely_response_rate")
+
+    return build
+
+
+for _name, _text in _TABLES.items():
+    register(f"inc_refreshed_{_name}", sql.query(_text, "cleaned", **_BLOCKS))(_refreshed(_name))
+
+
+@register(
+    "inc_drift_gate",
+    sql.query(
+        "SELECT (SELECT count(*) FROM merged) > 1.01 * (SELECT count(*) FROM old) AS refused, "
+        "count(*) AS silver_rows FROM old",
+        "cleaned",
+        **_BLOCKS,
+    ),
+)
+def _(spark, sf):
+    root, late = _published(spark, sf)
+    try:
+        refresh.apply_batch(spark, f"{root}/silver", late, tolerance=0.01)
+        refused = False
+    except refresh.DriftRefused:
+        refused = True
+    table = read_current(spark, f"{root}/silver", "complaints")
+    return table.agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("silver_rows"))
+
+
+@register(
+    "inc_refreshed_index",
+    "SELECT CAST(doc_id AS VARCHAR) AS complaint_id, coalesce(lang, '') AS issue, sha256(trim(text)) AS "
+    "narrative_hash, n_chars % 4 = 0 OR source = 'src3' AS embedded_again FROM documents "
+    "WHERE length(trim(text)) > 0 AND source <> 'src4'",
+)
+def _(spark, sf):
+    """Every fourth narrative had another text, one source is new and one is blanked."""
+    root = f"{checkpoint_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    sizes = testdata.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("complaint_id"), "n_chars"
+    )
+    rows = narratives(spark, sf).join(sizes, "complaint_id")
+    text = F.col("consumer_complaint_narrative")
+    changed = F.col("n_chars") % 4 == 0
+    before = rows.where("sub_issue <> 'src3'").withColumn(
+        "consumer_complaint_narrative", F.when(changed, F.concat(text, F.lit(" (earlier)"))).otherwise(text)
+    )
+    after = rows.withColumn("consumer_complaint_narrative", F.when(F.col("sub_issue") != "src4", text))
+    for table in (before, after):
+        publish_generation(
+            spark,
+            f"{root}/silver",
+            lambda f, table=table: table.select(*SILVER_COLUMNS).write.parquet(f"{f}/complaints"),
+            lambda f: {},
+        )
+        if table is before:
+            retrieval.build_index(spark, f"{root}/silver", f"{root}/index", hashed_terms(16))
+    refresh.refresh_index(spark, f"{root}/silver", f"{root}/index", hashed_terms(16))
+    base, newest = refresh.segments_of(spark, current_folder(spark, f"{root}/index"))
+    index, _ = retrieval.open_index(spark, f"{root}/index")
+    added = read_rows(spark, f"{root}/index/_generations/{newest}").select(
+        "complaint_id", F.lit(True).alias("_new")
+    )
+    return index.join(added, "complaint_id", "left").select(
+        "complaint_id",
+        F.coalesce("issue", F.lit("")).alias("issue"),
+        "narrative_hash",
+        F.coalesce("_new", F.lit(False)).alias("embedded_again"),
+    )
 
 
 _MONTHS = (

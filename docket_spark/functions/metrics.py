@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+COUNTS = ("complaint_count", "timely_response_count", "timely_response_known_count")
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Double quotient, NULL when the denominator is zero or NULL."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -22,10 +25,7 @@ def complaint_measures(timely: Column) -> list[Column]:
 
 def summed_measures() -> list[Column]:
     """The same measures from an already aggregated table."""
-    return [
-        F.sum(name).alias(name)
-        for name in ("complaint_count", "timely_response_count", "timely_response_known_count")
-    ]
+    return [F.sum(name).alias(name) for name in COUNTS]
 
 
 def timely_rate() -> Column:

@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 
 from docket_spark.constants import GOLD_REQUIRED, METRIC_TABLES, MONTH
 from docket_spark.functions.dates import month_of
-from docket_spark.functions.metrics import complaint_measures, summed_measures, timely_rate
+from docket_spark.functions.metrics import COUNTS, complaint_measures, summed_measures, timely_rate
 from docket_spark.operators.profiling import require_columns
 from docket_spark.plans.bronze import utc_text
-from docket_spark.plans.publish import publish_generation, read_current, require_separate
+from docket_spark.plans.parts import generation_of, read_current, read_table
+from docket_spark.plans.publish import (
+    current_folder,
+    publish_generation,
+    require_separate,
+)
 
 DETAIL = "company_product_state_issue_month_metrics"
 SILVER_TABLE = "complaints"
@@ -59,35 +64,63 @@ def metric_tables(silver: DataFrame) -> dict[str, DataFrame]:
     return {name: metrics_from_complaints(silver, name) for name in METRIC_TABLES}
 
 
-def all_metrics(silver: DataFrame) -> DataFrame:
-    """Every metric table from one scan, tagged with its table name.
+def _every() -> list[str]:
+    """All dimension columns of the metric tables."""
+    return list(dict.fromkeys(name for dims in METRIC_TABLES.values() for name in dims))
+
+
+def base_metrics(silver: DataFrame) -> DataFrame:
+    """The tables that cannot be derived from another, from one scan, tagged with their names.
 
     Grouping ids tell a grouped-out dimension from a NULL label.
     """
-    columns = list(dict.fromkeys(name for dims in METRIC_TABLES.values() for name in dims))
-    sets = [[F.col(name) for name in dims] for dims in METRIC_TABLES.values()]
+    base = {name: dims for name, dims in METRIC_TABLES.items() if not derives_from_detail(name)}
+    columns = list(dict.fromkeys(name for dims in base.values() for name in dims))
+    width = len(columns)
     grouped = (
         dated(silver)
-        .groupingSets(sets, *[F.col(name) for name in columns])
-        .agg(
-            F.grouping_id().cast("bigint").alias("_set"),
-            *complaint_measures(F.col("timely_response")),
-        )
-    )
-    width = len(columns)
-    names = F.coalesce(
-        *[
-            F.when(
-                F.col("_set")
-                == sum(1 << (width - 1 - i) for i, c in enumerate(columns) if c not in dims),
-                F.lit(name),
-            )
-            for name, dims in METRIC_TABLES.items()
-        ]
+        .groupingSets([[F.col(c) for c in dims] for dims in base.values()], *[F.col(c) for c in columns])
+        .agg(F.grouping_id().cast("bigint").alias("_set"), *complaint_measures(F.col("timely_response")))
     )
+    outside = {
+        name: sum(1 << (width - 1 - i) for i, c in enumerate(columns) if c not in dims)
+        for name, dims in base.items()
+    }
+    names = F.coalesce(*[F.when(F.col("_set") == bits, F.lit(name)) for name, bits in outside.items()])
     return grouped.withColumn("table_name", names).drop("_set")
 
 
+def from_base(base: DataFrame, table: str) -> DataFrame:
+    """One metric table from the rows of ``base_metrics``."""
+    if derives_from_detail(table):
+        return metrics_from_detail(base.where(F.col("table_name") == DETAIL), table)
+    rows = base.where(F.col("table_name") == table).withColumn("timely_response_rate", timely_rate())
+    return rows.select(*METRIC_TABLES[table], *COUNTS, "timely_response_rate")
+
+
+def all_metrics(silver: DataFrame) -> DataFrame:
+    """Every metric table from one scan, tagged with its table name.
+
+    Complaints are expanded by the base tables only; the detail table's aggregated rows are dealt out to
+    the tables that add them up.
+    """
+    derived = [name for name in METRIC_TABLES if derives_from_detail(name)]
+    base = base_metrics(silver)
+    targets = F.when(
+        F.col("table_name") == DETAIL, F.array(*[F.lit(name) for name in (DETAIL, *derived)])
+    ).otherwise(F.array("table_name"))
+    dealt = base.withColumn("table_name", F.explode(targets))
+    keys = []
+    for name in _every():
+        holders = [t for t, dims in METRIC_TABLES.items() if name in dims]
+        keys.append(F.when(F.col("table_name").isin(holders), F.col(name)).alias(name))
+    return (
+        dealt.select("table_name", *keys, *COUNTS)
+        .groupBy("table_name", *_every())
+        .agg(*summed_measures())
+    )
+
+
 def reconciliation(silver: DataFrame) -> DataFrame:
     """Complaint total of every metric table against the dated rows, from one scan each."""
     dated_rows = dated(silver).agg(F.count(F.lit(1))).scalar()
@@ -127,7 +160,7 @@ def write_metric_tables(spark: SparkSession, silver: DataFrame, folder: str) ->
 
 
 def read_metric_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    return read_table(spark, folder, name)
 
 
 def read_metric_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -137,6 +170,7 @@ def read_metric_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]
 def rebuild_gold(spark: SparkSession, silver_root: str, root: str) -> dict[str, Any]:
     """Build the seven tables from current silver; publish only when each one reconciles."""
     require_separate(spark, silver_root, root)
+    source = generation_of(current_folder(spark, silver_root))
     silver = read_current(spark, silver_root, SILVER_TABLE)
     require_columns(silver, GOLD_REQUIRED, "silver complaints")
     counts = silver.agg(
@@ -151,6 +185,7 @@ def rebuild_gold(spark: SparkSession, silver_root: str, root: str) -> dict[str,
         return {
             "built_at": utc_text(datetime.now(UTC)),
             "source": silver_root,
+            "source_generation": source,
             "silver_rows": counts["silver_rows"],
             "dated_silver_rows": counts["dated_rows"],
             "tables": list(METRIC_TABLES),

@@ -132,16 +132,16 @@ def current_folder(spark: SparkSession, root: str) -> str:
     return folder
 
 
+def has_current(spark: SparkSession, root: str) -> bool:
+    return SharedFiles(spark).exists(f"{root}/{POINTER}")
+
+
 def current_report(spark: SparkSession, root: str) -> tuple[dict[str, Any], str]:
     """Report of the current generation and the SHA-256 of its bytes."""
     text = SharedFiles(spark).read_text(f"{current_folder(spark, root)}/{REPORT}")
     return json.loads(text), hashlib.sha256(text.encode()).hexdigest()
 
 
-def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{current_folder(spark, root)}/{table}")
-
-
 def write_run(
     spark: SparkSession, root: str, outputs: Mapping[str, DataFrame], run_id: str | None = None
 ) -> str:

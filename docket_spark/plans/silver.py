@@ -14,7 +14,8 @@ from docket_spark.functions.text import blank_to_null, company_key, yes_no
 from docket_spark.operators.profiling import require_columns
 from docket_spark.operators.ranking import first_rows
 from docket_spark.plans.companies import brand_of
-from docket_spark.plans.publish import publish_generation, read_current, require_separate
+from docket_spark.plans.parts import read_current
+from docket_spark.plans.publish import publish_generation, require_separate
 from docket_spark.sources.complaints import ROW_ORDER
 
 TABLE = "complaints"

@@ -1,4 +1,9 @@
-"""Incremental refresh: new snapshots merged by complaint id, only affected months rebuilt.
+"""Incremental refresh: new snapshots merged by complaint id, everything behind them brought up to date.
+
+Silver lies in id buckets, the metric tables in months, the narrative index in segments. A refresh reads
+and writes the buckets its complaints fall into, recomputes the months these complaints were and are in,
+and embeds the narratives that are new or altered. Each table's report names the silver generation it was
+made from, so a refresh that died half way is made up for by the next one.
 
 The stream form reads arriving snapshot folders with a file source, processes everything available
 and stops. Its merge is the batch merge, so replaying a batch changes nothing.
@@ -6,37 +11,71 @@ and stops. Its merge is the batch merge, so replaying a batch changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import UTC, datetime
+from collections.abc import Callable, Iterable
+from datetime import UTC, date, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket_spark.constants import METRIC_TABLES, MONTH
+from docket_spark.constants import COMPANY_REGISTRY, EMBED_BATCH, METRIC_TABLES, MONTH
+from docket_spark.functions.dates import add_months
+from docket_spark.functions.embedding import Embedder, with_embedding
 from docket_spark.functions.metrics import ratio
+from docket_spark.functions.text import is_nonblank
 from docket_spark.operators.profiling import null_profile
 from docket_spark.plans.bronze import utc_text
-from docket_spark.plans.gold import (
-    dated,
-    metrics_from_complaints,
-    read_metric_tables,
-    write_metric_table,
-    written_totals,
+from docket_spark.plans.companies import registry_entries
+from docket_spark.plans.gold import base_metrics, dated, from_base, metrics_from_complaints
+from docket_spark.plans.index_segments import (
+    GONE,
+    LONGEST,
+    SEGMENTS,
+    compare,
+    read_index,
+    read_rows,
+    segments_of,
+    write_rows,
+)
+from docket_spark.plans.parts import (
+    LISTED,
+    Parts,
+    PartTable,
+    changed_parts,
+    current_parts,
+    folder_of,
+    generation_of,
+    parts_of,
+    publish_parts,
+    read_parts,
+    read_table,
+    report_of,
+    total,
 )
-from docket_spark.plans.publish import current_folder, publish_generation
-from docket_spark.plans.retrieval import eligible
+from docket_spark.plans.publish import (
+    current_folder,
+    has_current,
+    publish_generation,
+    require_separate,
+)
+from docket_spark.plans.retrieval import eligible, index_rows
 from docket_spark.plans.silver import (
     SILVER_COLUMNS,
     TABLE,
     canonical,
     clean,
-    count_invalid,
+    is_invalid,
     typed,
 )
 from docket_spark.session import cut_lineage
 from docket_spark.sources.complaints import ROW_ORDER, SNAPSHOT_SCHEMA
 
+BUCKETS = 64
+
+
+class DriftRefused(RuntimeError):
+    """A generation whose profile moved too far from its predecessor's."""
+
 
 def canonical_arrivals(arriving: DataFrame) -> DataFrame:
     """Typed rows of an arriving snapshot, one per complaint id."""
@@ -102,32 +141,93 @@ def refreshed_metrics(
     )
 
 
-def refresh_gold(
-    spark: SparkSession, changes: DataFrame, new_silver: DataFrame, root: str
-) -> dict[str, Any]:
-    """Publish gold for refreshed silver, recomputing complaints of affected months only."""
-    months = cut_lineage(affected_months(changes))
-    dated_rows = new_silver.where(F.col("date_received").isNotNull()).count()
-    previous = read_metric_tables(spark, current_folder(spark, root))
+def month_ranges(months: Iterable[date]) -> list[tuple[date, date]]:
+    """Half-open day ranges that cover the months, neighbouring months joined."""
+    ranges: list[tuple[date, date]] = []
+    for month in sorted(months):
+        end = add_months(month, 1)
+        if ranges and ranges[-1][1] == month:
+            ranges[-1] = (ranges[-1][0], end)
+        else:
+            ranges.append((month, end))
+    return ranges
 
-    def write(folder: str) -> None:
-        for name in METRIC_TABLES:
-            table = refreshed_metrics(previous[name], new_silver, months, name)
-            write_metric_table(table, f"{folder}/{name}")
 
-    def report(folder: str) -> dict[str, Any]:
-        totals = written_totals(read_metric_tables(spark, folder))
-        wrong = sorted(name for name, total in totals.items() if total != dated_rows)
+def in_months(months: Iterable[date], day: str = "date_received") -> Column:
+    """Literal day ranges, which reach the scan."""
+    inside = F.lit(False)
+    for start, end in month_ranges(months):
+        inside = inside | ((F.col(day) >= F.lit(start)) & (F.col(day) < F.lit(end)))
+    return inside
+
+
+def buckets_since(spark: SparkSession, silver_root: str, source: str | None) -> frozenset[str] | None:
+    """Buckets that current silver does not share with the generation ``source``, None if not in buckets."""
+    new = current_parts(spark, silver_root, TABLE)[1]
+    old = parts_of(spark, folder_of(silver_root, source), TABLE) if source else None
+    return None if new is None or old is None else frozenset(changed_parts(old, new))
+
+
+def months_since(spark: SparkSession, silver_root: str, source: str | None) -> list[date] | None:
+    """Months whose metrics can differ between two silver generations, None if that cannot be told.
+
+    Only buckets that the generations do not share are read.
+    """
+    touched = buckets_since(spark, silver_root, source)
+    if touched is None:
+        return None
+    changes = changed_complaints(
+        read_parts(spark, folder_of(silver_root, source), TABLE, touched),
+        read_parts(spark, current_folder(spark, silver_root), TABLE, touched),
+    )
+    # One row a month: a few hundred at most.
+    return sorted(row[MONTH] for row in affected_months(changes).collect())
+
+
+def refresh_gold(spark: SparkSession, silver_root: str, root: str) -> dict[str, Any]:
+    """Publish gold for current silver, recomputing the months that differ from those gold was made of.
+
+    The base tables come from one scan of these months' complaints, the others add up the refreshed
+    detail rows. All months are computed for the first gold in months, and where the difference between
+    two silver generations cannot be told.
+    """
+    require_separate(spark, silver_root, root)
+    folder = current_folder(spark, silver_root)
+    base = current_folder(spark, root) if has_current(spark, root) else None
+    before = report_of(spark, base) if base else {}
+    months = None
+    if LISTED in before:
+        months = months_since(spark, silver_root, before.get("source_generation"))
+    silver = read_table(spark, folder, TABLE)
+    rows = silver if months is None else silver.where(in_months(months))
+    metrics = cut_lineage(base_metrics(rows))
+    replaced = None if months is None else frozenset(str(month) for month in months)
+    tables = {
+        name: PartTable(
+            from_base(metrics, name), F.col(MONTH), replaced, {"complaints": F.sum("complaint_count")}
+        )
+        for name in METRIC_TABLES
+    }
+    listed = parts_of(spark, folder, TABLE)
+    if listed is None:
+        dated_rows = silver.where(F.col("date_received").isNotNull()).count()
+    else:
+        dated_rows = total(listed) - total(listed, "null:date_received")
+
+    def report(parts: Parts) -> dict[str, Any]:
+        wrong = sorted(name for name in tables if total(parts[name], "complaints") != dated_rows)
         if wrong:
-            raise RuntimeError(f"reconciliation failed for {', '.join(wrong)}")
+            raise RuntimeError(f"totals differ from {dated_rows} dated complaints in {', '.join(wrong)}")
         return {
             "built_at": utc_text(datetime.now(UTC)),
+            "source": silver_root,
+            "source_generation": generation_of(folder),
             "dated_silver_rows": dated_rows,
             "tables": list(METRIC_TABLES),
-            "refreshed_months": [str(r[MONTH]) for r in months.orderBy(MONTH).collect()],
+            "refreshed_months": None if months is None else [str(month) for month in months],
         }
 
-    return publish_generation(spark, root, write, report)
+    return publish_parts(spark, root, tables, report, base=base)
 
 
 def stale_narratives(silver: DataFrame, index: DataFrame) -> DataFrame:
@@ -144,6 +244,66 @@ def narrative_hashes(silver: DataFrame) -> DataFrame:
     )
 
 
+def refresh_index(
+    spark: SparkSession, silver_root: str, root: str, embedder: Embedder, batch: int = EMBED_BATCH
+) -> dict[str, Any]:
+    """Publish the narrative index of current silver as one more segment.
+
+    Ids and hashes of the buckets that changed are compared; new and altered narratives are embedded,
+    and rows that no longer count are named. All other rows stay as and where they are.
+    """
+    require_separate(spark, silver_root, root)
+    base, source = current_folder(spark, root), current_folder(spark, silver_root)
+    before = report_of(spark, base)
+    held = read_index(spark, base)
+    touched = buckets_since(spark, silver_root, before.get("source_generation"))
+    if touched is None:
+        wanted = index_rows(read_table(spark, source, TABLE))
+        expected, theirs = wanted.count(), held
+    else:
+        wanted = index_rows(read_parts(spark, source, TABLE, touched))
+        expected = total(parts_of(spark, source, TABLE), "eligible")
+        buckets = report_of(spark, source)["buckets"]
+        theirs = held.where(bucket_of(buckets).cast("string").isin(sorted(touched)))
+    stale, gone = (cut_lineage(ids) for ids in compare(wanted, theirs))
+    embedded_rows, removed_rows = stale.count(), gone.count()
+    indexed = before["documents_indexed"] - removed_rows + embedded_rows
+    segments = segments_of(spark, base) or [generation_of(base)]
+    whole = len(segments) >= LONGEST
+    written = expected if whole else embedded_rows
+
+    def write(folder: str) -> None:
+        rows = with_embedding(wanted.join(stale, "complaint_id", "left_semi"), "document", embedder, batch)
+        if whole:
+            rows = held.join(gone, "complaint_id", "left_anti").unionByName(rows)
+        if written:
+            write_rows(rows.select(*held.columns), folder)
+        (gone.limit(0) if whole else gone).write.parquet(f"{folder}/{GONE}")
+
+    def report(folder: str) -> dict[str, Any]:
+        found = read_rows(spark, folder).select("complaint_id").distinct().count() if written else 0
+        if (found, indexed) != (written, expected):
+            raise RuntimeError(f"{found} rows written for {written}, {indexed} would count for {expected}")
+        kept = {name: value for name, value in before.items() if name != SEGMENTS}
+        own = generation_of(folder)
+        return {
+            **kept,
+            "source": silver_root,
+            "source_generation": generation_of(source),
+            "built_at_utc": utc_text(datetime.now(UTC)),
+            "documents_indexed": indexed,
+            "collection_count": indexed,
+            "eligible_silver_narratives": expected,
+            "reconciles_to_eligible_silver": True,
+            "segment_rows": written,
+            "embedded_rows": embedded_rows,
+            "removed_rows": removed_rows,
+            SEGMENTS: [own] if whole else [*segments, own],
+        }
+
+    return publish_generation(spark, root, write, report, base=base)
+
+
 def table_profile(frame: DataFrame) -> DataFrame:
     """Row count and NULL count of every column as (metric, column_name, value)."""
     rows = frame.agg(F.count(F.lit(1)).alias("value")).select(
@@ -183,20 +343,111 @@ def drift(old_profile: DataFrame, new_profile: DataFrame, tolerance: float) -> D
     )
 
 
-def apply_batch(spark: SparkSession, silver_root: str, arriving: DataFrame) -> None:
-    """Merge one batch of raw rows into current silver and publish the result as a generation."""
-    invalid = count_invalid(clean(arriving)).first()["invalid_rows"]
-    if invalid:
-        raise ValueError(f"source contains {invalid} invalid canonical records")
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("complaint_id"), F.lit(buckets))
+
+
+def _brands() -> list[str]:
+    return sorted({brand for _, brand, _ in registry_entries(COMPANY_REGISTRY).values()})
+
+
+def silver_figures() -> dict[str, Column]:
+    """What the report keeps of every bucket: narratives to index, NULLs by column, complaints by brand."""
+    nulls = {f"null:{name}": F.count_if(F.col(name).isNull()) for name in SILVER_COLUMNS}
+    texts = {"eligible": F.count_if(is_nonblank(F.col("consumer_complaint_narrative")))}
+    return texts | nulls | {f"brand:{b}": F.count_if(F.col("brand_name").eqNullSafe(F.lit(b))) for b in _brands()}
+
+
+def listed_profile(spark: SparkSession, parts: dict[str, dict[str, Any]]) -> DataFrame:
+    """``table_profile`` of a silver table, from the figures of its buckets."""
+    rows = [("row_count", "*", total(parts))]
+    for name in SILVER_COLUMNS:
+        rows.append(("column", name, 1))
+        if nulls := total(parts, f"null:{name}"):
+            rows.append(("null_count", name, nulls))
+    return spark.createDataFrame(rows, "metric string, column_name string, value bigint")
+
+
+def gate(old: DataFrame, new: DataFrame, tolerance: float) -> list[dict[str, Any]]:
+    """All differences of two profiles; raises if one is beyond the tolerance."""
+    found = [row.asDict() for row in drift(old, new, tolerance).orderBy("metric", "column_name").collect()]
+    breached = [f"{x['metric']} of {x['column_name']}: {x['old_value']} to {x['new_value']}" for x in found if x["breached"]]
+    if breached:
+        raise DriftRefused(f"beyond a tolerance of {tolerance:g}: {'; '.join(breached)}")
+    return found
+
+
+def apply_batch(
+    spark: SparkSession,
+    silver_root: str,
+    arriving: DataFrame,
+    tolerance: float | None = None,
+    buckets: int = BUCKETS,
+) -> dict[str, Any]:
+    """Merge one batch of raw rows into current silver and publish the result as a generation.
+
+    Only the buckets of arriving ids are read and written; the first batch after a full build deals the
+    whole table into buckets. With a ``tolerance`` the profiles of the new and the current table are
+    compared after the write, and a breach leaves the current generation as it is.
+    """
+    checked = clean(arriving).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(is_invalid()).alias("invalid")
+    ).first()
+    if checked["invalid"]:
+        raise ValueError(f"{checked['invalid']} of {checked['rows']} arriving rows are no canonical records")
     base = current_folder(spark, silver_root)
-    merged = merge(spark.read.parquet(f"{base}/{TABLE}"), canonical_arrivals(arriving))
-    publish_generation(
-        spark,
-        silver_root,
-        lambda folder: merged.write.parquet(f"{folder}/{TABLE}"),
-        lambda folder: {"silver_rows": spark.read.parquet(f"{folder}/{TABLE}").count()},
-        base=base,
+    before = report_of(spark, base)
+    listed = parts_of(spark, base, TABLE)
+    buckets = before.get("buckets", buckets)
+    fresh = cut_lineage(canonical_arrivals(arriving))
+    if listed is None:
+        touched, held = None, read_table(spark, base, TABLE)
+        profile = table_profile(held.select(*SILVER_COLUMNS)) if tolerance is not None else None
+    else:
+        hit = fresh.select(bucket_of(buckets).cast("string").alias("bucket")).distinct()
+        touched = frozenset(row["bucket"] for row in hit.collect())
+        held = read_parts(spark, base, TABLE, touched)
+        profile = listed_profile(spark, listed)
+
+    def report(parts: Parts) -> dict[str, Any]:
+        new = parts[TABLE]
+        moved = gate(profile, listed_profile(spark, new), tolerance) if tolerance is not None else None
+        return {
+            "silver_rows": total(new),
+            "arrived_rows": checked["rows"],
+            "invalid_rows": checked["invalid"],
+            "null_counts": {n: c for n in SILVER_COLUMNS if (c := total(new, f"null:{n}"))},
+            "brand_alias_counts": {b: c for b in _brands() if (c := total(new, f"brand:{b}"))},
+            "buckets": buckets,
+            "buckets_written": None if touched is None else sorted(touched, key=int),
+            "previous_generation": generation_of(base),
+            "drift": moved,
+        }
+
+    table = PartTable(
+        merge(held, fresh), bucket_of(buckets), touched, silver_figures(), ("date_received", "complaint_id")
     )
+    return publish_parts(spark, silver_root, {TABLE: table}, report, base=base)
+
+
+def refresh_all(
+    spark: SparkSession,
+    silver_root: str,
+    arriving: DataFrame,
+    gold_root: str | None = None,
+    index_root: str | None = None,
+    embedder: Embedder | None = None,
+    tolerance: float | None = None,
+) -> dict[str, dict[str, Any]]:
+    """Merge a batch into silver, then bring gold and the narrative index up to it."""
+    reports = {"silver": apply_batch(spark, silver_root, arriving, tolerance)}
+    if gold_root:
+        reports["gold"] = refresh_gold(spark, silver_root, gold_root)
+    if index_root:
+        if embedder is None:
+            raise ValueError("an index is refreshed with the embedder it was built with")
+        reports["index"] = refresh_index(spark, silver_root, index_root, embedder)
+    return reports
 
 
 def refresh_stream(
@@ -205,10 +456,15 @@ def refresh_stream(
     silver_root: str,
     checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    gold_root: str | None = None,
+    index_root: str | None = None,
+    embedder: Embedder | None = None,
+    tolerance: float | None = None,
 ) -> None:
     """Process every snapshot file that arrived since the last run, then stop.
 
-    Each micro batch is merged through ``apply_batch``. Inside a batch the newest file comes first,
+    Each micro batch goes through ``refresh_all``; a batch that drifts too far stops the stream and is
+    tried again by the next run. Inside a batch the newest file comes first,
     then rows in the order of their file, so a complaint ends as its newest snapshot has it whether
     snapshots are processed one by one or together. Files of the same moment go by path.
     """
@@ -229,7 +485,7 @@ def refresh_stream(
         if on_batch:
             on_batch(batch, batch_id)
         else:
-            apply_batch(spark, silver_root, batch)
+            refresh_all(spark, silver_root, batch, gold_root, index_root, embedder, tolerance)
 
     query = (
         stream.writeStream.foreachBatch(handle)

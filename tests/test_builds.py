@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docket_spark.constants import METRIC_TABLES
 from docket_spark.plans import bronze, gold, silver
-from docket_spark.plans.publish import current_folder, current_report, read_current
+from docket_spark.plans.parts import read_current
+from docket_spark.plans.publish import current_folder, current_report
 from docket_spark.sources.complaints import ROW_ORDER, read_snapshot
 
 BRONZE = "date_received string, consumer_complaint_narrative string, complaint_id string"

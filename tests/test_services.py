@@ -1,6 +1,7 @@
 """Coverage, companies, sources, publication and refresh."""
 
 import json
+import shutil
 from datetime import date
 
 import pytest
@@ -9,13 +10,14 @@ from fixtures import RAW_SCHEMA, SILVER_SOURCE, raw_row
 from pyspark.sql import functions as F
 
 from docket_spark.constants import METRIC_TABLES
-from docket_spark.plans import bronze, gold, silver
+from docket_spark.functions.embedding import hashed_terms
+from docket_spark.plans import bronze, gold, retrieval, silver
 from docket_spark.plans.companies import entity_conflicts, resolve_companies
 from docket_spark.plans.coverage import decide
+from docket_spark.plans.parts import read_current
 from docket_spark.plans.publish import (
     current_folder,
     publish_generation,
-    read_current,
     require_separate,
     write_run,
 )
@@ -199,6 +201,13 @@ def built(spark, tmp_path):
     return roots
 
 
+def assert_gold_is_that_of(spark, gold_root, complaints):
+    refreshed = gold.read_metric_tables(spark, current_folder(spark, gold_root))
+    for name in METRIC_TABLES:
+        full = gold.metrics_from_complaints(complaints, name)
+        assert sorted(rows(refreshed[name].select(full.columns)), key=str) == sorted(rows(full), key=str)
+
+
 def test_refresh_equals_a_full_rebuild_and_can_be_repeated(spark, built, tmp_path):
     _, silver_root, gold_root = built
     old = read_current(spark, silver_root, "complaints")
@@ -211,13 +220,26 @@ def test_refresh_equals_a_full_rebuild_and_can_be_repeated(spark, built, tmp_pat
     ]
     changes = refresh.changes_from_arrivals(old, refresh.canonical_arrivals(arriving))
     assert sorted(rows(changes), key=str) == sorted(rows(refresh.changed_complaints(old, new)), key=str)
-    report = refresh.refresh_gold(spark, changes, new, gold_root)
-    assert report["refreshed_months"] == ["2025-01-01", "2025-02-01", "2025-03-01"]
-    refreshed = gold.read_metric_tables(spark, current_folder(spark, gold_root))
-    for name in METRIC_TABLES:
-        full = gold.metrics_from_complaints(new, name)
-        assert sorted(rows(refreshed[name].select(full.columns)), key=str) == sorted(rows(full), key=str)
-    refresh.apply_batch(spark, silver_root, arriving)
+    # The first refresh deals silver into buckets and gold into months; from then on only months that
+    # differ are made anew.
+    assert refresh.refresh_gold(spark, silver_root, gold_root)["refreshed_months"] is None
+    assert_gold_is_that_of(spark, gold_root, new)
+    moved = spark.createDataFrame(
+        [raw_row(date_received="2025-01-07", company="Acme", complaint_id="100"),
+         raw_row(date_received="2024-12-31", company="New", complaint_id="300")], RAW_SCHEMA
+    ).coalesce(1).withColumn(ROW_ORDER, F.monotonically_increasing_id())
+    second = refresh.apply_batch(spark, silver_root, moved)
+    assert second["silver_rows"] == 4 and len(second["buckets_written"]) in (1, 2)
+    report = refresh.refresh_gold(spark, silver_root, gold_root)
+    assert report["refreshed_months"] == ["2024-12-01", "2025-01-01", "2025-03-01"]
+    kept = {name: part["generation"] for name, part in report["parts"]["company_month_metrics"].items()}
+    assert kept["2025-02-01"] != kept["2025-01-01"] and "2025-03-01" not in kept
+    assert_gold_is_that_of(spark, gold_root, read_current(spark, silver_root, "complaints"))
+    assert refresh.refresh_gold(spark, silver_root, gold_root)["refreshed_months"] == []
+    assert_gold_is_that_of(spark, gold_root, read_current(spark, silver_root, "complaints"))
+    refresh.apply_batch(spark, silver_root, moved)
+    new = read_current(spark, silver_root, "complaints")
+    refresh.apply_batch(spark, silver_root, moved)
     again = read_current(spark, silver_root, "complaints")
     assert sorted(rows(again), key=str) == sorted(rows(new), key=str)
     assert refresh.changed_complaints(new, again).count() == 0
@@ -226,11 +248,153 @@ def test_refresh_equals_a_full_rebuild_and_can_be_repeated(spark, built, tmp_pat
 def test_invalid_arrivals_change_nothing(spark, built):
     before = current_folder(spark, built[1])
     bad = spark.createDataFrame([raw_row(complaint_id="1", timely_response="maybe")], RAW_SCHEMA).withColumn(ROW_ORDER, F.lit(1))
-    with pytest.raises(ValueError, match="invalid"):
+    with pytest.raises(ValueError, match="no canonical records"):
         refresh.apply_batch(spark, built[1], bad)
     assert current_folder(spark, built[1]) == before
 
 
+def many(spark, ids, narrative="text", **fields):
+    data = [
+        raw_row(**{"date_received": f"2025-{1 + i % 5:02}-03", "company": f"C{i % 3}", "complaint_id": str(i),
+                   "product": f"00{i % 2}", "consumer_complaint_narrative": f"{narrative} {i}"} | fields)
+        for i in ids
+    ]
+    return spark.createDataFrame(data, RAW_SCHEMA).coalesce(1).withColumn(ROW_ORDER, F.monotonically_increasing_id())
+
+
+@pytest.fixture(scope="module")
+def made_once(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("bucketed")
+    roots = [str(folder / name) for name in ("silver", "gold", "index")]
+    start = silver.silver_table(many(spark, range(39)))
+    publish_generation(spark, roots[0], lambda f: start.write.parquet(f"{f}/complaints"), lambda f: {})
+    gold.rebuild_gold(spark, *roots[:2])
+    refresh.apply_batch(spark, roots[0], many(spark, [39]), buckets=8)
+    refresh.refresh_gold(spark, *roots[:2])
+    retrieval.build_index(spark, roots[0], roots[2], hashed_terms(8))
+    return folder
+
+
+@pytest.fixture
+def bucketed(made_once, tmp_path):
+    """Silver of forty complaints in eight buckets, gold in months, and an index."""
+    shutil.copytree(made_once, tmp_path / "copy")
+    return [str(tmp_path / "copy" / name) for name in ("silver", "gold", "index")]
+
+
+def files_of(spark, root):
+    """Data files of current silver by bucket."""
+    import re
+
+    listed = read_current(spark, root, "complaints").inputFiles()
+    return {(re.search("_part=([0-9]+)", name)[1], name) for name in listed}
+
+
+def test_buckets_that_nothing_arrives_in_keep_their_files(spark, bucketed):
+    silver_root = bucketed[0]
+    before, folder = files_of(spark, silver_root), current_folder(spark, silver_root)
+    assert len({bucket for bucket, _ in before}) == 8
+    report = refresh.apply_batch(spark, silver_root, many(spark, [3, 3, 100]))
+    after, hit = files_of(spark, silver_root), set(report["buckets_written"])
+    assert 1 <= len(hit) <= 2 and report["arrived_rows"] == 3 and report["silver_rows"] == 41
+    assert {f for f in before if f[0] not in hit} == {f for f in after if f[0] not in hit}
+    assert not {f for f in before if f[0] in hit} & after
+    assert report["null_counts"]["state"] == 41 and report["previous_generation"] == folder[-32:]
+    assert sorted(int(r[0]) for r in rows(read_current(spark, silver_root, "complaints").select("complaint_id"))) == [*range(40), 100]
+    # An empty batch publishes the same parts.
+    assert refresh.apply_batch(spark, silver_root, many(spark, [3]).limit(0))["buckets_written"] == []
+    assert files_of(spark, silver_root) == after
+
+
+def test_months_reach_the_scan_as_ranges(spark, bucketed):
+    assert refresh.month_ranges([date(2025, 3, 1), date(2024, 12, 1), date(2025, 1, 1)]) == [
+        (date(2024, 12, 1), date(2025, 2, 1)), (date(2025, 3, 1), date(2025, 4, 1)),
+    ]
+    picked = read_current(spark, bucketed[0], "complaints").where(refresh.in_months([date(2025, 3, 1)]))
+    assert picked.count() == 8
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = picked.where("true")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(date_received,2025-03-01)" in plan and "LessThan(date_received,2025-04-01)" in plan
+
+
+def held(spark, index_root):
+    index, _ = retrieval.open_index(spark, index_root)
+    return {r["complaint_id"]: (r["product"], r["excerpt"], tuple(r["embedding"])) for r in index.collect()}
+
+
+def test_index_embeds_what_changed_and_drops_what_went(spark, bucketed, monkeypatch):
+    silver_root, _, index_root = bucketed
+    embedder = hashed_terms(8)
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        counted.add(len(texts))
+        return hashed_terms(8)(texts)
+
+    refresh.apply_batch(spark, silver_root, many(spark, [1, 2, 200], narrative="other"))
+    refresh.apply_batch(spark, silver_root, many(spark, [5], product="new product"))
+    refresh.apply_batch(spark, silver_root, many(spark, [6], consumer_complaint_narrative=" "))
+    report = refresh.refresh_index(spark, silver_root, index_root, counting)
+    assert (report["embedded_rows"], report["removed_rows"], report["documents_indexed"]) == (4, 4, 40)
+    assert counted.value == 4 and len(report["segments"]) == 2
+    found = held(spark, index_root)
+    assert set(found) == {str(i) for i in (*range(40), 200) if i != 6}
+    assert found["1"][1] == "other 1" and found["3"][0] == "001" and found["5"][0] == "new product"
+    # The same as an index built anew.
+    fresh_root = index_root + "-fresh"
+    retrieval.build_index(spark, silver_root, fresh_root, embedder)
+    assert held(spark, fresh_root) == found
+    # Nothing changed, then a narrative that comes back, and at last one segment again.
+    assert refresh.refresh_index(spark, silver_root, index_root, embedder)["embedded_rows"] == 0
+    refresh.apply_batch(spark, silver_root, many(spark, [6]))
+    monkeypatch.setattr(refresh, "LONGEST", 3)
+    report = refresh.refresh_index(spark, silver_root, index_root, embedder)
+    assert len(report["segments"]) == 1 and report["embedded_rows"] == 1
+    assert set(held(spark, index_root)) == {str(i) for i in (*range(40), 200)}
+
+
+def test_a_breached_profile_leaves_the_current_generation(spark, bucketed):
+    silver_root = bucketed[0]
+    before = current_folder(spark, silver_root)
+    flood = many(spark, range(100, 200))
+    with pytest.raises(refresh.DriftRefused, match="row_count"):
+        refresh.apply_batch(spark, silver_root, flood, tolerance=0.5)
+    assert current_folder(spark, silver_root) == before
+    assert read_current(spark, silver_root, "complaints").count() == 40
+    report = refresh.apply_batch(spark, silver_root, many(spark, [100, 101]), tolerance=0.5)
+    assert report["silver_rows"] == 42 and not any(x["breached"] for x in report["drift"])
+    assert refresh.apply_batch(spark, silver_root, flood, tolerance=3.0)["silver_rows"] == 140
+
+
+def test_stream_brings_gold_and_index_up_to_silver(spark, bucketed, tmp_path):
+    silver_root, gold_root, index_root = bucketed
+    inbox, checkpoint = str(tmp_path / "inbox"), str(tmp_path / "checkpoint")
+    many(spark, [1, 300]).drop(ROW_ORDER).write.parquet(inbox)
+    everything = dict(gold_root=gold_root, index_root=index_root, embedder=hashed_terms(8), tolerance=0.5)
+    refresh.refresh_stream(spark, inbox, silver_root, checkpoint, **everything)
+    assert read_current(spark, silver_root, "complaints").count() == 41
+    assert_gold_is_that_of(spark, gold_root, read_current(spark, silver_root, "complaints"))
+    assert len(held(spark, index_root)) == 41
+    # A batch that drifts too far stops the stream; with a wider tolerance it goes through later.
+    many(spark, range(400, 500)).drop(ROW_ORDER).write.mode("append").parquet(inbox)
+    with pytest.raises(Exception, match="tolerance"):
+        refresh.refresh_stream(spark, inbox, silver_root, checkpoint, **everything)
+    assert read_current(spark, silver_root, "complaints").count() == 41
+    refresh.refresh_stream(spark, inbox, silver_root, checkpoint, **{**everything, "tolerance": 9.0})
+    assert len(held(spark, index_root)) == read_current(spark, silver_root, "complaints").count() == 141
+
+
+def test_gold_catches_up_after_a_refresh_that_died(spark, bucketed):
+    """Two batches reach silver before gold is refreshed once."""
+    silver_root, gold_root, _ = bucketed
+    refresh.apply_batch(spark, silver_root, many(spark, [1], date_received="2025-07-07"))
+    refresh.apply_batch(spark, silver_root, many(spark, [2], date_received="2025-08-08"))
+    months = refresh.refresh_gold(spark, silver_root, gold_root)["refreshed_months"]
+    assert months == ["2025-02-01", "2025-03-01", "2025-07-01", "2025-08-01"]
+    assert_gold_is_that_of(spark, gold_root, read_current(spark, silver_root, "complaints"))
+
+
 def test_stream_processes_arrivals_once(spark, built, tmp_path):
     inbox, checkpoint = str(tmp_path / "inbox"), str(tmp_path / "checkpoint")
     spark.createDataFrame(arrivals(), RAW_SCHEMA).coalesce(1).write.parquet(inbox)
@@ -244,7 +408,6 @@ def test_stream_processes_arrivals_once(spark, built, tmp_path):
 def test_snapshots_processed_one_by_one_or_together_end_alike(spark, built, tmp_path):
     """The newest snapshot wins either way, also where its name sorts last."""
     import os
-    import shutil
 
     ends = []
     for together in (False, True):
