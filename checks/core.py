@@ -31,7 +31,20 @@ def _(spark, sf):
     return file_digests(spark, sf, "*.parquet")
 
 
-@register("src_content_fingerprint")
+_TOLD = "concat_ws(',', " + ", ".join(
+    f"coalesce(length({c}) || ':' || {c}, 'N')" for c in sorted(sql.TEXT_COLUMNS)
+) + ")"
+
+
+@register(
+    "src_content_fingerprint",
+    sql.query(
+        "SELECT count(*) AS row_count, bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS xor_hash, "
+        "CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT) % 1000000007) AS BIGINT) AS sum_hash FROM "
+        f"(SELECT md5({_TOLD}) AS h FROM raw)",
+        "raw",
+    ),
+)
 def _(spark, sf):
     return content_fingerprint(raw(spark, sf).drop(ROW_ORDER))
 
@@ -182,7 +195,7 @@ def _line(label, column):
     return f"'{label}: ' || coalesce({column}, 'Unknown')"
 
 
-_DOCUMENT = " || chr(10) || ".join(
+DOCUMENT = " || chr(10) || ".join(
     [
         "'Complaint ID: ' || complaint_id",
         _line("Company", "company"),
@@ -193,13 +206,13 @@ _DOCUMENT = " || chr(10) || ".join(
         "'Consumer narrative:' || chr(10) || substr(consumer_complaint_narrative, 1, 6000)",
     ]
 )
-_ELIGIBLE = "length(trim(consumer_complaint_narrative)) > 0"
+ELIGIBLE = "length(trim(consumer_complaint_narrative)) > 0"
 
 
 @register(
     "prj_document_text",
     sql.query(
-        f"SELECT complaint_id, {_DOCUMENT} AS document FROM narrative WHERE {_ELIGIBLE}",
+        f"SELECT complaint_id, {DOCUMENT} AS document FROM narrative WHERE {ELIGIBLE}",
         "narrative",
     ),
 )
@@ -220,7 +233,7 @@ _META = ("product", "sub_product", "issue", "sub_issue", "company", "company_key
         "coalesce(company_response_to_consumer, '') AS company_response, "
         "CAST(length(consumer_complaint_narrative) > 6000 AS VARCHAR) AS narrative_truncated, "
         "CAST(date_diff('day', DATE '0001-01-01', date_received) + 1 AS VARCHAR) "
-        f"AS date_received_ordinal FROM narrative WHERE {_ELIGIBLE}",
+        f"AS date_received_ordinal FROM narrative WHERE {ELIGIBLE}",
         "narrative",
     ),
 )
@@ -262,8 +275,8 @@ def _(spark, sf):
     sql.query(
         "SELECT complaint_id, substr(document, instr(document, 'Consumer narrative:' || chr(10)) "
         "+ 20) AS excerpt, truncated FROM (SELECT complaint_id, "
-        f"{_DOCUMENT} AS document, length(consumer_complaint_narrative) > 6000 AS truncated "
-        f"FROM narrative WHERE {_ELIGIBLE})",
+        f"{DOCUMENT} AS document, length(consumer_complaint_narrative) > 6000 AS truncated "
+        f"FROM narrative WHERE {ELIGIBLE})",
         "narrative",
     ),
 )
@@ -475,7 +488,7 @@ def _(spark, sf):
         "SELECT eligible_silver_narratives, documents_indexed, documents_indexed AS "
         "collection_count, truncated_narrative_count, documents_indexed = "
         "eligible_silver_narratives AS reconciles_to_eligible_silver FROM (SELECT (SELECT count(*) "
-        f"FROM narrative WHERE {_ELIGIBLE}) AS eligible_silver_narratives, count(*) AS "
+        f"FROM narrative WHERE {ELIGIBLE}) AS eligible_silver_narratives, count(*) AS "
         "documents_indexed, count(*) FILTER (WHERE narrative_truncated) AS "
         "truncated_narrative_count FROM idx)",
         "idx",
@@ -510,7 +523,7 @@ def _(spark, sf):
 @register(
     "srt_index_order_limit",
     sql.query(
-        f"SELECT complaint_id FROM narrative WHERE {_ELIGIBLE} ORDER BY complaint_id LIMIT 25",
+        f"SELECT complaint_id FROM narrative WHERE {ELIGIBLE} ORDER BY complaint_id LIMIT 25",
         "narrative",
     ),
 )

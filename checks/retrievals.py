@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from checks import sql
+from checks.core import DOCUMENT, ELIGIBLE
 from checks.registry import index, narratives, register, rounded
 from docket_spark.functions.embedding import hashed_terms, with_embedding
 from docket_spark.functions.text import bounded_quote, quote_fingerprint
@@ -247,12 +248,31 @@ def _(spark, sf):
     return retrieval.retrieval_status(requests, hits, width=width)
 
 
-@register("ret_index_embedding")
+# Terms by dimension, over the norm of a document's counts.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@register(
+    "ret_index_embedding",
+    sql.query(
+        "SELECT complaint_id, CAST(dimension AS INTEGER) AS dimension, round(CAST(CAST(n / norm AS "
+        "FLOAT) AS DOUBLE), 5) AS value FROM "
+        "counted JOIN (SELECT complaint_id, sqrt(sum(n * n)) AS norm FROM counted GROUP BY 1) USING "
+        "(complaint_id)",
+        "narrative",
+        terms="SELECT complaint_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dimension FROM "
+        f"(SELECT complaint_id, unnest(regexp_extract_all(lower({DOCUMENT}), '{_TERM}')) AS term FROM "
+        f"narrative WHERE {ELIGIBLE})",
+        counted="SELECT complaint_id, dimension, count(*) AS n FROM terms GROUP BY ALL",
+    ),
+)
 def _(spark, sf):
-    rows = retrieval.index_rows(narratives(spark, sf)).select("complaint_id", "product", "document")
+    rows = retrieval.index_rows(narratives(spark, sf)).select("complaint_id", "document")
     embedded = with_embedding(rows, "document", hashed_terms(64))
-    return embedded.select(
-        "complaint_id", F.size("embedding").alias("dimensions"), F.col("embedding")[0].alias("first")
+    return (
+        embedded.select("complaint_id", F.posexplode("embedding").alias("dimension", "value"))
+        .where("value <> 0")
+        .withColumn("value", F.round(F.col("value").cast("double"), 5))
     )
 
 
@@ -343,7 +363,30 @@ def _(spark, sf):
     )
 
 
-@register("agg_evidence_fingerprint")
+_ITEM = {
+    "complaint_id": "CAST(doc_id AS VARCHAR)",
+    "lang": "lang",
+    "length_class": "CAST(n_chars % 7 AS VARCHAR)",
+    "rank": "CAST(doc_id AS VARCHAR)",
+    "text": "text",
+}
+_LINE = "sha256(concat_ws(',', " + ", ".join(
+    f"coalesce(length({x}) || ':' || {x}, 'N')" for x in _ITEM.values()
+) + "))"
+_LEVEL = (
+    "(SELECT q, place // 1000 AS place, sha256(string_agg(line, ',' ORDER BY place)) AS line FROM {} "
+    "GROUP BY q, place // 1000)"
+)
+_TREE = _LEVEL.format(
+    _LEVEL.format(_LEVEL.format(f"(SELECT source AS q, doc_id AS place, {_LINE} AS line FROM documents)"))
+)
+
+
+@register(
+    "agg_evidence_fingerprint",
+    "SELECT q AS question_id, sha256(string_agg(line, ',' ORDER BY place)) AS evidence_sha256 FROM "
+    f"{_TREE} GROUP BY q",
+)
 def _(spark, sf):
     items = documents_as_evidence(spark, sf)
     return evidence.fingerprint(items, ["rank"])

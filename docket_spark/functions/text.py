@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from string import Formatter
 
 from pyspark.sql import Column
@@ -112,3 +113,10 @@ def fill(sentence: str, /, **values: Column) -> Column:
         if name:
             parts.append(values[name].cast("string"))
     return F.concat(*parts)
+
+
+def canonical_text(names: Sequence[str]) -> Column:
+    """The values of columns as one text from which each can be told: its length and itself, N for NULL."""
+    values = [F.col("`" + name.replace("`", "``") + "`").cast("string") for name in names]
+    told = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("N")) for x in values]
+    return F.concat_ws(",", *told)

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docket_spark.functions.text import canonical_text
+
 
 def require_columns(frame: DataFrame, required: Iterable[str], what: str) -> DataFrame:
     """Fail with the sorted list of missing columns; otherwise return the frame unchanged."""
@@ -36,10 +38,14 @@ def null_profile(frame: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def content_fingerprint(frame: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum, equal for equal contents in any file layout."""
-    row_hash = F.xxhash64(*[F.col(name) for name in sorted(frame.columns)])
-    return frame.agg(
+    """Row count and an order-free checksum, equal for equal contents in any file layout.
+
+    Rows are hashed as ``canonical_text``, so another engine can compute the same figures.
+    """
+    row_hash = F.md5(canonical_text(sorted(frame.columns)))
+    part = lambda start: F.conv(F.substring(row_hash, start, 15), 16, 10).cast("bigint")
+    return frame.select(part(1).alias("first"), part(17).alias("second")).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.bit_xor(row_hash).alias("xor_hash"),
-        F.sum(F.pmod(row_hash, F.lit(1_000_000_007))).alias("sum_hash"),
+        F.bit_xor("first").alias("xor_hash"),
+        F.sum(F.pmod("second", F.lit(1_000_000_007))).alias("sum_hash"),
     )

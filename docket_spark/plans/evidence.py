@@ -16,9 +16,8 @@ from pyspark.sql.window import Window
 
 from docket_spark.constants import AUDITED_FIELDS, MAX_THEMES
 from docket_spark.functions.metrics import metric_rollup, ratio
-from docket_spark.functions.text import collapse_whitespace
+from docket_spark.functions.text import canonical_text, collapse_whitespace
 from docket_spark.operators.ranking import first_rows, repeated_themes
-from docket_spark.operators.totals import joined_text
 from docket_spark.plans.retrieval import metadata_text
 
 METADATA = (*AUDITED_FIELDS, "timely_response", "date_received")
@@ -124,16 +123,31 @@ def theme_lists(items: DataFrame) -> DataFrame:
     )
 
 
+FANOUT = 1000
+
+
 def fingerprint(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """SHA-256 per question over the canonical JSON of its evidence rows in order."""
+    """SHA-256 per question over its evidence rows in order, as a tree of digests.
+
+    A row is hashed as the canonical text of its columns by name. The digests of a thousand places of
+    the first ``order`` column are hashed together, then those of a thousand such groups, and so on; no
+    row or string ever holds a question. Places are numbers below 10^12.
+    """
     values = sorted(set(rows.columns) - {"question_id"})
-    line = rows.select(
+    place = F.col(order[0]).cast("bigint")
+    level = rows.select(
         "question_id",
-        *order,
-        F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256).alias("line"),
+        F.struct(place.alias("place"), *order[1:]).alias("at"),
+        place.alias("place"),
+        F.sha2(canonical_text(values), 256).alias("line"),
     )
-    chunk = F.col(order[0]).cast("bigint") / 1000
-    joined = joined_text(
-        line, ["question_id"], list(order), "line", ",", "lines", F.floor(chunk)
-    )
-    return joined.select("question_id", F.sha2("lines", 256).alias("evidence_sha256"))
+
+    def together(*keys: Column | str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("at", "line")))
+        digests = F.array_join(F.transform(listed, lambda x: x["line"]), ",")
+        return level.groupBy(*keys).agg(F.sha2(digests, 256).alias("line"))
+
+    for _ in range(3):
+        above = F.floor(F.col("place") / FANOUT).alias("at")
+        level = together("question_id", above).withColumn("place", F.col("at"))
+    return together("question_id").select("question_id", F.col("line").alias("evidence_sha256"))

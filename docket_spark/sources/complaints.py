@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,8 @@ from docket_spark.constants import SOURCE_COLUMNS
 
 SNAPSHOT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in SOURCE_COLUMNS])
 ROW_ORDER = "_row_order"
+# Below the two gigabytes that one value can hold.
+WHOLE_FILE, CHUNK = 1 << 30, 1 << 20
 
 
 def read_snapshot(
@@ -45,15 +47,72 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(f"`{table.replace('`', '``')}`")
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every file under a path, computed where the files are read.
+def file_digests(
+    spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE_FILE, chunk: int = CHUNK
+) -> DataFrame:
+    """Path, length and SHA-256 of every file under a path, computed where the files are read.
 
-    A file is one value here, so this suits provenance of source files below 2 GB; the order-free
-    content fingerprint covers tables of any size.
+    Files of up to ``whole`` bytes are one value each. A longer one is read in ranges: the digest is over
+    its length and a tree of digests (lines, chunks of lines, a thousand chunks, a million chunks), which
+    does not depend on how Spark cut the file, and starts with ``tree:``. No task holds more than the lines of a
+    range one by one, and the digests of a chunk; a line itself has to fit into one value.
     """
-    return (
-        spark.read.format("binaryFile")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    short = files.where(F.col("length") <= whole).select(
+        "path", "length", F.sha2("content", 256).alias("sha256")
+    )
+    # Without their content, files are only listed.
+    place = F.col("_metadata.file_path").alias("place")
+    long = files.where(F.col("length") > whole).select("path", "length", place)
+    if long.isEmpty():
+        return short
+    return short.unionByName(_tree_digests(spark, path, pattern, long, chunk))
+
+
+def _tree_digests(
+    spark: SparkSession, path: str, pattern: str, files: DataFrame, chunk: int
+) -> DataFrame:
+    lines = (
+        spark.read.option("lineSep", "\n")
         .option("pathGlobFilter", pattern)
-        .load(path)
-        .select(F.col("path"), F.col("length"), F.sha2("content", 256).alias("sha256"))
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("place"),
+            F.col("_metadata.file_block_start").alias("range"),
+            F.monotonically_increasing_id().alias("row"),
+            (F.octet_length("value") + 1).cast("long").alias("bytes"),
+            F.sha2(F.col("value").cast("binary"), 256).alias("digest"),
+        )
     )
+    long = files.withColumnRenamed("path", "listed")
+    lines = lines.join(long.drop("length"), "place")
+    ranges = lines.groupBy("listed", "range").agg(F.sum("bytes").alias("in_range"))
+    before = F.sum("in_range").over(Window.partitionBy("listed").orderBy("range")) - F.col("in_range")
+    in_range = Window.partitionBy("listed", "range").orderBy("row").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    level = (
+        lines.join(ranges.select("listed", "range", before.alias("before")), ["listed", "range"])
+        .withColumn("at", F.col("before") + F.coalesce(F.sum("bytes").over(in_range), F.lit(0)))
+        .select("listed", "at", "digest")
+    )
+    for size in (chunk, chunk * 1000, chunk * 1_000_000):
+        group = (F.floor(F.col("at") / size) * size).alias("chunk")
+        level = (
+            level.groupBy("listed", group)
+            .agg(_digest_of("at").alias("digest"))
+            .withColumnRenamed("chunk", "at")
+        )
+    top = level.groupBy("listed").agg(_digest_of("at").alias("digest"))
+    return long.join(top, "listed").select(
+        F.col("listed").alias("path"),
+        "length",
+        F.concat(
+            F.lit("tree:"), F.sha2(F.concat_ws(",", F.col("length").cast("string"), "digest"), 256)
+        ).alias("sha256"),
+    )
+
+
+def _digest_of(order: str) -> Column:
+    listed = F.array_sort(F.collect_list(F.struct(order, "digest")))
+    return F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), ","), 256)

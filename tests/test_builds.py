@@ -11,7 +11,7 @@ from docket_spark.constants import METRIC_TABLES
 from docket_spark.plans import bronze, gold, silver
 from docket_spark.plans.parts import read_current
 from docket_spark.plans.publish import current_folder, current_report
-from docket_spark.sources.complaints import ROW_ORDER, read_snapshot
+from docket_spark.sources.complaints import ROW_ORDER, file_digests, read_snapshot
 
 BRONZE = "date_received string, consumer_complaint_narrative string, complaint_id string"
 CLEAN = [("2025-01-03T10:00:00Z", "narrative", "1")]
@@ -217,3 +217,58 @@ def test_neither_file_size_nor_split_size_moves_the_first_row(spark, tmp_path):
             assert first.count() == 20_000
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def plain_tree(data, chunk):
+    """The tree digest of a file's bytes, by plain loops."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+    lines, at = [], 0
+    parts = data.split(b"\n")
+    for line in parts if parts[-1] else parts[:-1]:
+        lines.append((at, sha(line)))
+        at += len(line) + 1
+    for size in (chunk, chunk * 1000, chunk * 1_000_000):
+        groups = {}
+        for place, digest in lines:
+            groups.setdefault(place // size * size, []).append(digest)
+        lines = [(place, sha(",".join(digests))) for place, digests in sorted(groups.items())]
+    return "tree:" + sha(f"{len(data)}," + sha(",".join(digest for _, digest in lines)))
+
+
+def test_long_files_are_digested_in_ranges_whatever_the_split(spark, tmp_path):
+    import hashlib
+    import random
+
+    draw = random.Random(8)
+    folder = tmp_path / "files"
+    folder.mkdir()
+    data = {
+        "big one.bin": draw.randbytes(200_000) + b"\n\n\n" + b"x" * 5_000,
+        "also+big.csv": b"".join(b"row %d,\xc3\xa4\r\n" % k for k in range(9_000)),
+        "small.txt": b"a\nb",
+    }
+    for name, content in data.items():
+        (folder / name).write_bytes(content)
+    want = {name: plain_tree(c, 4096) if len(c) > 1000 else hashlib.sha256(c).hexdigest() for name, c in data.items()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("128m", "30000b", "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            found = file_digests(spark, str(folder), whole=1000, chunk=4096).collect()
+            assert {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in found} == want
+            assert {r["length"] for r in found} == {len(c) for c in data.values()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert bronze.combined_digest(file_digests(spark, str(folder), whole=1000))
+
+
+def test_a_snapshot_above_the_limit_of_one_value_lands(spark, tmp_path, monkeypatch):
+    from docket_spark.sources import complaints
+
+    source, root = str(tmp_path / "source"), str(tmp_path / "bronze")
+    spark.createDataFrame(SILVER_SOURCE, RAW_SCHEMA).coalesce(1).write.parquet(source)
+    monkeypatch.setattr(bronze, "file_digests", lambda s, p: complaints.file_digests(s, p, whole=100))
+    made = bronze.create_bronze(spark, source, root, allow_population_violations=True)
+    assert made["row_count"] == len(SILVER_SOURCE) and len(made["sha256"]) in (64, 69)

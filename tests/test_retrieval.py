@@ -85,6 +85,19 @@ def test_embedding_sees_small_batches(spark):
     assert with_embedding(frame, "t", limited, batch=10).count() == 55
 
 
+def test_the_column_embedder_gives_the_vectors_of_the_function(spark):
+    from docket_spark.functions.embedding import with_embedding
+
+    texts = ["", "Late fee, late-fee!", "naïve café 日本 x_y", "a b " * 500, None, "ÀÉ It's 3.14"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for dimensions in (1, 8, 300):
+        embedder = hashed_terms(dimensions)
+        found = [r["embedding"] for r in with_embedding(frame, "t", embedder).collect()]
+        assert np.allclose(np.array(found), embedder(texts), atol=1e-6)
+    plan = with_embedding(frame, "t", hashed_terms(8))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_document_and_metadata(spark):
     data = [complaint("00123", "Late-fee dispute", None, None), complaint("5", "x" * 6001)]
     late, long = retrieval.index_rows(spark.createDataFrame(data, SCHEMA)).orderBy("complaint_id").select(
