@@ -134,57 +134,61 @@ def search(
     null or not as long as the longest request's take no part.
     """
     ranges = dict(ranges or {})
-    width = requests.agg(F.max(F.size("query_vector"))).scalar()
-    documents = documents.where(F.size("embedding") == width)
-    requests = requests.where((F.size("query_vector") == width) & (F.col("_k") > 0))
+    requests = requests.where(F.col("_k") > 0)
     held = documents.groupBy("_route").agg(F.count(F.lit(1)).alias("n"))
     asked = (
-        requests.select(F.explode("_routes").alias("_route"))
+        requests.select(F.explode("_routes").alias("_route"), F.size("query_vector").alias("width"))
         .groupBy("_route")
-        .agg(F.count(F.lit(1)).alias("m"))
+        .agg(F.count(F.lit(1)).alias("m"), F.max("width").alias("width"))
     )
-
-    def parts(count: str, size: int) -> Column:
-        return F.ceil(F.col(count) * width * 8 / size).cast("int")
-
     # One entry a route; the number of routes is fixed.
-    plan = (
-        held.join(asked, "_route")
-        .select("_route", F.struct(parts("n", cell_bytes).alias("salts"), parts("m", block_bytes).alias("blocks")).alias("cell"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("_route", "cell"))))
-        .scalar()
+    counts = F.struct("_route", F.struct("n", "m"))
+    plan = held.join(asked, "_route").agg(
+        F.struct(
+            F.max("width").alias("width"), F.map_from_entries(F.collect_list(counts)).alias("cells")
+        )
     )
+    plan = plan.scalar()
 
-    def count_up(name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(f"_cell.{name}") - 1))
-
-    def dealt(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_cell", F.try_element_at(plan, F.col("_route"))).where(
-            F.col("_cell").isNotNull()
+    def parts(count: str, size: int) -> Column:
+        """How many parts of ``size`` bytes the vectors of a route make."""
+        found = F.ceil(F.col(f"_cell.{count}") * F.col("_plan.width") * 8 / size)
+        return F.greatest(found, F.lit(1)).cast("int")
+
+    def dealt(frame: DataFrame, vector: str) -> DataFrame:
+        planned = frame.withColumn("_plan", plan).where(F.size(vector) == F.col("_plan.width"))
+        with_cell = planned.withColumn("_cell", F.try_element_at(F.col("_plan.cells"), F.col("_route")))
+        return (
+            with_cell.where(F.col("_cell").isNotNull())
+            .withColumns({"_salts": parts("n", cell_bytes), "_blocks": parts("m", block_bytes)})
+            .drop("_plan", "_cell")
         )
 
+    def count_up(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
     sides = ("_route", "_salt", "_block")
     by_cell = (
-        dealt(documents)
+        dealt(documents, "embedding")
         .select(
             key,
             "embedding",
             *equal,
             *ranges,
             "_route",
-            F.pmod(F.xxhash64(key), "_cell.salts").cast("int").alias("_salt"),
-            count_up("blocks").alias("_block"),
+            F.pmod(F.xxhash64(key), "_salts").cast("int").alias("_salt"),
+            count_up("_blocks").alias("_block"),
         )
     )
     edges = [name for pair in ranges.values() for name in pair]
-    by_block = dealt(requests.withColumn("_route", F.explode("_routes"))).select(
+    by_block = dealt(requests.withColumn("_route", F.explode("_routes")), "query_vector").select(
         request,
         "query_vector",
         "_k",
         *[F.col(name).alias(f"_want_{name}") for name in (*equal, *edges)],
         "_route",
-        count_up("salts").alias("_salt"),
-        F.pmod(F.xxhash64(request), "_cell.blocks").cast("int").alias("_block"),
+        count_up("_salts").alias("_salt"),
+        F.pmod(F.xxhash64(request), "_blocks").cast("int").alias("_block"),
     )
     wants = {name: f"_want_{name}" for name in (*equal, *edges)}
     schema = T.StructType(

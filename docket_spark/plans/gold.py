@@ -1,15 +1,17 @@
 """Monthly metric tables.
 
-Counts are additive, so only three tables are computed from complaints; the other four add up the
-rows of the already aggregated company-product-state-issue table. Rates are recomputed from the
+Counts are additive, so only three tables are computed from complaints, in one scan; the other four add
+up the rows of the already aggregated company-product-state-issue table. Rates are recomputed from the
 counts everywhere.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from docket_spark.plans.publish import (
     publish_generation,
     require_separate,
 )
+from docket_spark.session import cut_lineage
 
 DETAIL = "company_product_state_issue_month_metrics"
 SILVER_TABLE = "complaints"
@@ -148,15 +151,15 @@ def write_metric_table(frame: DataFrame, path: str) -> None:
     frame.sortWithinPartitions(MONTH).write.parquet(path)
 
 
-def write_metric_tables(spark: SparkSession, silver: DataFrame, folder: str) -> None:
-    """Base tables from complaints first; the rest read the written detail table."""
-    base = [name for name in METRIC_TABLES if not derives_from_detail(name)]
-    for name in base:
-        write_metric_table(metrics_from_complaints(silver, name), f"{folder}/{name}")
-    detail = read_metric_table(spark, folder, DETAIL)
-    for name in METRIC_TABLES:
-        if name not in base:
-            write_metric_table(metrics_from_detail(detail, name), f"{folder}/{name}")
+def write_metric_tables(silver: DataFrame, folder: str) -> None:
+    """One scan of complaints for the base tables; all seven are then written from its rows at once."""
+    base = cut_lineage(base_metrics(silver))
+
+    def write(name: str) -> None:
+        write_metric_table(from_base(base, name), f"{folder}/{name}")
+
+    with ThreadPoolExecutor(len(METRIC_TABLES)) as pool:
+        list(pool.map(inheritable_thread_target(silver.sparkSession)(write), METRIC_TABLES))
 
 
 def read_metric_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -196,5 +199,5 @@ def rebuild_gold(spark: SparkSession, silver_root: str, root: str) -> dict[str,
         }
 
     return publish_generation(
-        spark, root, lambda folder: write_metric_tables(spark, silver, folder), report
+        spark, root, lambda folder: write_metric_tables(silver, folder), report
     )
