@@ -16,8 +16,9 @@ every task before the shuffle, and the join back has one row per span on its sid
 can split a frequent one. Removed places are gathered per document only, and ``remove_repeats`` cuts.
 
 Defined cases: a null text has no sentences. Texts without a span of ``least_words`` words lose nothing.
-Rows with equal ids, or without one, count as one document: each loses what that document loses. An
-empty table gives an empty result. Further columns pass through ``remove_repeats`` untouched.
+``repeats`` takes rows with equal ids, or without one, as one document. ``remove_repeats`` tells rows by
+id and text, so each row loses places of its own text only; rows that repeat both keep what the first of
+them keeps. An empty table gives an empty result. Further columns pass through ``remove_repeats`` untouched.
 """
 
 from __future__ import annotations
@@ -196,12 +197,17 @@ def remove_repeats(
     both_ends: bool = False,
 ) -> DataFrame:
     """``docs`` with all columns, its texts without the sentences that an earlier place has."""
-    found = repeats(docs, doc_id, text, least_words, both_ends).select(
-        column(doc_id).alias("found_id"), "removed"
+    body_of = column(text).cast("string")
+    own = column(doc_id)
+    digest = F.sha2(F.coalesce(body_of, F.lit("")), 256)
+    # Rows without an id come last, so another row is the first of a span where there is one.
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), digest.alias("digest"))
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("key"), body_of.alias("body"))
+    found = repeats(rows, "key", "body", least_words, both_ends).select(
+        F.col("key").alias("found"), "removed"
     )
-    rows = docs.select(whole_row(docs).alias("row"), column(doc_id).alias("id"))
-    body = F.col("row")[text].cast("string")
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
+    body = F.col("body")
+    joined = rows.join(found, F.col("key").eqNullSafe(F.col("found")), "left")
     # The stretches between those removed, put together again.
     edges = F.concat(
         F.array(F.lit(0)), F.transform("removed", lambda x: x["end"])

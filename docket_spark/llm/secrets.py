@@ -5,9 +5,11 @@ candidate is a run of 20 or more characters that keys and tokens are written in,
 digit. It belongs to a character class (hexadecimal, alphanumeric, or with marks), a window of ``WINDOW``
 characters slides over it, and it is a secret if the entropy of some window reaches the class's bits.
 The sum of n log n over a window's characters is updated from the counts of the two characters that
-leave and enter, so a window costs the same wherever it is. Candidates on the allow list (UUIDs,
-placeholders, runs of the alphabet or of digits) are suppressed, and so are those that overlap a known
-form, which is reported already.
+leave and enter, which are looked up by their place in an array, so a window costs the same wherever it
+is and a candidate as much as it is long. What the allow list names (UUIDs, pieces between = / _ - with a
+placeholder's word, runs of the alphabet, of digits, of x or 0) is taken out of a candidate, and what
+is left of it on either side still counts. Candidates that overlap a known form are suppressed, as that is
+reported already.
 
 Everything is a column expression on the row itself: no shuffle, no Python on the executors.
 
@@ -36,9 +38,9 @@ WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.8), (r"", 3.9))
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000",
-    r"(?i)0123456789|1234567890|abcdefghij|qwertyuiop",
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",
+    r"(?i)[^=/_-]*(?:example|sample|dummy|placeholder|changeme)[^=/_-]*|(?<![a-z0-9])your(?=[_-])",
+    r"(?i)x{4,}+|0{4,}+|0123456789|1234567890|abcdefghij|qwertyuiop",
 )
 
 
@@ -48,42 +50,51 @@ def _weight(count: Column) -> Column:
 
 
 def _count(window: Column, char: Column) -> Column:
-    return (F.length(window) - F.length(F.replace(window, char, F.lit("")))).cast("int")
+    return F.size(F.filter(window, lambda x: x == char))
 
 
 def highest_entropy(value: Column, window: int = WINDOW) -> Column:
     """The largest entropy, in bits, of any ``window`` characters that follow each other."""
-    first = F.substring(value, 1, window)
-    initial = F.aggregate(
-        F.array_distinct(F.split(first, "")),
-        F.lit(0.0),
-        lambda total, char: total + _weight(_count(first, char)),
-    )
-
-    def slide(held: Column, k: Column) -> Column:
-        before = F.substring(value, k, F.lit(window))
-        out = F.substring(value, k, F.lit(1))
-        into = F.substring(value, k + window, F.lit(1))
-        gone, come = _count(before, out), _count(before, into)
-        change = _weight(gone - 1) - _weight(gone) + _weight(come + 1) - _weight(come)
-        total = held["total"] + F.when((k == 0) | (out == into), F.lit(0.0)).otherwise(change)
-        return F.struct(total.alias("total"), F.least(held["least"], total).alias("least"))
-
-    steps = F.sequence(F.lit(0), F.greatest(F.length(value) - window, F.lit(0)))
-    start = F.struct(initial.alias("total"), initial.alias("least"))
-    total = F.aggregate(steps, start, slide, lambda held: held["least"])
-    return F.lit(math.log2(window)) - total / window
-
 
-def _is_secret(value: Column) -> Column:
+    def of(chars: Column, length: Column) -> Column:
+        first = F.slice(chars, 1, window)
+        initial = F.aggregate(
+            F.array_distinct(first), F.lit(0.0), lambda total, char: total + _weight(_count(first, char))
+        )
+
+        def slide(held: Column, k: Column) -> Column:
+            before = F.slice(chars, k, window)
+            out, into = F.get(chars, k - 1), F.get(chars, k - 1 + window)
+            gone, come = _count(before, out), _count(before, into)
+            change = _weight(gone - 1) - _weight(gone) + _weight(come + 1) - _weight(come)
+            total = held["total"] + F.when(out == into, F.lit(0.0)).otherwise(change)
+            return F.struct(total.alias("total"), F.least(held["least"], total).alias("least"))
+
+        steps = F.when(length > window, F.sequence(F.lit(1), length - window))
+        start = F.struct(initial.alias("total"), initial.alias("least"))
+        slid = F.aggregate(
+            F.coalesce(steps, F.array().cast("array<int>")), start, slide, lambda held: held["least"]
+        )
+        return F.lit(math.log2(window)) - slid / window
+
+    # The characters once, not at every step; an empty text at the end is not one of them.
+    chars = F.slice(F.split(value, ""), F.lit(1), F.length(value))
+    return spans.let(chars, lambda known: of(known, F.size(known)))
+
+
+def _stretch_is_secret(value: Column) -> Column:
     bits = F.lit(CLASSES[-1][1])
     for pattern, least in reversed(CLASSES[:-1]):
         bits = F.when(value.rlike(pattern), F.lit(least)).otherwise(bits)
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    allowed = F.lit(False)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= WINDOW)
+    return F.when(mixed, highest_entropy(value) >= bits).otherwise(F.lit(False))
+
+
+def _is_secret(value: Column) -> Column:
+    left = value
     for pattern in ALLOWED:
-        allowed = allowed | value.rlike(pattern)
-    return F.when(mixed & ~allowed, highest_entropy(value) >= bits).otherwise(F.lit(False))
+        left = F.regexp_replace(left, pattern, " ")
+    return F.exists(F.split(left, " "), _stretch_is_secret)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -188,6 +188,16 @@ def test_remove_repeats(spark):
     assert repeats.remove_repeats(none).count() == repeats.repeats(none).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    other = " ".join(f"another{k} word" for k in range(40)) + ". " + "And one more sentence here."
+    for shared in (2, None):
+        rows = [(1, PROSE), (shared, PROSE), (shared, other), (shared, PROSE)]
+        cut = repeats.remove_repeats(documents(spark, rows)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in cut) == sorted(
+            [("1", PROSE), (str(shared), ""), (str(shared), ""), (str(shared), other)]
+        )
+
+
 def test_short_sentences_at_the_end_of_a_repeated_passage_go(spark, tmp_path):
     words = iter(range(1000))
     say = lambda *sizes: " ".join(
