@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import sql
@@ -16,6 +17,7 @@ from docket_spark.operators import pivots
 from docket_spark.operators.nearest import nearest_by_key
 from docket_spark.operators.ranking import diversify, pick_examples
 from docket_spark.plans import evidence, retrieval
+from docket_spark.plans.binding import bind_companies
 from docket_spark.session import checkpoint_folder
 from docket_spark.sources import testdata
 
@@ -298,6 +300,36 @@ def _(spark, sf):
     return rows.where(F.col("company") == winner).select("complaint_id", "company")
 
 
+@register(
+    "jn_binding_outcomes",
+    """WITH o AS (SELECT o_custkey, o_orderpriority AS bound, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderkey) - 1 AS row_index FROM orders),
+c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 END AS bind_row,
+  CASE WHEN c_custkey % 3 = 0 THEN '1 urgent' END AS company FROM customer),
+j AS (SELECT c.*, bound, CASE WHEN bind_row IS NULL THEN NULL WHEN bound IS NULL THEN 'the bound row is not
+  among the structured rows' WHEN company IS NOT NULL AND bound <> '1-URGENT' THEN 'the bound company is not
+  the one the request names' END AS error FROM c LEFT JOIN o ON o_custkey = c_custkey AND row_index = bind_row)
+SELECT c_custkey AS question_id, CASE WHEN bind_row IS NOT NULL AND error IS NULL THEN bound ELSE company
+  END AS company, regexp_replace(error, '\\s+', ' ', 'g') AS binding_error FROM j""",
+)
+def _(spark, sf):
+    """A customer asks about the priority of one of their orders."""
+    orders = testdata.table(spark, sf, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = orders.select(
+        F.col("o_custkey").alias("question_id"),
+        place.alias("row_index"),
+        F.col("o_orderpriority").alias("company"),
+    )
+    key = F.col("c_custkey")
+    requests = testdata.table(spark, sf, "customer").select(
+        key.alias("question_id"),
+        F.when(key % 5 > 0, key % 4).alias("bind_row"),
+        F.when(key % 3 == 0, "1 urgent").alias("company"),
+    )
+    return bind_companies(requests, rows).select("question_id", "company", "binding_error")
+
+
 def documents_as_evidence(spark, sf):
     """Every document as an evidence item of its source, in id order."""
     return testdata.table(spark, sf, "documents").select(

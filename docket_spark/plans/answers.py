@@ -22,26 +22,36 @@ def answer_records(
     items: DataFrame,
     verdicts: DataFrame,
     rendered: DataFrame,
+    outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """One record per question; the first thing that failed decides why it abstains.
 
     ``questions``: ``question_id, mode, query, company_or_brand``. ``coverage``: ``question_id,
-    answerable, reason``. ``entities``: ``question_id, status`` of questions that name a company.
+    answerable, reason``. ``entities``: ``question_id, status`` of questions that name a company, with
+    ``conflict`` where a question contradicts what was resolved. ``outcomes``: ``question_id, status,
+    error`` of retrieval requests, failed bindings among them.
     A query that ran is kept on the record even when the question abstains later.
     """
     with_rows = rows.select("question_id").distinct().withColumn("has_rows", F.lit(True))
     with_items = items.select("question_id").distinct().withColumn("has_items", F.lit(True))
+    if "conflict" not in entities.columns:
+        entities = entities.withColumn("conflict", F.lit(None).cast("string"))
     facts = (
         questions.join(
             coverage.select("question_id", "answerable", F.col("reason").alias("uncovered")),
             "question_id",
         )
-        .join(entities.select("question_id", "status"), "question_id", "left")
+        .join(entities.select("question_id", "status", "conflict"), "question_id", "left")
         .join(with_rows, "question_id", "left")
         .join(with_items, "question_id", "left")
         .join(verdicts.select("question_id", "accepted", "reasons", "citations"), "question_id", "left")
         .join(rendered, "question_id", "left")
     )
+    if outcomes is None:
+        facts = facts.withColumn("failed", F.lit(None).cast("string"))
+    else:
+        wrong = F.when(F.col("status").endswith("_error"), F.col("error")).alias("failed")
+        facts = facts.join(outcomes.select("question_id", wrong), "question_id", "left")
     uncovered = ~F.col("answerable")
     unresolved = F.col("company_or_brand").isNotNull() & (
         F.coalesce("status", F.lit("unresolved")) == "unresolved"
@@ -55,7 +65,15 @@ def answer_records(
             unresolved,
             fill(SENTENCES["unresolved"], name=F.col("company_or_brand")),
         )
+        .when(
+            F.col("conflict").isNotNull(),
+            F.concat(F.lit("The question contradicts the company it names: "), "conflict", F.lit(".")),
+        )
         .when(no_rows, NO_ROWS_REASON)
+        .when(
+            F.col("mode").isin("narrative", "combined") & F.col("failed").isNotNull(),
+            F.concat(F.lit("Narratives could not be searched: "), "failed", F.lit(".")),
+        )
         .when(no_items, NO_NARRATIVES_REASON)
         .when(rejected, F.concat(F.lit(REJECTED_PREFIX), "reasons"))
     )
@@ -64,6 +82,7 @@ def answer_records(
         lambda c: c.cast("bigint"),
     )
     asked = F.col("mode").isin("structured", "combined") & ~uncovered & ~unresolved
+    asked = asked & F.col("conflict").isNull()
     return facts.select(
         "question_id",
         F.coalesce(refusal, F.col("answer")).alias("answer"),

@@ -271,3 +271,32 @@ def test_outcomes_and_constraints(spark):
     assert rows(answers.record_violations(records)) == [(0, 0, 0, 0)]
     broken = make([(" ", "", [1], True), ("x", "y", [None], False)], "question_id string, answer string, citations array<bigint>, abstained boolean")
     assert rows(answers.record_violations(broken)) == [(1, 1, 1, 1)]
+
+
+def test_further_causes_of_abstention(spark):
+    names = ["conflict", "failed", "binding", "ignored", "fine"]
+    modes = {"ignored": "structured"}
+    questions = spark.createDataFrame(
+        [(q, modes.get(q, "combined"), "q()", "Block" if q == "conflict" else None) for q in names],
+        "question_id string, mode string, query string, company_or_brand string",
+    )
+    coverage = spark.createDataFrame([(q, True, None) for q in names], "question_id string, answerable boolean, reason string")
+    entities = spark.createDataFrame([("conflict", "curated_alias", "company conflict")], "question_id string, status string, conflict string")
+    present = spark.createDataFrame([(q,) for q in names], "question_id string")
+    items = present.where("question_id not in ('failed', 'binding')")
+    verdicts = spark.createDataFrame([(q, True, None, "1,2") for q in names], "question_id string, accepted boolean, reasons string, citations string")
+    rendered = present.withColumn("answer", F.lit("text"))
+    outcomes = spark.createDataFrame(
+        [("failed", "index_error", "no index"), ("binding", "configuration_error", "no such row"),
+         ("ignored", "index_error", "no index"), ("fine", "ok", None)],
+        "question_id string, status string, error string",
+    )
+    records = answers.answer_records(questions, coverage, entities, present, items, verdicts, rendered, outcomes)
+    found = {r["question_id"]: (r["answer"], r["citations"], r["query"], r["abstained"]) for r in records.collect()}
+    assert found == {
+        "conflict": ("The question contradicts the company it names: company conflict.", [], None, True),
+        "failed": ("Narratives could not be searched: no index.", [], "q()", True),
+        "binding": ("Narratives could not be searched: no such row.", [], "q()", True),
+        "ignored": ("text", [1, 2], "q()", False),
+        "fine": ("text", [1, 2], "q()", False),
+    }

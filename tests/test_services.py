@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docket_spark.constants import METRIC_TABLES
 from docket_spark.functions.embedding import hashed_terms
-from docket_spark.plans import bronze, gold, retrieval, silver
+from docket_spark.plans import binding, bronze, gold, retrieval, silver
 from docket_spark.plans.companies import entity_conflicts, resolve_companies
 from docket_spark.plans.coverage import decide
 from docket_spark.plans.parts import read_current
@@ -39,6 +39,21 @@ def decided(spark, capabilities, *requests):
     ]
 
 
+def test_bound_companies(spark):
+    rows = spark.createDataFrame(
+        [("a", 0, "Block, Inc."), ("a", 1, " "), ("b", 0, "Zelle")], "question_id string, row_index int, company string"
+    )
+    asks = [("a", 0, None), ("a", 0, "BLOCK INC"), ("a", 0, "Zelle"), ("a", 1, None), ("a", 2, "x"), ("b", None, "y"), ("c", 0, None)]
+    requests = spark.createDataFrame(asks, "question_id string, bind_row int, company string")
+    bound = binding.bind_companies(requests, rows).select("question_id", "company", "binding_error")
+    found = sorted((tuple(r) for r in bound.collect()), key=str)
+    assert found == sorted([
+        ("a", "Block, Inc.", None), ("a", "Block, Inc.", None), ("a", "Zelle", binding.OTHER_COMPANY),
+        ("a", None, binding.BLANK_COMPANY), ("a", "x", binding.MISSING_ROW), ("b", "y", None),
+        ("c", None, binding.MISSING_ROW),
+    ], key=str)
+
+
 def test_coverage_rules_in_order(spark):
     snapshot = (date(2024, 1, 1), date(2025, 12, 31), True, False, False)
     result = decided(
