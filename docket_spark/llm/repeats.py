@@ -1,8 +1,10 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends at a line break or at . ! ? before white space. A sentence of more than ``LONG`` words
-is cut behind words whose hash says so, about every eighth; such places depend on the words only, so a
-passage is cut alike wherever it stands. A span starts at every sentence and takes as many following
+A sentence ends at a line break or at . ! ? before white space. Inside a sentence, of every ``STRETCH``
+consecutive words that lie ``MARGIN`` or more words from both its ends, the last one with the smallest
+hash ends a part, and parts count as sentences. Whether a word does depends on the words around it only,
+never on the length of the sentence, so a passage is cut alike wherever it stands, but for
+``MARGIN + STRETCH`` words at each of its ends; no part has more than ``2 * MARGIN + STRETCH`` words. A span starts at every sentence and takes as many following
 ones as make at least two sentences and ``least_words`` words. With ``both_ends`` another one ends at
 every sentence and takes as many before it: the two families cover every repeated run of sentences that
 holds a span, also its short last sentences. Spans are equal when their words are, A-Z
@@ -34,12 +36,26 @@ from pyspark.sql import types as T
 from docket_spark.llm.columns import by_bytes, column, field, utf8, whole_row
 from docket_spark.llm.words import mixed, powers, runs
 
-LEAST_WORDS, LONG, CUT = 20, 24, 8
+LEAST_WORDS, MARGIN, STRETCH = 20, 8, 8
 TEXT_BYTES = 1 << 19
 _WORD = np.array([0 if c == 32 or 9 <= c <= 13 else 1 for c in range(256)])
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def inner_ends(word: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words that end a part inside a sentence, by hashes and by which words end a sentence."""
+    if len(word) < STRETCH:
+        return np.zeros(0, np.int64)
+    until = np.flatnonzero(last)
+    number = np.cumsum(last) - last
+    place = np.arange(len(word))
+    before = place - np.append(0, until[:-1] + 1)[number]
+    behind = until[number] - place
+    opening = np.flatnonzero((before >= MARGIN) & (behind >= MARGIN + STRETCH - 1))
+    stretches = np.lib.stride_tricks.sliding_window_view(word, STRETCH)[opening, ::-1]
+    return opening + STRETCH - 1 - np.argmin(stretches, axis=1)
+
+
 def sentence_spans(
     texts: list[bytes], least_words: int, both_ends: bool = False
 ) -> tuple[np.ndarray, ...]:
@@ -51,9 +67,7 @@ def sentence_spans(
     breaks = np.cumsum(joined == 10)
     stopped = np.isin(joined[stop - 1], np.frombuffer(b".!?", np.uint8))
     last = np.append(breaks[start[1:]] != breaks[stop[:-1] - 1], True) | stopped
-    number = np.cumsum(last) - last
-    size = np.bincount(number)
-    last |= (size[number] > LONG) & (word % np.uint64(CUT) == 0)
+    last[inner_ends(word, last)] = True
     end = np.flatnonzero(last) + 1
     begin = np.append(0, end[:-1])
     # The sentence that holds the span's least_words-th word, but at least the next one.

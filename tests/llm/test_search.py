@@ -103,33 +103,40 @@ def plain_sentences(text):
             own = []
     cut = []
     for sentence in [*found, own]:
+        hashes = [words.runs([w[2].encode()], repeats._WORD)[3][0] for w in sentence]
+        ends = set()
+        margin, stretch = repeats.MARGIN, repeats.STRETCH
+        for a in range(margin, len(sentence) - margin - stretch + 1):
+            ends.add(min(range(a, a + stretch), key=lambda i: (hashes[i], -i)))
         part = []
-        for word in sentence:
+        for i, word in enumerate(sentence):
             part.append(word)
-            if len(sentence) > repeats.LONG:
-                *_, hashed, _ = words.runs([word[2].encode()], repeats._WORD)
-                if hashed[0] % repeats.CUT == 0:
-                    cut.append(part)
-                    part = []
+            if i in ends:
+                cut.append(part)
+                part = []
         cut.append(part)
     return [x for x in cut if x]
 
 
-def plain_repeats(rows, least):
+def plain_repeats(rows, least, both_ends):
     """id to the merged places that an earlier span has."""
     first, places = set(), {}
     for i, text in sorted(rows):
         sentences = plain_sentences(text)
+        sizes = [len(s) for s in sentences]
+        chosen = set()
         for k in range(len(sentences)):
-            n = len(sentences[k])
-            for j in range(k + 1, len(sentences)):
-                n += len(sentences[j])
-                if n >= least:
-                    span = tuple(w[2] for s in sentences[k : j + 1] for w in s)
-                    if span in first:
-                        places.setdefault(i, []).append((sentences[k][0][0], sentences[j][-1][1]))
-                    first.add(span)
-                    break
+            ahead = [j for j in range(k + 1, len(sentences)) if sum(sizes[k : j + 1]) >= least]
+            behind = [j for j in range(k) if sum(sizes[j : k + 1]) >= least]
+            if ahead:
+                chosen.add((k, ahead[0]))
+            if behind and both_ends:
+                chosen.add((behind[-1], k))
+        for k, j in sorted(chosen):
+            span = tuple(w[2] for s in sentences[k : j + 1] for w in s)
+            if span in first:
+                places.setdefault(i, []).append((sentences[k][0][0], sentences[j][-1][1]))
+            first.add(span)
     merged = {}
     for i, found in places.items():
         out = []
@@ -145,17 +152,18 @@ def plain_repeats(rows, least):
 def test_repeats_equal_a_plain_search(spark):
     draw = random.Random(12)
     stock = [
-        " ".join(draw.choices(["Été", "of", "THE", "x", "🙂", "word"], k=draw.randint(1, 40)))
+        " ".join(draw.choices(["Été", "of", "THE", "x", "🙂", "word"], k=draw.randint(1, 70)))
         + draw.choice([". ", "!\n", " \n ", "? ", ", "])
         for _ in range(60)
     ]
     rows = [(k, "".join(draw.choices(stock, k=draw.randint(0, 12)))) for k in range(150)]
     docs = documents(spark, [*rows, (None, None), (900, None), (901, "")])
     for least in (6, repeats.LEAST_WORDS):
-        want = plain_repeats(rows, least)
-        found = repeats.repeats(docs, least_words=least).collect()
-        assert {r.doc_id: [tuple(x) for x in r.removed] for r in found} == want
-        assert all(r.first_doc_id <= r.doc_id for r in found)
+        for both_ends in (False, True):
+            want = plain_repeats(rows, least, both_ends)
+            found = repeats.repeats(docs, least_words=least, both_ends=both_ends).collect()
+            assert {r.doc_id: [tuple(x) for x in r.removed] for r in found} == want
+            assert all(r.first_doc_id <= r.doc_id for r in found)
 
 
 def test_a_passage_goes_wherever_it_stands(spark):
@@ -173,6 +181,30 @@ def test_a_passage_goes_wherever_it_stands(spark):
     assert caught == 6
 
 
+def test_unpunctuated_passages_are_cut_alike_in_any_surroundings():
+    draw = random.Random(14)
+    invent = lambda n: ["".join(draw.choices("abcdefgh", k=6)) for _ in range(n)]
+    for trial in range(300):
+        passage = invent(draw.choice([51, 60, 200]))
+        covered = []
+        for _ in range(2):
+            before, after = (invent(draw.choice([0, 5, 40])) for _ in range(2))
+            stop = draw.choice(["", "."]) if before else ""
+            text = " ".join([*before, *passage, *after]) if not stop else (
+                " ".join(before) + ". " + " ".join([*passage, *after])
+            )
+            _, h1, h2, start, end = repeats.sentence_spans([text.encode()], 20, True)
+            at = text.index(passage[0])
+            covered.append({(a, b): (s - at, e - at) for a, b, s, e in zip(h1, h2, start, end)})
+        shared = [covered[1][k] for k in covered[0].keys() & covered[1].keys()]
+        assert shared, trial
+        # At most a margin and a stretch are lost at each end; the words have 6 letters and a space.
+        edge = 7 * (repeats.MARGIN + repeats.STRETCH)
+        if len(passage) == 200:
+            assert min(a for a, _ in shared) <= edge
+            assert max(b for _, b in shared) >= 7 * 200 - 1 - edge
+
+
 def test_remove_repeats(spark):
     rows = [*hard_rows(), (30, f"Before this. {PROSE} And after that."), (31, PROSE)]
     docs = documents(spark, rows)
