@@ -243,6 +243,29 @@ def test_short_sentences_at_the_end_of_a_repeated_passage_go(spark, tmp_path):
     assert [(r.doc_id, r.removed) for r in found] == [(2, f"{start}:{start + len(passage)}")]
 
 
+def test_items_of_one_template_are_told_apart(spark):
+    """Stretches that all items share give places once, and the keys say which items are meant."""
+    draw = random.Random(16)
+    frame = [f"frame{k}" for k in range(12)]
+    items = [
+        (k, " ".join([*frame, *(f"own{k}x{j}" for j in range(6)), "the", "end"])) for k in range(300)
+    ]
+    items += [(1000 + k, items[k][1]) for k in range(3)]
+    rows, want = [], set()
+    for n in range(60):
+        k = draw.randrange(300)
+        own = items[k][1].split()
+        own[draw.randrange(20)] = "other"
+        around = [f"d{draw.randrange(99)}" for _ in range(30)]
+        rows.append((n, " ".join([*around, *own, *around])))
+        want |= {(n, k), (n, 1000 + k)} if k < 3 else {(n, k)}
+    rows.append((500, " ".join([*frame, "the", "end"])))
+    found = decontaminate.leaks(documents(spark, rows), benchmark(spark, items)).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    assert all(r.edits == 1 for r in found)
+
+
 def test_short_items_leak_too(spark):
     draw = random.Random(15)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate((1, 2, 4, 5, 6, 7))]
