@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket_spark.functions.text import canonical_text
@@ -37,15 +37,26 @@ def null_profile(frame: DataFrame, columns: Sequence[str] | None = None) -> Data
     return counts.unpivot([], names, "column_name", "null_count").where("null_count > 0")
 
 
+def fingerprint_parts(frame: DataFrame) -> list[Column]:
+    """Two whole numbers of each row, from the MD5 of its ``canonical_text``."""
+    row_hash = F.md5(canonical_text(sorted(frame.columns)))
+    return [F.conv(F.substring(row_hash, at, 15), 16, 10).cast("bigint") for at in (1, 17)]
+
+
+def fingerprint_figures(first: str, second: str) -> list[Column]:
+    """Aggregates over the columns that hold the parts."""
+    return [
+        F.count(F.lit(1)).alias("row_count"),
+        F.bit_xor(first).alias("xor_hash"),
+        F.sum(F.pmod(F.col(second), F.lit(1_000_000_007))).alias("sum_hash"),
+    ]
+
+
 def content_fingerprint(frame: DataFrame) -> DataFrame:
     """Row count and an order-free checksum, equal for equal contents in any file layout.
 
     Rows are hashed as ``canonical_text``, so another engine can compute the same figures.
     """
-    row_hash = F.md5(canonical_text(sorted(frame.columns)))
-    part = lambda start: F.conv(F.substring(row_hash, start, 15), 16, 10).cast("bigint")
-    return frame.select(part(1).alias("first"), part(17).alias("second")).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.bit_xor("first").alias("xor_hash"),
-        F.sum(F.pmod("second", F.lit(1_000_000_007))).alias("sum_hash"),
-    )
+    first, second = fingerprint_parts(frame)
+    parts = frame.select(first.alias("first"), second.alias("second"))
+    return parts.agg(*fingerprint_figures("first", "second"))

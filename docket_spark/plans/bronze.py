@@ -6,13 +6,18 @@ import hashlib
 from datetime import UTC, date, datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docket_spark.constants import BRONZE_REQUIRED, POPULATION_END, POPULATION_START
 from docket_spark.functions.dates import parse_date
 from docket_spark.functions.text import blank_to_null
-from docket_spark.operators.profiling import content_fingerprint, require_columns
+from docket_spark.operators.profiling import (
+    content_fingerprint,
+    fingerprint_figures,
+    fingerprint_parts,
+    require_columns,
+)
 from docket_spark.plans.publish import publish_generation, require_separate
 from docket_spark.sources.complaints import ROW_ORDER, file_digests, read_snapshot
 
@@ -28,6 +33,33 @@ def out_of_population(received: Column, start: str, end: str) -> Column:
     )
 
 
+def population_facts() -> dict[str, Column]:
+    """What a profile needs of each raw row."""
+    return {
+        "_narrated": blank_to_null(F.col("consumer_complaint_narrative")).isNotNull(),
+        "_received": parse_date(blank_to_null(F.col("date_received"))),
+    }
+
+
+def population_figures(start: str, end: str) -> list[Column]:
+    """Aggregates over the facts that need no shuffle."""
+    outside = out_of_population(F.col("_received"), start, end)
+    return [
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if("_narrated").alias("narrative_count"),
+        F.min("_received").alias("date_received_min"),
+        F.max("_received").alias("date_received_max"),
+        F.count_if(~outside).alias("date_received_in_range_count"),
+        F.count_if(outside).alias("date_received_out_of_range_or_invalid_count"),
+        F.count_if(~F.col("_narrated")).alias("blank_narrative_count"),
+    ]
+
+
+def distinct_ids(raw: DataFrame) -> DataFrame:
+    """The number of different complaint ids as they are, untrimmed."""
+    return raw.agg(F.countDistinct("complaint_id").alias("distinct_complaint_id_count"))
+
+
 def population_profile(
     raw: DataFrame, start: str = POPULATION_START, end: str = POPULATION_END
 ) -> DataFrame:
@@ -35,22 +67,10 @@ def population_profile(
 
     Complaint ids are counted as they are, untrimmed.
     """
-    narrative = blank_to_null(F.col("consumer_complaint_narrative"))
-    facts = raw.select(
-        F.col("complaint_id"),
-        narrative.isNotNull().alias("has_narrative"),
-        parse_date(blank_to_null(F.col("date_received"))).alias("received"),
-    )
-    outside = out_of_population(F.col("received"), start, end)
-    return facts.agg(
-        F.count(F.lit(1)).alias("row_count"),
+    facts = [value.alias(name) for name, value in population_facts().items()]
+    return raw.select("complaint_id", *facts).agg(
+        *population_figures(start, end),
         F.countDistinct("complaint_id").alias("distinct_complaint_id_count"),
-        F.count_if("has_narrative").alias("narrative_count"),
-        F.min("received").alias("date_received_min"),
-        F.max("received").alias("date_received_max"),
-        F.count_if(~outside).alias("date_received_in_range_count"),
-        F.count_if(outside).alias("date_received_out_of_range_or_invalid_count"),
-        F.count_if(~F.col("has_narrative")).alias("blank_narrative_count"),
     )
 
 
@@ -70,14 +90,36 @@ def utc_text(value: datetime | None) -> str | None:
     return aware.astimezone(UTC).isoformat().replace("+00:00", "Z")
 
 
+def counted(raw: DataFrame, start: str, end: str) -> tuple[DataFrame, Observation]:
+    """``raw`` unchanged, and what a manifest says of it, counted by whatever writes it.
+
+    Each row is counted where the write's last stage takes it, so a task that runs again adds nothing.
+    """
+    observation = Observation()
+    first, second = fingerprint_parts(raw.drop(ROW_ORDER))
+    facts = {**population_facts(), "_first": first, "_second": second}
+    figures = [*population_figures(start, end), *fingerprint_figures("_first", "_second")[1:]]
+    return raw.withColumns(facts).observe(observation, *figures).select(*raw.columns), observation
+
+
 def manifest(
-    raw: DataFrame, start: str = POPULATION_START, end: str = POPULATION_END, **provenance: Any
+    raw: DataFrame,
+    start: str = POPULATION_START,
+    end: str = POPULATION_END,
+    counts: dict[str, Any] | None = None,
+    **provenance: Any,
 ) -> dict[str, Any]:
-    """Manifest of a snapshot: provenance, schema, profile and checksum."""
+    """Manifest of a snapshot: provenance, schema, profile and checksum.
+
+    ``counts`` are the figures of ``counted``; without them the rows are read for them.
+    """
     criteria = _criteria(start, end)
-    facts = population_profile(raw, start, end).first().asDict()
+    if counts is None:
+        facts = population_profile(raw, start, end).first().asDict()
+        facts |= content_fingerprint(raw.drop(ROW_ORDER)).first().asDict()
+    else:
+        facts = counts | distinct_ids(raw).first().asDict()
     columns = raw.drop(ROW_ORDER).schema.fields
-    checksum = content_fingerprint(raw.drop(ROW_ORDER)).first()
     bounds = {
         name: facts[name].isoformat() if facts[name] else None
         for name in ("date_received_min", "date_received_max")
@@ -106,7 +148,7 @@ def manifest(
             name: facts[name]
             for name in ("date_received_out_of_range_or_invalid_count", "blank_narrative_count")
         },
-        "content_fingerprint": f"{checksum['xor_hash']}:{checksum['sum_hash']}",
+        "content_fingerprint": f"{facts['xor_hash']}:{facts['sum_hash']}",
         "population_criteria": criteria,
     }
 
@@ -148,18 +190,22 @@ def create_bronze(
 ) -> dict[str, Any]:
     """Land a snapshot verbatim, with its row order, and publish it with its manifest.
 
-    The profile is taken from the landed rows. Rows outside the declared population abort the
-    landing unless they are explicitly allowed.
+    The profile is counted while the rows are written; only their ids are read again. Rows outside
+    the declared population abort the landing unless they are explicitly allowed.
     """
     require_separate(spark, source_path, root)
+    _criteria(start, end)
     raw = require_columns(read_snapshot(spark, source_path, fmt, **options), BRONZE_REQUIRED, TABLE)
 
+    rows, observation = counted(raw, start, end)
+
     def report(folder: str) -> dict[str, Any]:
         digest = combined_digest(file_digests(spark, source_path))
         landed = manifest(
             spark.read.parquet(f"{folder}/{TABLE}"),
             start,
             end,
+            counts=dict(observation.get),
             source_path_configured=source_path,
             source_url=source_url,
             acquisition_method=acquisition_method,
@@ -175,5 +221,5 @@ def create_bronze(
         return landed
 
     return publish_generation(
-        spark, root, lambda folder: raw.write.parquet(f"{folder}/{TABLE}"), report
+        spark, root, lambda folder: rows.write.parquet(f"{folder}/{TABLE}"), report
     )

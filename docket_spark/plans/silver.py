@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docket_spark.constants import COMPANY_REGISTRY, SOURCE_COLUMNS
@@ -13,7 +13,7 @@ from docket_spark.functions.dates import parse_date
 from docket_spark.functions.text import blank_to_null, company_key, yes_no
 from docket_spark.operators.profiling import require_columns
 from docket_spark.operators.ranking import first_rows
-from docket_spark.plans.companies import brand_of
+from docket_spark.plans.companies import brand_of, registry_entries
 from docket_spark.plans.parts import read_current
 from docket_spark.plans.publish import publish_generation, require_separate
 from docket_spark.sources.complaints import ROW_ORDER
@@ -72,13 +72,14 @@ def canonical(cleaned: DataFrame, order: Sequence[Column] | None = None) -> Data
     return first_rows(cleaned, ["complaint_id"], order or [F.col(ROW_ORDER).asc()])
 
 
-def superseded(cleaned: DataFrame) -> DataFrame:
+def superseded(cleaned: DataFrame, *facts: Column) -> DataFrame:
     """Rows that lose to an earlier row of the same complaint id, with the row that is kept.
 
     Needs a unique row order and no NULL ids. Only ids and positions are shuffled, and counts are
     combined before that, so neither wide rows nor a very frequent id weigh on the exchange.
+    ``facts`` are further columns to take from the rows that lose.
     """
-    narrow = cleaned.select("complaint_id", ROW_ORDER)
+    narrow = cleaned.select("complaint_id", ROW_ORDER, *facts)
     repeated = (
         narrow.groupBy("complaint_id")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(ROW_ORDER).alias("kept_row"))
@@ -87,7 +88,7 @@ def superseded(cleaned: DataFrame) -> DataFrame:
     return (
         narrow.join(repeated, "complaint_id")
         .where(F.col(ROW_ORDER) > F.col("kept_row"))
-        .select("complaint_id", ROW_ORDER, "kept_row")
+        .select(*narrow.columns, "kept_row")
     )
 
 
@@ -118,22 +119,31 @@ def silver_table(
     return typed(canonical(clean(raw), order), registry)
 
 
-def quality_report(silver: DataFrame, source_rows: int, invalid_rows: int) -> dict[str, Any]:
-    counts = silver.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(name).isNull()).alias(name) for name in silver.columns],
-    ).first()
-    silver_rows = counts["_rows"]
+def brands_of(registry=COMPANY_REGISTRY) -> list[str]:
+    return sorted({brand for _, brand, _ in registry_entries(registry).values() if brand})
+
+
+def quality_figures(registry=COMPANY_REGISTRY) -> list[Column]:
+    """Aggregates over silver rows that need no shuffle; brands are those of the registry."""
+    return [
+        F.count(F.lit(1)).alias("silver_rows"),
+        *[F.count_if(F.col(name).isNull()).alias(f"null {name}") for name in SILVER_COLUMNS],
+        *[F.count_if(F.col("brand_name") == name).alias(f"brand {name}") for name in brands_of(registry)],
+    ]
+
+
+def quality_report(figures: Mapping[str, int], skipped: int, invalid: int) -> dict[str, Any]:
+    """Report from the figures of the rows kept and the number of duplicates skipped."""
+    nulls = {name: figures[f"null {name}"] for name in SILVER_COLUMNS}
+    brands = {name: figures[f"brand {name}"] for name in brands_of()}
     return {
-        "source_rows": source_rows,
-        "silver_rows": silver_rows,
-        "duplicate_rows_skipped": source_rows - silver_rows,
+        "source_rows": figures["silver_rows"] + skipped,
+        "silver_rows": figures["silver_rows"],
+        "duplicate_rows_skipped": skipped,
         "duplicate_policy": "first row in source order wins after trimming the complaint id",
-        "invalid_rows": invalid_rows,
-        "null_counts": {name: counts[name] for name in silver.columns if counts[name]},
-        "brand_alias_counts": {
-            r["brand_name"]: r["complaint_count"] for r in brand_counts(silver).collect()
-        },
+        "invalid_rows": invalid,
+        "null_counts": {name: many for name, many in nulls.items() if many},
+        "brand_alias_counts": {name: many for name, many in brands.items() if many},
     }
 
 
@@ -158,31 +168,29 @@ def duplicate_accounting(raw: DataFrame, silver: DataFrame) -> DataFrame:
 def rebuild_silver(spark: SparkSession, bronze_root: str, root: str) -> dict[str, Any]:
     """Build silver from the current bronze generation and publish it with its quality report.
 
-    Any invalid row, duplicate or not, aborts the build and leaves the previous silver current.
+    Any invalid row, duplicate or not, aborts the build and leaves the previous silver current. Ids
+    and positions are read twice and whole rows once: the losing rows are written first, and what is
+    said of the rows kept is counted while they are written. That write's last stage counts them, so
+    a task that runs again adds nothing.
     """
     require_separate(spark, bronze_root, root)
-    raw = read_current(spark, bronze_root, TABLE)
-    cleaned = clean(raw)
-    checked = cleaned.agg(
-        F.count(F.lit(1)).alias("source_rows"), F.count_if(is_invalid()).alias("invalid_rows")
-    ).first()
-    if checked["invalid_rows"]:
-        raise ValueError(f"source contains {checked['invalid_rows']} invalid canonical records")
+    cleaned = clean(read_current(spark, bronze_root, TABLE))
+    valid, quality = Observation(), Observation()
 
     def write(folder: str) -> None:
-        # The losing rows are written first: their real size then decides how they are joined,
-        # and when they are few the wide rows are filtered where they lie.
-        superseded(cleaned).write.parquet(f"{folder}/{SUPERSEDED}")
+        # The real size of the losing rows decides how they are joined, and when they are few the
+        # wide rows are filtered where they lie.
+        superseded(cleaned, is_invalid().alias("invalid")).write.parquet(f"{folder}/{SUPERSEDED}")
         lost = spark.read.parquet(f"{folder}/{SUPERSEDED}")
-        typed(kept_rows(cleaned, lost)).write.parquet(f"{folder}/{TABLE}")
-
-    return publish_generation(
-        spark,
-        root,
-        write,
-        lambda folder: quality_report(
-            spark.read.parquet(f"{folder}/{TABLE}"),
-            checked["source_rows"],
-            checked["invalid_rows"],
-        ),
-    )
+        kept = kept_rows(cleaned, lost).observe(valid, F.count_if(is_invalid()).alias("invalid_rows"))
+        typed(kept).observe(quality, *quality_figures()).write.parquet(f"{folder}/{TABLE}")
+
+    def report(folder: str) -> dict[str, Any]:
+        lost = spark.read.parquet(f"{folder}/{SUPERSEDED}")
+        skipped, invalid = lost.agg(F.count(F.lit(1)), F.count_if("invalid")).first()
+        invalid += valid.get["invalid_rows"]
+        if invalid:
+            raise ValueError(f"source contains {invalid} invalid canonical records")
+        return quality_report(quality.get, skipped, invalid)
+
+    return publish_generation(spark, root, write, report)

@@ -8,6 +8,7 @@ from fixtures import INVALID_ROW, RAW_SCHEMA, SILVER_SOURCE, raw_row
 from pyspark.sql import functions as F
 
 from docket_spark.constants import METRIC_TABLES
+from docket_spark.operators.profiling import null_profile
 from docket_spark.plans import bronze, gold, silver
 from docket_spark.plans.parts import read_current
 from docket_spark.plans.publish import current_folder, current_report
@@ -112,6 +113,32 @@ def test_invalid_rows_abort_and_leave_current_silver(spark, tmp_path, landed):
     assert current_folder(spark, root) == before
 
 
+def test_figures_counted_by_the_write_equal_those_of_the_rows(spark, tmp_path, landed):
+    other = [raw_row(complaint_id=str(k), date_received=f"2025-01-{1 + k % 28:02}") for k in range(40)]
+    for name, data in (("some", [*SILVER_SOURCE, *other, *other[:7]]), ("none", [])):
+        root = landed(data, name)
+        made, _ = current_report(spark, root)
+        plain = bronze.manifest(read_current(spark, root, "complaints"))
+        assert {k: made[k] for k in plain} == plain
+        assert made["row_count"] == len(data)
+        report = silver.rebuild_silver(spark, root, str(tmp_path / f"silver-{name}"))
+        table = read_current(spark, str(tmp_path / f"silver-{name}"), "complaints")
+        assert report["silver_rows"] == table.count()
+        assert report["source_rows"] == len(data)
+        assert report["null_counts"] == {
+            r.column_name: r.null_count for r in null_profile(table).collect()
+        }
+        assert report["brand_alias_counts"] == {
+            r.brand_name: r.complaint_count for r in silver.brand_counts(table).collect()
+        }
+
+
+def test_an_invalid_duplicate_aborts_too(spark, tmp_path, landed):
+    twice = [raw_row(complaint_id="7"), raw_row(complaint_id="7", timely_response="maybe")]
+    with pytest.raises(ValueError, match="1 invalid canonical records"):
+        silver.rebuild_silver(spark, landed(twice, "twice"), str(tmp_path / "silver"))
+
+
 def test_both_ways_of_deduplication_agree_under_a_hot_id(spark):
     data = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
