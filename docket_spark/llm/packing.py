@@ -7,11 +7,14 @@ most twice in a sequence: from the longest down, each is matched with the longes
 Shorter pieces then go, from the longest down, into the tightest gap that still takes them; a new
 sequence is opened only when no gap does. A plan line is a kind of sequence with its multiplicity, and
 there are at most about 2.4 lines per possible length. The pieces themselves stay distributed: each
-gets its number among the pieces of its length, counted inside salted groups and shifted by the groups'
-totals, and that number decides its sequence and place.
+gets its number among the pieces of its length, counted inside salted groups and shifted by the earlier
+groups' totals, and that number decides its sequence and place. A length has the more salts the more
+pieces it has, so a group stays near GROUP_ROWS rows however long the documents are; the totals of the
+groups are a table that is joined, not gathered.
 
 Defined cases: a null text is the empty text, which is the closing id alone. Ids are passed on as they
-are; rows that repeat are packed each. An empty table gives no pieces.
+are; rows that repeat are packed each. An empty table gives no pieces. Columns of any other name are never
+read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from docket_spark.llm.tokens import BATCH_BYTES, encoder
 from docket_spark.session import cut_lineage
 
 SALTS = 64
+GROUP_ROWS = 100_000
 
 
 def pieces_of(
@@ -162,28 +166,31 @@ def _slots(plan: list[tuple[int, tuple]]) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
 
+def _salted(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with a salt: more salts for a length that more pieces have, SALTS at least."""
+    salts = [(n, max(SALTS, -(-many // GROUP_ROWS))) for n, many in counts.items()]
+    dealt = pieces.sparkSession.createDataFrame(salts, "length long, salts long")
+    # One row per length, at most capacity of them.
+    joined = pieces.join(F.broadcast(dealt), "length")
+    salt = F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.col("salts"))
+    return joined.select(*pieces.columns, salt.alias("salt"))
+
+
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (columns id, piece, length and more) with sequence_id and offset.
+    """``pieces`` (columns id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     ``pieces`` must give the same rows each time it is read, as a checkpoint does.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
-    # At most capacity x SALTS groups: the only rows that leave the executors.
-    groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("many"))
-    sizes = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for length, salt, many in groups.collect():
-        sizes[length, salt] = many
-    before = np.cumsum(sizes, axis=1) - sizes
-    counts = {n: int(c) for n, c in enumerate(sizes.sum(axis=1)) if c}
+    # At most capacity rows: the only ones that leave the executors.
+    counts = {r["length"]: r["many"] for r in _counted(pieces, "length").collect()}
     slots = _slots(plan_sequences(counts, capacity))
     keys = slots[:, 0] << 44 | slots[:, 1]
-    shared = pieces.sparkSession.sparkContext.broadcast((before, slots, keys))
+    shared = pieces.sparkSession.sparkContext.broadcast((slots, keys))
 
     @F.pandas_udf("sequence_id long, offset long")
-    def slot(length: pd.Series, salt: pd.Series, number: pd.Series) -> pd.DataFrame:
-        before, slots, keys = shared.value
-        size = length.to_numpy()
-        rank = number.to_numpy() + before[size, salt.to_numpy()]
+    def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        slots, keys = shared.value
+        size, rank = length.to_numpy(), rank.to_numpy()
         run = slots[np.searchsorted(keys, size << 44 | rank, "right") - 1]
         k = rank - run[:, 1]
         return pd.DataFrame(
@@ -193,10 +200,21 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
             }
         )
 
+    salted = _salted(pieces, counts)
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = _counted(salted, "length", "salt").select(
+        "length", "salt", F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("before")
+    )
     order = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
     numbered = salted.withColumn("number", F.row_number().over(order).cast("long") - 1)
-    placed = numbered.withColumn("slot", slot("length", "salt", "number"))
-    return placed.select(*[c for c in pieces.columns], "slot.sequence_id", "slot.offset")
+    placed = numbered.join(groups, ["length", "salt"]).withColumn(
+        "slot", slot("length", F.col("before") + F.col("number"))
+    )
+    return placed.select(*pieces.columns, "slot.sequence_id", "slot.offset")
+
+
+def _counted(pieces: DataFrame, *keys: str) -> DataFrame:
+    return pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("many"))
 
 
 def pack(

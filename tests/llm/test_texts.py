@@ -125,6 +125,29 @@ def test_packing_round_trip(spark):
     assert len(by_sequence) <= total / capacity * 1.1 + 1
 
 
+def test_a_frequent_length_gets_more_salts_and_no_two_pieces_one_place(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTS", 2)
+    monkeypatch.setattr(packing, "GROUP_ROWS", 40)
+    rows = [(k, " word" * (29 if k % 3 else k % 31)) for k in range(1500)]
+    docs = documents(spark, rows)
+    found = packing.pack(docs, BPE, 64).collect()
+    lengths = collections.Counter(r.length for r in found)
+    assert lengths[30] >= 1000
+    salted = packing._salted(packing.pieces_of(docs, BPE, 64), dict(lengths))
+    groups = collections.Counter((r.length, r.salt) for r in salted.collect())
+    assert len({s for n, s in groups if n == 30}) > 20 and max(groups.values()) < 120
+    by_sequence = collections.defaultdict(list)
+    for r in found:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for places in by_sequence.values():
+        ends = [0]
+        for offset, length in sorted(places):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 64
+    assert sorted(r.doc_id for r in found) == list(range(1500))
+
+
 def test_plan_holds_every_piece_and_is_tight():
     draw = random.Random(4)
     for capacity in (1, 2, 3, 7, 50, 2048):
