@@ -666,6 +666,18 @@ def _(spark, sf):
     )
 
 
+def _claim(kind, template):
+    """Columns of a claim with one reference of its kind."""
+    return (
+        F.lit(0).alias("claim_no"),
+        F.lit(kind).alias("kind"),
+        F.lit(template).alias("template"),
+        F.lit(int(kind == "quantitative")).alias("structured_ref_count"),
+        F.lit(int(kind == "narrative")).alias("narrative_ref_count"),
+        F.lit(None).cast(drafts.THEMES_TYPE).alias("themes"),
+    )
+
+
 @register(
     "jn_citation_membership",
     """SELECT source AS question_id, complaint_id FROM (SELECT source, CASE WHEN n_chars % 9 = 0 THEN
@@ -679,11 +691,15 @@ def _(spark, sf):
         F.when(F.col("n_chars") % 9 == 0, F.col("doc_id") + 1)
         .otherwise(F.col("doc_id"))
         .alias("complaint_id"),
+        *_claim("narrative", "attributed_complaint"),
     )
     returned = documents.select(
-        F.col("source").alias("question_id"), F.col("doc_id").alias("complaint_id")
+        F.col("source").alias("question_id"),
+        F.col("doc_id").alias("complaint_id"),
+        F.lit(1).alias("position"),
+        F.coalesce("text", F.lit("")).alias("excerpt"),
     )
-    return cited.join(returned, ["question_id", "complaint_id"], "left_anti")
+    return grounding.absent_citations(cited, returned).select("question_id", "complaint_id")
 
 
 @register(
@@ -696,9 +712,11 @@ def _(spark, sf):
     referenced = testdata.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("question_id"),
         (1 + F.col("o_custkey") % 7).alias("row_index"),
+        *_claim("quantitative", "structured_row"),
     )
     existing = testdata.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("question_id"),
         F.col("l_linenumber").cast("bigint").alias("row_index"),
+        F.array(F.lit("l_quantity")).alias("row_columns"),
     )
-    return referenced.join(existing, ["question_id", "row_index"], "left_anti")
+    return grounding.absent_rows(referenced, existing).select("question_id", "row_index")

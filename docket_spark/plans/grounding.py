@@ -170,8 +170,8 @@ def _expected_columns() -> Column:
     )
 
 
-def quantitative_reasons(claims: DataFrame, rows: DataFrame) -> DataFrame:
-    """Structured references: one per claim, an existing row, and exactly the template's columns."""
+def _quantitative_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """Quantitative claims with the row they refer to."""
     usable = claims.where((F.col("kind") == "quantitative") & _template_allowed())
     known_rows = rows.select(
         "question_id",
@@ -179,12 +179,27 @@ def quantitative_reasons(claims: DataFrame, rows: DataFrame) -> DataFrame:
         "row_columns",
         F.col("row_type") if "row_type" in rows.columns else F.lit(None).cast("string").alias("row_type"),
     )
-    joined = usable.join(known_rows, ["question_id", "row_index"], "left")
-    single = (
+    return usable.join(known_rows, ["question_id", "row_index"], "left").withColumn(
+        "_single",
         (F.col("structured_ref_count") == 1)
         & (F.col("narrative_ref_count") == 0)
-        & F.col("themes").isNull()
+        & F.col("themes").isNull(),
+    )
+
+
+def absent_rows(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """Row references to a row that the question's result does not have."""
+    return (
+        _quantitative_claims(claims, rows)
+        .where(F.col("_single") & F.col("row_columns").isNull())
+        .select("question_id", "claim_no", "row_index")
     )
+
+
+def quantitative_reasons(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """Structured references: one per claim, an existing row, and exactly the template's columns."""
+    joined = _quantitative_claims(claims, rows)
+    single = F.col("_single")
     found = single & F.col("row_columns").isNotNull()
     template, row_type = F.col("template"), F.col("row_type")
     columns = F.coalesce("columns", F.array().cast("array<string>"))
@@ -249,6 +264,15 @@ def citations(claims: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def absent_citations(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """Citations of a complaint that is not in the question's evidence."""
+    return (
+        _narrative_claims(claims, items)
+        .where(F.col("_single") & F.col("excerpt").isNull())
+        .select("question_id", "claim_no", "complaint_id")
+    )
+
+
 def narrative_reasons(claims: DataFrame, items: DataFrame) -> DataFrame:
     """Citations: in evidence, canonical, not repeated, and quoted literally."""
     joined = _narrative_claims(claims, items)

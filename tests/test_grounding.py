@@ -300,3 +300,26 @@ def test_further_causes_of_abstention(spark):
         "ignored": ("text", [1, 2], "q()", False),
         "fine": ("text", [1, 2], "q()", False),
     }
+
+
+def test_references_without_a_counterpart(spark):
+    claims = spark.createDataFrame(
+        [
+            ("a", 0, "quantitative", "structured_row", 1, 0, 0, ["n"], None, None, None),
+            ("a", 1, "quantitative", "structured_row", 1, 0, 7, ["n"], None, None, None),
+            ("b", 0, "quantitative", "structured_row", 1, 0, 0, ["n"], None, None, None),
+            ("a", 2, "quantitative", "structured_row", 2, 0, 8, ["n"], None, None, None),
+            ("a", 3, "narrative", "attributed_complaint", 0, 1, None, None, "42", "q", None),
+            ("a", 4, "narrative", "attributed_complaint", 0, 1, None, None, "43", "q", None),
+            ("b", 5, "narrative", "attributed_complaint", 0, 1, None, None, "42", "q", None),
+            ("a", 6, "narrative", "unknown", 0, 1, None, None, "44", "q", None),
+            ("a", 7, "narrative", "attributed_complaint", 0, 1, None, None, None, "q", None),
+        ],
+        CLAIM_SCHEMA,
+    )
+    known = spark.createDataFrame([("a", 0, ["n"], None)], ROW_SCHEMA)
+    items = spark.createDataFrame([("a", *item())], ITEM_SCHEMA)
+    assert {tuple(r) for r in grounding.absent_rows(claims, known).collect()} == {("a", 1, 7), ("b", 0, 0)}
+    assert {tuple(r) for r in grounding.absent_citations(claims, items).collect()} == {
+        ("a", 4, "43"), ("b", 5, "42"), ("a", 7, None),
+    }
