@@ -1,7 +1,7 @@
 """Personal data: known forms, and identifiers found from the contexts that known ones occur in.
 
 Known forms (e-mail, IP address, card, phone) are the seeds of a bootstrap. Every token with a digit or
-an @ is an instance, and the words around it make its lexical patterns: the word before, the two words
+an @ is an instance, a number written in groups as a whole, and the words around it make its lexical patterns: the word before, the two words
 before, the word after, and the word on either side. Spark keeps the graph of patterns and instances
 with the number of documents' occurrences on each edge, and scores it in rounds. A pattern's score is
 the share of its occurrences that lie on trusted instances, lowered where it has few different ones; an
@@ -15,7 +15,7 @@ split. The narrow per-document findings are written to the checkpoint folder onc
 
 Defined cases: a null text is the empty text. Places are code points, end exclusive. A pattern needs
 ``support`` different trusted instances. Ids are passed on as they are; rows that repeat are searched
-each; an empty table gives an empty result.
+each; an empty table gives an empty result. Columns of any other name are never read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ KINDS = ("email", "ip", "card", "phone", "context")
 
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _BLANK = r"\x20\x09-\x0D"
-TOKEN = rf"(?<![^{_BLANK}])[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
+# A number written in groups is one token, so that its first and last words are its context.
+_GROUPED = rf"[^{_BLANK}0-9@+]*+(?:{PHONE}|(?=(?:[0-9][\x20-]?){{13}}){CARD})"
+TOKEN = rf"(?<![^{_BLANK}])(?:{_GROUPED}|[^{_BLANK}0-9@]*+[0-9@])[^{_BLANK}]*+"
 _EDGE = r"""^[("'\[<{]+|[)"'\]>},.;:!?]+$"""
 NEARBY = 80
 

@@ -170,6 +170,116 @@ def test_contexts_discover_identifiers(spark):
     assert all(not x for i, x in found.items() if i != 500)
 
 
+def plain_graph(edges, seeds):
+    """Scores of patterns and trust of values, by loops."""
+    trust = dict.fromkeys(seeds, 1.0)
+    for _ in range(pii.ROUNDS):
+        scores = {}
+        for pattern in {p for p, _ in edges}:
+            own = {v: many for (p, v), many in edges.items() if p == pattern}
+            if sum(v in trust for v in own) >= pii.SUPPORT:
+                right = sum(many * trust.get(v, 0.0) for v, many in own.items())
+                scores[pattern] = right / (sum(own.values()) + pii.SURPRISE)
+        trust = dict.fromkeys(seeds, 1.0)
+        for value in {v for _, v in edges}:
+            doubt = 1.0
+            for (p, v), _ in edges.items():
+                if v == value and scores.get(p, 0.0) >= pii.TRUST / 2:
+                    doubt *= 1 - min(scores[p], 0.999)
+            if 1 - doubt >= pii.TRUST:
+                trust[value] = max(trust.get(value, 0.0), 1 - doubt)
+    return scores, trust
+
+
+def test_graph_scores_equal_plain_loops(spark):
+    draw = random.Random(18)
+    edges = {}
+    for k in range(12):
+        # Patterns next to seeds mostly, half the time, and hardly ever.
+        share = draw.choice([0.98, 0.9, 0.5, 0.1])
+        for _ in range(draw.randint(4, 90)):
+            kind = "seed" if draw.random() < share else "other"
+            edge = (f"p{k}", f"{kind}{draw.randrange(60)}")
+            edges[edge] = edges.get(edge, 0) + draw.randint(1, 3)
+    seeds = sorted({v for _, v in edges if v.startswith("seed")})
+    frame = spark.createDataFrame([(*e, n) for e, n in edges.items()], "pattern string, value string, many long")
+    patterns, trusted = pii._score(frame, spark.createDataFrame([(v,) for v in seeds], "value string"))
+    scores, trust = plain_graph(edges, seeds)
+    got = {r.pattern: r.score for r in patterns.collect()}
+    assert got.keys() == scores.keys() and all(abs(got[p] - scores[p]) < 1e-9 for p in got)
+    got = {r.value: r.trust for r in trusted.collect()}
+    assert got.keys() == trust.keys() and all(abs(got[v] - trust[v]) < 1e-9 for v in got)
+    assert len(trust) > len(seeds)
+
+
+def judged(found, planted):
+    """Precision and recall of the values found, by document, against those planted."""
+    got = {(i, x) for i, values in found.items() for x in values}
+    return len(got & planted) / len(got), len(got & planted) / len(planted)
+
+
+def test_planted_identifiers_of_unseen_forms(spark):
+    draw = random.Random(19)
+    filler = "river town winter old bridge letter farmer harvest storm council road market".split()
+    say = lambda n: " ".join(draw.choices(filler, k=n))
+    seeds = {
+        "write to me at {} or come": lambda k: f"p{k}x@mail{k % 9}.org",
+        "call the number {} before noon": lambda k: f"+49 30 {1000000 + 37 * k}",
+        "the server with address {} answered": lambda k: f"10.{k % 200}.{k % 7}.{k % 250}",
+    }
+    unseen = {
+        "write to me at {} or come": lambda k: draw.choice([f"user#{k}z", f"anna{k}@localhost"]),
+        "call the number {} before noon": lambda k: draw.choice([f"555-{1000 + k}", f"ext.{k}04"]),
+        "the server with address {} answered": lambda k: draw.choice([f"fe80::{k}:1f", f"10.{k}.900.1"]),
+    }
+    rows, planted = [], set()
+    for k in range(900):
+        frame, make = draw.choice(list(seeds.items()))
+        rows.append((k, f"{say(6)} {frame.format(make(k))} {say(6)}"))
+    for k in range(1000, 1200):
+        frame, make = draw.choice(list(unseen.items()))
+        value = make(k)
+        rows.append((k, f"{say(6)} {frame.format(value)} {say(6)}"))
+        planted.add((k, value))
+    for k in range(2000, 3000):
+        other = draw.choice(["{} crowns were paid", "in the year {} they met", "room {} was empty", "chapter {} tells of"])
+        rows.append((k, f"{say(6)} {other.format(f'{draw.choice("ab")}{k}')} {say(6)}"))
+    precision, recall = judged(added(pii.scan(documents(spark, rows)), rows), planted)
+    print(f"contexts: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.95 and recall >= 0.95
+
+
+def test_planted_secrets_without_a_known_form(spark):
+    draw = random.Random(20)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = (letters, letters + "+/", letters + "_-", letters[26:])
+    filler = "river town winter old bridge letter farmer harvest storm council road market".split()
+    say = lambda n: " ".join(draw.choices(filler, k=n))
+    rows, planted = [], set()
+    for k in range(600):
+        size = draw.choice([20, 24, 32, 40, 64])
+        while True:
+            value = draw.choice(letters) + "".join(draw.choices(draw.choice(alphabets), k=size - 2)) + "q"
+            if any(c.isdigit() for c in value):
+                break
+        rows.append((k, f"{say(5)} {value} {say(5)}"))
+        planted.add((k, value))
+    plain = (
+        lambda: "-".join("".join(draw.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12)),
+        lambda: "".join(draw.choices("0123456789", k=draw.randint(20, 40))),
+        lambda: "".join(w.title() for w in draw.choices(filler, k=5)),
+        lambda: "_".join(draw.choices(filler, k=5)),
+        lambda: "/".join(["/var", *draw.choices(filler, k=4), f"file{draw.randrange(99)}.txt"]),
+        lambda: f"2024-0{draw.randint(1, 9)}-1{draw.randint(0, 9)}T12:30:00.000Z",
+        lambda: f"{'=' * draw.randint(20, 40)}{draw.randrange(9)}",
+    )
+    for k in range(1000, 2400):
+        rows.append((k, f"{say(5)} {draw.choice(plain)()} {say(5)}"))
+    precision, recall = judged(added(secrets.scan(documents(spark, rows)), rows), planted)
+    print(f"entropy: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.95 and recall >= 0.95
+
+
 def test_repeated_null_and_empty(spark):
     rows = hard_rows()
     for scan in (pii.scan, secrets.scan):
