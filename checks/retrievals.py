@@ -271,8 +271,9 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def _(spark, sf):
     rows = retrieval.index_rows(narratives(spark, sf)).select("complaint_id", "document")
     embedded = with_embedding(rows, "document", hashed_terms(64))
+    # The outer form, as Spark computes the vectors once more to filter by their size for the inner one.
     return (
-        embedded.select("complaint_id", F.posexplode("embedding").alias("dimension", "value"))
+        embedded.select("complaint_id", F.posexplode_outer("embedding").alias("dimension", "value"))
         .where("value <> 0")
         .withColumn("value", F.round(F.col("value").cast("double"), 5))
     )

@@ -16,7 +16,8 @@ from docket_spark.constants import EMBED_BATCH
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 # A term is a run of ASCII letters and digits and of anything beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+TERM = f"[^{_BETWEEN}]+"
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,9 @@ class HashedTerms:
         return (matrix / np.where(norms == 0, 1, norms)).astype("float32")
 
     def column(self, text: Column) -> Column:
-        terms = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+        # Split at what is between terms: extracting the terms copies the whole text for each of them.
+        parts = F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{_BETWEEN}]+")
+        terms = F.array_remove(parts, "")
         number = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % self.dimensions
         # Dimensions as words of five characters in one text: counting one is a replacement in it.
         words = F.transform(terms, lambda x: F.concat(F.lit(" "), F.lpad(F.hex(number(x)), 4, "0")))

@@ -98,6 +98,18 @@ def test_the_column_embedder_gives_the_vectors_of_the_function(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_the_column_embedder_reads_a_text_once(spark):
+    import checks.retrievals  # noqa: F401
+    from checks.registry import QUERIES
+    from docket_spark.functions.embedding import with_embedding
+
+    frame = spark.createDataFrame([("a b",)], "t string")
+    plan = with_embedding(frame, "t", hashed_terms(8))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    query = QUERIES["ret_index_embedding"](spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().executedPlan().toString().count("md5(") == 1
+
+
 def test_document_and_metadata(spark):
     data = [complaint("00123", "Late-fee dispute", None, None), complaint("5", "x" * 6001)]
     late, long = retrieval.index_rows(spark.createDataFrame(data, SCHEMA)).orderBy("complaint_id").select(
