@@ -1,6 +1,7 @@
 """Index building and retrieval."""
 
 import random
+import re
 from datetime import date
 
 import numpy as np
@@ -110,6 +111,21 @@ def test_the_column_embedder_reads_a_text_once(spark):
     assert query._jdf.queryExecution().executedPlan().toString().count("md5(") == 1
 
 
+def test_a_narrative_is_moved_once(spark):
+    from checks import registry
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = registry.index(spark, "/root/testdata/sf0.001")
+        plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [x for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange\b", x)]
+    texts = ("text#", "consumer_complaint_narrative#", "document#", "excerpt#")
+    assert sum(any(name in x.split("Arguments")[0] for name in texts) for x in moved) == 1
+
+
 def test_document_and_metadata(spark):
     data = [complaint("00123", "Late-fee dispute", None, None), complaint("5", "x" * 6001)]
     late, long = retrieval.index_rows(spark.createDataFrame(data, SCHEMA)).orderBy("complaint_id").select(
