@@ -299,3 +299,18 @@ def test_a_snapshot_above_the_limit_of_one_value_lands(spark, tmp_path, monkeypa
     monkeypatch.setattr(bronze, "file_digests", lambda s, p: complaints.file_digests(s, p, whole=100))
     made = bronze.create_bronze(spark, source, root, allow_population_violations=True)
     assert made["row_count"] == len(SILVER_SOURCE) and len(made["sha256"]) in (64, 69)
+
+
+def test_order_lines_move_once_for_each_of_their_keys(spark):
+    from docket_spark.sources import testdata
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = testdata.raw_complaints(spark, "/root/testdata/sf0.001")
+        plan = spark._jvm.PythonSQLUtils.explainString(lines._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    blocks = plan.split("\n\n")
+    moved = [x for x in blocks if ") Exchange\n" in x and "l_extendedprice#" in x]
+    assert len(moved) == 3
