@@ -36,13 +36,19 @@ Parts = dict[str, dict[str, dict[str, Any]]]
 @dataclass(frozen=True)
 class PartTable:
     """New rows of a table: ``part`` tells the part of a row, ``replaced`` the parts that these rows are
-    all of (None: every part), ``figures`` are additive aggregates to keep per part."""
+    all of (None: every part), ``figures`` are additive aggregates to keep per part. Rows that are
+    ``dealt`` carry their part as the column ``PART`` and lie as they are to be written."""
 
     rows: DataFrame
     part: Column
     replaced: frozenset[str] | None = None
     figures: Mapping[str, Column] = field(default_factory=dict)
     sort: tuple[str, ...] = ()
+    dealt: bool = False
+
+    def schema(self) -> T.StructType:
+        """Of the rows without their part."""
+        return self.rows.drop(PART).schema
 
 
 def root_of(folder: str) -> str:
@@ -108,16 +114,17 @@ def total(listed: Mapping[str, Mapping[str, Any]], figure: str = "rows") -> int:
 
 def _write(table: PartTable, folder: str, name: str) -> None:
     files = SharedFiles(table.rows.sparkSession)
-    files.write_text(f"{folder}/{SCHEMAS}/{name}.json", table.rows.schema.json())
-    # A part that is much larger than the others is split over several tasks and files.
-    table.rows.withColumn(PART, table.part.cast("string")).hint("rebalance", PART).sortWithinPartitions(
-        PART, *table.sort
-    ).write.partitionBy(PART).parquet(f"{folder}/{name}")
+    files.write_text(f"{folder}/{SCHEMAS}/{name}.json", table.schema().json())
+    rows = table.rows
+    if not table.dealt:
+        # A part that is much larger than the others is split over several tasks and files.
+        rows = rows.withColumn(PART, table.part.cast("string")).hint("rebalance", PART)
+    rows.sortWithinPartitions(PART, *table.sort).write.partitionBy(PART).parquet(f"{folder}/{name}")
 
 
 def _measured(spark: SparkSession, table: PartTable, folder: str, name: str) -> dict[str, dict[str, Any]]:
     """The parts just written, with their figures."""
-    schema = T.StructType([*table.rows.schema.fields, T.StructField(PART, T.StringType())])
+    schema = T.StructType([*table.schema().fields, T.StructField(PART, T.StringType())])
     written = spark.read.schema(schema).parquet(f"{folder}/{name}")
     figures = [aggregate.alias(key) for key, aggregate in table.figures.items()]
     counted = written.groupBy(PART).agg(F.count(F.lit(1)).alias("rows"), *figures)

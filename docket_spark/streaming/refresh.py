@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 from datetime import UTC, date, datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docket_spark.constants import COMPANY_REGISTRY, EMBED_BATCH, METRIC_TABLES, MONTH
@@ -24,6 +24,7 @@ from docket_spark.functions.embedding import Embedder, with_embedding
 from docket_spark.functions.metrics import ratio
 from docket_spark.functions.text import is_nonblank
 from docket_spark.operators.profiling import null_profile
+from docket_spark.operators.ranking import first_rows
 from docket_spark.plans.bronze import utc_text
 from docket_spark.plans.companies import registry_entries
 from docket_spark.plans.gold import base_metrics, dated, from_base, metrics_from_complaints
@@ -39,6 +40,7 @@ from docket_spark.plans.index_segments import (
 )
 from docket_spark.plans.parts import (
     LISTED,
+    PART,
     Parts,
     PartTable,
     changed_parts,
@@ -62,15 +64,18 @@ from docket_spark.plans.retrieval import eligible, index_rows
 from docket_spark.plans.silver import (
     SILVER_COLUMNS,
     TABLE,
-    canonical,
     clean,
     is_invalid,
-    typed,
+    readable,
+    silver_table,
+    with_companies,
 )
 from docket_spark.session import cut_lineage
 from docket_spark.sources.complaints import ROW_ORDER, SNAPSHOT_SCHEMA
 
 BUCKETS = 64
+# A bucket is brought together in so many pieces, each in one task, and written as at most so many files.
+PIECES = 16
 
 
 class DriftRefused(RuntimeError):
@@ -79,7 +84,7 @@ class DriftRefused(RuntimeError):
 
 def canonical_arrivals(arriving: DataFrame) -> DataFrame:
     """Typed rows of an arriving snapshot, one per complaint id."""
-    return typed(canonical(clean(arriving)))
+    return silver_table(arriving)
 
 
 def merge(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -347,6 +352,27 @@ def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("complaint_id"), F.lit(buckets))
 
 
+def in_buckets(existing: DataFrame, cleaned: DataFrame, buckets: int) -> DataFrame:
+    """Silver rows after a batch, dealt to their buckets: the rows of ``merge`` from one exchange.
+
+    ``existing`` are silver rows, ``cleaned`` the arriving ones. Both go to the pieces of their buckets once,
+    where the first arriving row of an id comes before the one that is there.
+    """
+    names = [name for name in SILVER_COLUMNS if name not in ("company_key", "brand_name")]
+    place = cleaned.schema[ROW_ORDER].dataType
+    held = existing.select(*names, F.lit(1).alias("_age"), F.lit(None).cast(place).alias(ROW_ORDER))
+    fresh = readable(cleaned).select(*names, F.lit(0).alias("_age"), ROW_ORDER)
+    piece = F.pmod(F.xxhash64("complaint_id", F.lit("piece")), F.lit(PIECES))
+    by_piece = (PART, "_piece")
+    pieces = (
+        held.unionByName(fresh)
+        .withColumns({PART: bucket_of(buckets).cast("string"), "_piece": piece})
+        .repartition(*by_piece)
+    )
+    newest = first_rows(pieces, [*by_piece, "complaint_id"], [F.col("_age").asc(), F.col(ROW_ORDER).asc()])
+    return with_companies(newest, keep=(PART,))
+
+
 def _brands() -> list[str]:
     return sorted({brand for _, brand, _ in registry_entries(COMPANY_REGISTRY).values()})
 
@@ -390,22 +416,16 @@ def apply_batch(
     whole table into buckets. With a ``tolerance`` the profiles of the new and the current table are
     compared after the write, and a breach leaves the current generation as it is.
     """
-    checked = clean(arriving).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(is_invalid()).alias("invalid")
-    ).first()
-    if checked["invalid"]:
-        raise ValueError(f"{checked['invalid']} of {checked['rows']} arriving rows are no canonical records")
     base = current_folder(spark, silver_root)
     before = report_of(spark, base)
     listed = parts_of(spark, base, TABLE)
     buckets = before.get("buckets", buckets)
-    fresh = cut_lineage(canonical_arrivals(arriving))
+    checked, hit = _checked(arriving, buckets)
     if listed is None:
         touched, held = None, read_table(spark, base, TABLE)
         profile = table_profile(held.select(*SILVER_COLUMNS)) if tolerance is not None else None
     else:
-        hit = fresh.select(bucket_of(buckets).cast("string").alias("bucket")).distinct()
-        touched = frozenset(row["bucket"] for row in hit.collect())
+        touched = hit
         held = read_parts(spark, base, TABLE, touched)
         profile = listed_profile(spark, listed)
 
@@ -424,12 +444,56 @@ def apply_batch(
             "drift": moved,
         }
 
-    table = PartTable(
-        merge(held, fresh), bucket_of(buckets), touched, silver_figures(), ("date_received", "complaint_id")
-    )
+    table = _bucket_table(held, clean(arriving), buckets, touched)
     return publish_parts(spark, silver_root, {TABLE: table}, report, base=base)
 
 
+def _checked(arriving: DataFrame, buckets: int) -> tuple[dict[str, int], frozenset[str]]:
+    """Counts of raw rows and the buckets they fall into, one row a bucket; invalid rows are refused."""
+    invalid = F.count_if(is_invalid()).alias("invalid")
+    by_bucket = clean(arriving).groupBy(bucket_of(buckets).cast("string").alias("bucket"))
+    found = by_bucket.agg(F.count(F.lit(1)).alias("rows"), invalid).collect()
+    checked = {name: sum(row[name] for row in found) for name in ("rows", "invalid")}
+    if checked["invalid"]:
+        raise ValueError(f"{checked['invalid']} of {checked['rows']} arriving rows are no canonical records")
+    return checked, frozenset(row["bucket"] for row in found)
+
+
+def _bucket_table(
+    held: DataFrame, cleaned: DataFrame, buckets: int, touched: frozenset[str] | None
+) -> PartTable:
+    rows = in_buckets(held, cleaned, buckets)
+    order = ("date_received", "complaint_id")
+    return PartTable(rows, F.col(PART), touched, silver_figures(), order, dealt=True)
+
+
+def build_buckets(
+    spark: SparkSession, silver_root: str, rows: DataFrame, buckets: int = BUCKETS
+) -> dict[str, Any]:
+    """Publish silver of raw rows, dealt into buckets as it is made.
+
+    Invalid rows are counted in the write and refuse the generation; a task that runs again may count
+    some twice, which changes nothing.
+    """
+    seen = Observation()
+    none = spark.createDataFrame([], silver_table(rows).schema)
+    cleaned = clean(rows).observe(seen, F.count_if(is_invalid()).alias("invalid"))
+
+    def report(parts: Parts) -> dict[str, Any]:
+        new = parts[TABLE]
+        if invalid := seen.get["invalid"]:
+            raise ValueError(f"source contains {invalid} invalid records")
+        return {
+            "silver_rows": total(new),
+            "invalid_rows": 0,
+            "null_counts": {n: c for n in SILVER_COLUMNS if (c := total(new, f"null:{n}"))},
+            "brand_alias_counts": {b: c for b in _brands() if (c := total(new, f"brand:{b}"))},
+            "buckets": buckets,
+        }
+
+    return publish_parts(spark, silver_root, {TABLE: _bucket_table(none, cleaned, buckets, None)}, report)
+
+
 def refresh_all(
     spark: SparkSession,
     silver_root: str,

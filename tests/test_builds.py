@@ -314,3 +314,23 @@ def test_order_lines_move_once_for_each_of_their_keys(spark):
     blocks = plan.split("\n\n")
     moved = [x for x in blocks if ") Exchange\n" in x and "l_extendedprice#" in x]
     assert len(moved) == 3
+
+
+def test_a_batch_reaches_its_buckets_by_one_exchange(spark):
+    from docket_spark.plans.silver import clean, silver_table
+    from docket_spark.sources import testdata
+    from docket_spark.streaming import refresh
+
+    lines = testdata.raw_complaints(spark, "/root/testdata/sf0.001").localCheckpoint()
+    number = lines["complaint_id"].cast("long")
+    old = silver_table(lines.where(number % 3 != 0).withColumn("tags", lines["state"])).localCheckpoint()
+    late = lines.where(number % 2 == 0)
+    late = late.unionByName(late.limit(50)).localCheckpoint()
+    dealt = refresh.in_buckets(old, clean(late), 4)
+    expected = refresh.merge(old, refresh.canonical_arrivals(late))
+    found = dealt.drop("_part")
+    assert found.count() == expected.count() > 0
+    assert found.exceptAll(expected).isEmpty()
+    assert {row["_part"] for row in dealt.select("_part").distinct().collect()} == {"0", "1", "2", "3"}
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
