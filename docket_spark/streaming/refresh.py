@@ -1,7 +1,7 @@
 """Incremental refresh: new snapshots merged by complaint id, everything behind them brought up to date.
 
 Silver lies in id buckets, the metric tables in months, the narrative index in segments. A refresh reads
-and writes the buckets its complaints fall into, recomputes the months these complaints were and are in,
+and writes the buckets its complaints fall into, recomputes the months whose complaints differ,
 and embeds the narratives that are new or altered. Each table's report names the silver generation it was
 made from, so a refresh that died half way is made up for by the next one.
 
@@ -11,7 +11,7 @@ and stops. Its merge is the batch merge, so replaying a batch changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from datetime import UTC, date, datetime
 from typing import Any
 
@@ -27,7 +27,13 @@ from docket_spark.operators.profiling import null_profile
 from docket_spark.operators.ranking import first_rows
 from docket_spark.plans.bronze import utc_text
 from docket_spark.plans.companies import registry_entries
-from docket_spark.plans.gold import base_metrics, dated, from_base, metrics_from_complaints
+from docket_spark.plans.gold import (
+    base_metrics,
+    dated,
+    from_base,
+    metrics_from_complaints,
+    needed_columns,
+)
 from docket_spark.plans.index_segments import (
     GONE,
     LONGEST,
@@ -173,46 +179,71 @@ def buckets_since(spark: SparkSession, silver_root: str, source: str | None) ->
     return None if new is None or old is None else frozenset(changed_parts(old, new))
 
 
-def months_since(spark: SparkSession, silver_root: str, source: str | None) -> list[date] | None:
+def month_digests(silver: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How many rows every month has, and two digests of these columns of them, whatever their order.
+
+    An id is in one row only, so equal rows do not cancel out. A hash passes over NULLs, so which columns
+    are NULL is hashed too.
+    """
+    told = [*[F.col(name) for name in columns], *[F.col(name).isNull() for name in columns]]
+    digests = (F.bit_xor(F.xxhash64(*salt, *told)) for salt in ((), (F.lit("second"),)))
+    return dated(silver, columns).groupBy(MONTH).agg(F.array(F.count(F.lit(1)), *digests).alias("digest"))
+
+
+def months_since(
+    spark: SparkSession, silver_root: str, source: str | None, tables: Iterable[str] = METRIC_TABLES
+) -> list[date] | None:
     """Months whose metrics can differ between two silver generations, None if that cannot be told.
 
-    Only buckets that the generations do not share are read.
+    Only buckets that the generations do not share are read, and digests of their months compared, so that
+    no complaint is moved.
     """
     touched = buckets_since(spark, silver_root, source)
     if touched is None:
         return None
-    changes = changed_complaints(
-        read_parts(spark, folder_of(silver_root, source), TABLE, touched),
-        read_parts(spark, current_folder(spark, silver_root), TABLE, touched),
+    old, new = (
+        month_digests(read_parts(spark, folder, TABLE, touched), needed_columns(tables))
+        for folder in (folder_of(silver_root, source), current_folder(spark, silver_root))
     )
+    pairs = old.withColumnRenamed("digest", "before").join(new, MONTH, "full")
     # One row a month: a few hundred at most.
-    return sorted(row[MONTH] for row in affected_months(changes).collect())
+    return sorted(row[MONTH] for row in pairs.where(~F.col("before").eqNullSafe(F.col("digest"))).collect())
 
 
-def refresh_gold(spark: SparkSession, silver_root: str, root: str) -> dict[str, Any]:
+def refresh_gold(
+    spark: SparkSession, silver_root: str, root: str, only: Iterable[str] | None = None
+) -> dict[str, Any]:
     """Publish gold for current silver, recomputing the months that differ from those gold was made of.
 
     The base tables come from one scan of these months' complaints, the others add up the refreshed
     detail rows. All months are computed for the first gold in months, and where the difference between
-    two silver generations cannot be told.
+    two silver generations cannot be told. Gold in months keeps the tables it has: all, or those that its
+    first refresh named as ``only``.
     """
     require_separate(spark, silver_root, root)
     folder = current_folder(spark, silver_root)
     base = current_folder(spark, root) if has_current(spark, root) else None
     before = report_of(spark, base) if base else {}
+    held = before.get(LISTED)
+    wanted = set(only or held or METRIC_TABLES)
+    if unknown := wanted - set(METRIC_TABLES):
+        raise ValueError(f"no metric tables: {', '.join(sorted(unknown))}")
+    if held is not None and wanted != set(held):
+        raise ValueError(f"gold holds other tables: {', '.join(sorted(held))}")
+    names = [name for name in METRIC_TABLES if name in wanted]
     months = None
-    if LISTED in before:
-        months = months_since(spark, silver_root, before.get("source_generation"))
+    if held is not None:
+        months = months_since(spark, silver_root, before.get("source_generation"), names)
     silver = read_table(spark, folder, TABLE)
     rows = silver if months is None else silver.where(in_months(months))
-    metrics = cut_lineage(base_metrics(rows))
+    if len(names) == 1:
+        metrics = {name: metrics_from_complaints(rows, name) for name in names}
+    else:
+        shared = cut_lineage(base_metrics(rows, names))
+        metrics = {name: from_base(shared, name) for name in names}
     replaced = None if months is None else frozenset(str(month) for month in months)
-    tables = {
-        name: PartTable(
-            from_base(metrics, name), F.col(MONTH), replaced, {"complaints": F.sum("complaint_count")}
-        )
-        for name in METRIC_TABLES
-    }
+    figures = {"complaints": F.sum("complaint_count")}
+    tables = {name: PartTable(metrics[name], F.col(MONTH), replaced, figures) for name in names}
     listed = parts_of(spark, folder, TABLE)
     if listed is None:
         dated_rows = silver.where(F.col("date_received").isNotNull()).count()
@@ -228,7 +259,7 @@ def refresh_gold(spark: SparkSession, silver_root: str, root: str) -> dict[str,
             "source": silver_root,
             "source_generation": generation_of(folder),
             "dated_silver_rows": dated_rows,
-            "tables": list(METRIC_TABLES),
+            "tables": names,
             "refreshed_months": None if months is None else [str(month) for month in months],
         }
 
@@ -356,38 +387,47 @@ def in_buckets(existing: DataFrame, cleaned: DataFrame, buckets: int) -> DataFra
     """Silver rows after a batch, dealt to their buckets: the rows of ``merge`` from one exchange.
 
     ``existing`` are silver rows, ``cleaned`` the arriving ones. Both go to the pieces of their buckets once,
-    where the first arriving row of an id comes before the one that is there.
+    where the first arriving row of an id comes before the one that is there. Only columns that ``existing``
+    has are made and moved.
     """
-    names = [name for name in SILVER_COLUMNS if name not in ("company_key", "brand_name")]
+    columns = _silver_columns(existing)
+    names = [name for name in columns if name not in ("company_key", "brand_name")]
     place = cleaned.schema[ROW_ORDER].dataType
-    held = existing.select(*names, F.lit(1).alias("_age"), F.lit(None).cast(place).alias(ROW_ORDER))
-    fresh = readable(cleaned).select(*names, F.lit(0).alias("_age"), ROW_ORDER)
-    piece = F.pmod(F.xxhash64("complaint_id", F.lit("piece")), F.lit(PIECES))
-    by_piece = (PART, "_piece")
-    pieces = (
-        held.unionByName(fresh)
-        .withColumns({PART: bucket_of(buckets).cast("string"), "_piece": piece})
-        .repartition(*by_piece)
-    )
-    newest = first_rows(pieces, [*by_piece, "complaint_id"], [F.col("_age").asc(), F.col(ROW_ORDER).asc()])
-    return with_companies(newest, keep=(PART,))
+    held = existing.select(F.lit(1).alias("_age"), F.lit(None).cast(place).alias(ROW_ORDER), *names)
+    fresh = readable(cleaned).select(F.lit(0).alias("_age"), ROW_ORDER, *names)
+    # Bucket and piece follow from the id, so they are not moved with the rows.
+    bucket = bucket_of(buckets).cast("string")
+    by_piece = (bucket, F.pmod(F.xxhash64("complaint_id", F.lit("piece")), F.lit(PIECES)))
+    pieces = held.unionByName(fresh).repartition(*by_piece)
+    # Sorted by id first: the start of an id tells rows apart, that of a bucket hardly any.
+    newest = first_rows(pieces, ["complaint_id", *by_piece], [F.col("_age").asc(), F.col(ROW_ORDER).asc()])
+    return with_companies(newest.withColumn(PART, bucket), keep=(PART,), columns=columns)
+
+
+def _silver_columns(rows: DataFrame) -> list[str]:
+    return [name for name in SILVER_COLUMNS if name in rows.columns]
 
 
 def _brands() -> list[str]:
     return sorted({brand for _, brand, _ in registry_entries(COMPANY_REGISTRY).values()})
 
 
-def silver_figures() -> dict[str, Column]:
+def silver_figures(columns: Sequence[str] = SILVER_COLUMNS) -> dict[str, Column]:
     """What the report keeps of every bucket: narratives to index, NULLs by column, complaints by brand."""
-    nulls = {f"null:{name}": F.count_if(F.col(name).isNull()) for name in SILVER_COLUMNS}
-    texts = {"eligible": F.count_if(is_nonblank(F.col("consumer_complaint_narrative")))}
-    return texts | nulls | {f"brand:{b}": F.count_if(F.col("brand_name").eqNullSafe(F.lit(b))) for b in _brands()}
+    figures = {f"null:{name}": F.count_if(F.col(name).isNull()) for name in columns}
+    if "consumer_complaint_narrative" in columns:
+        figures["eligible"] = F.count_if(is_nonblank(F.col("consumer_complaint_narrative")))
+    if "brand_name" in columns:
+        figures |= {f"brand:{b}": F.count_if(F.col("brand_name").eqNullSafe(F.lit(b))) for b in _brands()}
+    return figures
 
 
-def listed_profile(spark: SparkSession, parts: dict[str, dict[str, Any]]) -> DataFrame:
+def listed_profile(
+    spark: SparkSession, parts: dict[str, dict[str, Any]], columns: Sequence[str] = SILVER_COLUMNS
+) -> DataFrame:
     """``table_profile`` of a silver table, from the figures of its buckets."""
     rows = [("row_count", "*", total(parts))]
-    for name in SILVER_COLUMNS:
+    for name in columns:
         rows.append(("column", name, 1))
         if nulls := total(parts, f"null:{name}"):
             rows.append(("null_count", name, nulls))
@@ -427,11 +467,13 @@ def apply_batch(
     else:
         touched = hit
         held = read_parts(spark, base, TABLE, touched)
-        profile = listed_profile(spark, listed)
+        profile = listed_profile(spark, listed, _silver_columns(held)) if tolerance is not None else None
 
     def report(parts: Parts) -> dict[str, Any]:
         new = parts[TABLE]
-        moved = gate(profile, listed_profile(spark, new), tolerance) if tolerance is not None else None
+        moved = None
+        if tolerance is not None:
+            moved = gate(profile, listed_profile(spark, new, _silver_columns(held)), tolerance)
         return {
             "silver_rows": total(new),
             "arrived_rows": checked["rows"],
@@ -464,19 +506,24 @@ def _bucket_table(
 ) -> PartTable:
     rows = in_buckets(held, cleaned, buckets)
     order = ("date_received", "complaint_id")
-    return PartTable(rows, F.col(PART), touched, silver_figures(), order, dealt=True)
+    return PartTable(rows, F.col(PART), touched, silver_figures(_silver_columns(rows)), order, dealt=True)
 
 
 def build_buckets(
-    spark: SparkSession, silver_root: str, rows: DataFrame, buckets: int = BUCKETS
+    spark: SparkSession,
+    silver_root: str,
+    rows: DataFrame,
+    buckets: int = BUCKETS,
+    columns: Sequence[str] = SILVER_COLUMNS,
 ) -> dict[str, Any]:
     """Publish silver of raw rows, dealt into buckets as it is made.
 
-    Invalid rows are counted in the write and refuse the generation; a task that runs again may count
+    Silver that serves certain metric tables only can be made of fewer ``columns``, which batches then
+    keep to. Every row is validated whole. Invalid rows are counted in the write and refuse the generation; a task that runs again may count
     some twice, which changes nothing.
     """
     seen = Observation()
-    none = spark.createDataFrame([], silver_table(rows).schema)
+    none = spark.createDataFrame([], silver_table(rows).select(*columns).schema)
     cleaned = clean(rows).observe(seen, F.count_if(is_invalid()).alias("invalid"))
 
     def report(parts: Parts) -> dict[str, Any]:

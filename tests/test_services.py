@@ -410,6 +410,66 @@ def test_gold_catches_up_after_a_refresh_that_died(spark, bucketed):
     assert_gold_is_that_of(spark, gold_root, read_current(spark, silver_root, "complaints"))
 
 
+def test_gold_of_one_table_takes_its_columns_only(spark, tmp_path):
+    table, (silver_root, gold_root) = "company_issue_month_metrics", (str(tmp_path / n) for n in ("silver", "gold"))
+    columns = gold.needed_columns([table])
+    refresh.build_buckets(spark, silver_root, many(spark, range(40)), 4, columns)
+    first = refresh.refresh_gold(spark, silver_root, gold_root, [table])
+    assert first["tables"] == [table] and first["refreshed_months"] is None
+    moved = many(spark, [3, 100], company="New", date_received="2025-09-09")
+    second = refresh.apply_batch(spark, silver_root, moved, tolerance=0.5)
+    assert second["silver_rows"] == 41 and not any(x["breached"] for x in second["drift"])
+    assert refresh.refresh_gold(spark, silver_root, gold_root)["refreshed_months"] == ["2025-04-01", "2025-09-01"]
+    assert sorted(read_current(spark, silver_root, "complaints").columns) == sorted(columns)
+    whole = silver.silver_table(many(spark, [i for i in range(40) if i != 3])).unionByName(silver.silver_table(moved))
+    full = gold.metrics_from_complaints(whole, table)
+    found = gold.read_metric_table(spark, current_folder(spark, gold_root), table)
+    assert sorted(rows(found.select(full.columns)), key=str) == sorted(rows(full), key=str)
+    for other in (["company_month_metrics"], [table, "company_month_metrics"]):
+        with pytest.raises(ValueError, match="gold holds other tables"):
+            refresh.refresh_gold(spark, silver_root, gold_root, other)
+    with pytest.raises(ValueError, match="no metric tables: nothing"):
+        refresh.refresh_gold(spark, silver_root, gold_root + "-new", ["nothing"])
+    # Rows are validated whole, in columns that are not kept too.
+    with pytest.raises(ValueError, match="1 invalid"):
+        refresh.build_buckets(spark, silver_root, many(spark, [1], date_sent_to_company="2025"), 4, columns)
+
+
+def test_a_value_that_moves_to_another_column_is_a_change(spark, bucketed):
+    silver_root, gold_root, _ = bucketed
+    for product, issue in (("x", None), (None, "x")):
+        refresh.apply_batch(spark, silver_root, many(spark, [1], product=product, issue=issue))
+        assert refresh.refresh_gold(spark, silver_root, gold_root)["refreshed_months"] == ["2025-02-01"]
+        assert_gold_is_that_of(spark, gold_root, read_current(spark, silver_root, "complaints"))
+
+
+def test_the_months_that_differ_are_found_without_moving_complaints(spark, bucketed):
+    complaints, columns = read_current(spark, bucketed[0], "complaints"), gold.needed_columns(METRIC_TABLES)
+    digests = refresh.month_digests(complaints, columns)
+    plan = digests._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange " in line]
+    assert len(moved) == 1 and "hashpartitioning(complaint_month" in moved[0] and "partial_count" in plan
+    assert sorted(rows(digests)) == sorted(rows(refresh.month_digests(complaints.repartition(5), columns)))
+    other = refresh.month_digests(complaints.withColumn("timely_response", F.lit(True)), columns)
+    assert digests.count() == 5 and digests.join(other, "digest").isEmpty()
+
+
+def test_a_refreshed_table_costs_the_same_whichever_was_asked_before(spark, monkeypatch):
+    from __spark_entry__ import queries
+
+    written, publish = [], refresh.publish_parts
+
+    def counting(spark, root, tables, *rest, **named):
+        written.append(sorted(tables))
+        return publish(spark, root, tables, *rest, **named)
+
+    monkeypatch.setattr(refresh, "publish_parts", counting)
+    for name in ("company_month_metrics", "product_month_metrics"):
+        written.clear()
+        assert queries()[f"inc_refreshed_{name}"](spark, "/root/testdata/sf0.001").count() > 0
+        assert written == [["complaints"], [name], ["complaints"], [name]]
+
+
 def test_stream_processes_arrivals_once(spark, built, tmp_path):
     inbox, checkpoint = str(tmp_path / "inbox"), str(tmp_path / "checkpoint")
     spark.createDataFrame(arrivals(), RAW_SCHEMA).coalesce(1).write.parquet(inbox)
