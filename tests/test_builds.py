@@ -334,3 +334,19 @@ def test_a_batch_reaches_its_buckets_by_one_exchange(spark):
     assert {row["_part"] for row in dealt.select("_part").distinct().collect()} == {"0", "1", "2", "3"}
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_bucket_and_piece_of_a_row_are_not_moved_with_it(spark):
+    from docket_spark.plans.silver import clean, silver_table
+    from docket_spark.sources import testdata
+    from docket_spark.streaming import refresh
+
+    lines = testdata.raw_complaints(spark, "/root/testdata/sf0.001").localCheckpoint()
+    dealt = refresh.in_buckets(silver_table(lines).limit(0), clean(lines), 4)
+    plan = spark._jvm.PythonSQLUtils.explainString(dealt._jdf.queryExecution(), "formatted").split("\n\n")
+    moved = [x for x in plan if ") Exchange\n" in x and "REPARTITION_BY_COL" in x]
+    assert len(moved) == 1 and "complaint_id#" in moved[0]
+    assert "_part#" not in moved[0] and "_piece#" not in moved[0]
+    # An id tells rows apart by its start, so it leads the sort.
+    sorts = [x for x in plan if ") Sort" in x and "_age#" in x]
+    assert sorts and all("Arguments: [complaint_id#" in x for x in sorts)
