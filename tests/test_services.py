@@ -435,6 +435,24 @@ def test_gold_of_one_table_takes_its_columns_only(spark, tmp_path):
         refresh.build_buckets(spark, silver_root, many(spark, [1], date_sent_to_company="2025"), 4, columns)
 
 
+def test_several_tables_are_refreshed_from_those_they_add_up(spark, tmp_path):
+    names = ["company_issue_month_metrics", "company_response_month_metrics"]
+    silver_root, gold_root = str(tmp_path / "silver"), str(tmp_path / "gold")
+    rest = dict(issue="late", company_response_to_consumer="Closed", state="CA")
+    # One is added up from the detail table, which is not among them.
+    columns = gold.needed_columns([gold.DETAIL, *names])
+    refresh.build_buckets(spark, silver_root, many(spark, range(20), **rest), 4, columns)
+    assert refresh.refresh_gold(spark, silver_root, gold_root, names)["tables"] == names
+    refresh.apply_batch(spark, silver_root, many(spark, [5, 50], **rest | {"issue": "fees"}))
+    report = refresh.refresh_gold(spark, silver_root, gold_root)
+    assert sorted(report["parts"]) == names and report["refreshed_months"] == ["2025-01-01"]
+    complaints = read_current(spark, silver_root, "complaints")
+    for name in names:
+        full = gold.metrics_from_complaints(complaints, name)
+        found = gold.read_metric_table(spark, current_folder(spark, gold_root), name).select(full.columns)
+        assert sorted(rows(found), key=str) == sorted(rows(full), key=str)
+
+
 def test_a_value_that_moves_to_another_column_is_a_change(spark, bucketed):
     silver_root, gold_root, _ = bucketed
     for product, issue in (("x", None), (None, "x")):
