@@ -350,3 +350,15 @@ def test_bucket_and_piece_of_a_row_are_not_moved_with_it(spark):
     # An id tells rows apart by its start, so it leads the sort.
     sorts = [x for x in plan if ") Sort" in x and "_age#" in x]
     assert sorts and all("Arguments: [complaint_id#" in x for x in sorts)
+
+
+def test_a_table_is_made_of_its_own_columns(spark, landed, tmp_path):
+    silver.rebuild_silver(spark, landed(SILVER_SOURCE), str(tmp_path / "silver"))
+    complaints = read_current(spark, str(tmp_path / "silver"), "complaints")
+    for name, dimensions in METRIC_TABLES.items():
+        needed = gold.needed_columns([name])
+        assert {*needed} == {"complaint_id", "date_received", "timely_response", *dimensions} - {"complaint_month"}
+        narrow = gold.metrics_from_complaints(complaints.select(*needed), name)
+        assert sorted(rows(narrow), key=str) == sorted(rows(gold.metrics_from_complaints(complaints, name)), key=str)
+        with pytest.raises(ValueError):
+            gold.metrics_from_complaints(complaints.select(*needed[:-1]), name)
