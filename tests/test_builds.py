@@ -291,6 +291,52 @@ def test_long_files_are_digested_in_ranges_whatever_the_split(spark, tmp_path):
     assert bronze.combined_digest(file_digests(spark, str(folder), whole=1000))
 
 
+def test_files_too_long_for_a_value_pass_through_their_digest(spark, tmp_path):
+    import gzip
+    import hashlib
+    import random
+
+    draw = random.Random(9)
+    folder = tmp_path / "files"
+    folder.mkdir()
+    text = b"".join(b"row %d,\xc3\xa4\r\n" % k for k in range(3_000))
+    data = {
+        "random bytes.bin": draw.randbytes(150_000),
+        "ends+with feeds.bin": draw.randbytes(20_000) + b"\n\n\n",
+        "text.csv": text,
+        "marked.csv": b"\xef\xbb\xbf" + text,
+        "marked once.csv": b"\xef\xbb\xbf" + text[:-1],
+        "one line.json": b"x" * 30_000,
+        "packed.csv.gz": gzip.compress(draw.randbytes(9_000) + text),
+        "short.txt": b"a\nb",
+        "long.bin": draw.randbytes(300_000),
+    }
+    for name, content in data.items():
+        (folder / name).write_bytes(content)
+    want = {name: hashlib.sha256(c).hexdigest() for name, c in data.items()} | {"long.bin": plain_tree(data["long.bin"], 4096)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("128m", "7000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            found = file_digests(spark, str(folder), whole=200_000, chunk=4096, value=1000)
+            assert {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Contents are read of no file but the short and the packed ones.
+    plan, opened = found._jdf.queryExecution().executedPlan().toString(), 0
+    todo = [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        if "binaryFile" in node.nodeName() and "content#" in node.simpleString(1000):
+            opened += node.metrics().get("numFiles").get().value()
+        if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert "MapInArrow" in plan and opened == 2
+
+
 def test_a_snapshot_above_the_limit_of_one_value_lands(spark, tmp_path, monkeypatch):
     from docket_spark.sources import complaints
 
