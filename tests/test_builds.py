@@ -408,3 +408,36 @@ def test_a_table_is_made_of_its_own_columns(spark, landed, tmp_path):
         assert sorted(rows(narrow), key=str) == sorted(rows(gold.metrics_from_complaints(complaints, name)), key=str)
         with pytest.raises(ValueError):
             gold.metrics_from_complaints(complaints.select(*needed[:-1]), name)
+
+
+def exchanges(spark, frame):
+    plan = spark._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted").split("\n\n")
+    return [x for x in plan if ") Exchange\n" in x]
+
+
+def placed_rows(spark):
+    """Cleaned rows with repeated ids, shared places, rows without an id, and texts of all kinds."""
+    texts = [None, "", "a,b", "\u00e4\u4e2d \U0001f600", "x" * 300, '"quoted"\n', "0"]
+    entries = []
+    for i in range(60):
+        complaint = None if i % 11 == 0 else str(i % 23)
+        place = (i % 23, 0) if i >= 56 else (i // 7, i)
+        values = {name: texts[(i * k) % 7] for k, name in enumerate(silver.SOURCE_COLUMNS, 1)}
+        entries.append((*raw_row(**{**values, "complaint_id": complaint}), place))
+    schema = f"{RAW_SCHEMA}, {ROW_ORDER} struct<day: int, line: int>"
+    rows_ = spark.createDataFrame([*entries, entries[1], entries[11]], schema)
+    # Bytes that are no text stay what they are.
+    odd = F.unhex(F.lit("FF41C3")).cast("string")
+    return rows_.withColumn("issue", F.when(F.col(f"{ROW_ORDER}.line") % 5 == 0, odd).otherwise(F.col("issue")))
+
+
+def test_kept_rows_come_from_one_scan_and_one_exchange(spark):
+    cleaned = placed_rows(spark)
+    as_bytes = lambda f: f.withColumns({n: F.hex(n) for n in silver.SOURCE_COLUMNS})
+    kept = silver.kept_rows(cleaned)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan ExistingRDD") == len(exchanges(spark, kept)) == 1
+    expected = silver.kept_rows(cleaned, silver.superseded(cleaned))
+    assert kept.schema == cleaned.schema
+    found = sorted(rows(as_bytes(kept)), key=str)
+    assert found == sorted(rows(as_bytes(expected)), key=str) and 23 < len(found) < 62
