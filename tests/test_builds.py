@@ -441,3 +441,13 @@ def test_kept_rows_come_from_one_scan_and_one_exchange(spark):
     assert kept.schema == cleaned.schema
     found = sorted(rows(as_bytes(kept)), key=str)
     assert found == sorted(rows(as_bytes(expected)), key=str) and 23 < len(found) < 62
+
+
+def test_totals_are_reconciled_by_one_scan(spark):
+    complaints = spark.createDataFrame(GOLD_SOURCE, GOLD_SCHEMA)
+    checked = gold.reconciliation(complaints)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "ubquery" not in plan
+    many = sum(row[GOLD_SCHEMA.split(", ").index("date_received date")] is not None for row in GOLD_SOURCE)
+    assert sorted(rows(checked)) == sorted((name, many, True) for name in METRIC_TABLES)
+    assert rows(gold.reconciliation(complaints.where("date_received IS NULL"))) == []
