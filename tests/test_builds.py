@@ -451,3 +451,36 @@ def test_totals_are_reconciled_by_one_scan(spark):
     many = sum(row[GOLD_SCHEMA.split(", ").index("date_received date")] is not None for row in GOLD_SOURCE)
     assert sorted(rows(checked)) == sorted((name, many, True) for name in METRIC_TABLES)
     assert rows(gold.reconciliation(complaints.where("date_received IS NULL"))) == []
+
+
+def test_names_of_few_suppliers_are_moved_with_no_line(spark, monkeypatch):
+    from docket_spark.sources import testdata
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        few = testdata.raw_complaints(spark, "/root/testdata/sf0.001")
+        monkeypatch.setattr(testdata, "SMALL", 100)
+        many = testdata.raw_complaints(spark, "/root/testdata/sf0.001")
+        moved = [[x for x in exchanges(spark, lines) if "l_extendedprice#" in x] for lines in (few, many)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(moved[0]) == 2 and not any("s_name#" in x for x in moved[0])
+    # Many meet the lines before these carry the texts of their parts.
+    assert len(moved[1]) == 3 and [("s_name#" in x, "p_name#" in x) for x in moved[1]].count((True, False)) == 1
+    assert few.count() == many.count() > 0 and few.exceptAll(many).isEmpty()
+
+
+def test_silver_of_named_columns_moves_these_and_a_digest(spark):
+    raw = placed_rows(spark).withColumn("company", F.concat(F.lit("No. "), "complaint_id", F.lit(", Inc.")))
+    raw = raw.dropDuplicates(["complaint_id", ROW_ORDER]).localCheckpoint()
+    whole = silver.silver_table(raw)
+    columns = ["complaint_id", "company", "issue", "state", "date_received", "timely_response"]
+    narrow = silver.silver_table(raw, columns=columns, digest=True)
+    expected = whole.select(*columns, F.xxhash64(*silver.SILVER_COLUMNS).alias(silver.DIGEST))
+    assert narrow.schema == expected.schema
+    (moved,) = exchanges(spark, narrow)
+    assert sorted(rows(narrow), key=str) == sorted(rows(expected), key=str)
+    assert "_texts#" in moved and "company#" not in moved and "tags#" not in moved
+    with pytest.raises(ValueError):
+        silver.silver_table(raw, [F.col("issue")], columns=columns)
