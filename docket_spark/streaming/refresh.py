@@ -68,6 +68,7 @@ from docket_spark.plans.publish import (
 )
 from docket_spark.plans.retrieval import eligible, index_rows
 from docket_spark.plans.silver import (
+    DIGEST,
     SILVER_COLUMNS,
     TABLE,
     clean,
@@ -88,9 +89,9 @@ class DriftRefused(RuntimeError):
     """A generation whose profile moved too far from its predecessor's."""
 
 
-def canonical_arrivals(arriving: DataFrame) -> DataFrame:
-    """Typed rows of an arriving snapshot, one per complaint id."""
-    return silver_table(arriving)
+def canonical_arrivals(arriving: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Typed rows of an arriving snapshot, one per complaint id; of named columns, with a digest of all."""
+    return silver_table(arriving, columns=columns, digest=columns is not None)
 
 
 def merge(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -98,17 +99,20 @@ def merge(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 
     ``existing`` and ``fresh`` are silver rows, each with one row per id. The existing side only
     loses the ids that arrived again, so when those are few it is filtered where it lies and never
-    shuffled.
+    shuffled. Only silver columns that ``existing`` has are taken.
     """
+    columns = _silver_columns(existing)
     kept = existing.join(fresh.select("complaint_id"), "complaint_id", "left_anti")
-    return kept.select(*SILVER_COLUMNS).unionByName(fresh.select(*SILVER_COLUMNS))
+    return kept.select(*columns).unionByName(fresh.select(*columns))
 
 
 def _digest(frame: DataFrame, side: str) -> DataFrame:
+    """Ids, months and digests of all columns, which rows that have fewer columns carry."""
+    digest = F.col(DIGEST) if DIGEST in frame.columns else F.xxhash64(*SILVER_COLUMNS)
     return frame.select(
         "complaint_id",
         F.trunc("date_received", "MM").alias(f"{side}_month"),
-        F.xxhash64(*SILVER_COLUMNS).alias(f"{side}_hash"),
+        digest.alias(f"{side}_hash"),
     )
 
 
@@ -146,7 +150,7 @@ def refreshed_metrics(
     old_table: DataFrame, new_silver: DataFrame, months: DataFrame, table: str
 ) -> DataFrame:
     """A metric table after refresh: affected months recomputed, all others as they were."""
-    touched = dated(new_silver).join(months, MONTH, "left_semi")
+    touched = dated(new_silver, needed_columns([table])).join(months, MONTH, "left_semi")
     return old_table.join(months, MONTH, "left_anti").unionByName(
         metrics_from_complaints(touched, table)
     )

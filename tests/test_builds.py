@@ -484,3 +484,27 @@ def test_silver_of_named_columns_moves_these_and_a_digest(spark):
     assert "_texts#" in moved and "company#" not in moved and "tags#" not in moved
     with pytest.raises(ValueError):
         silver.silver_table(raw, [F.col("issue")], columns=columns)
+
+
+def test_sides_of_a_refresh_are_made_once(spark):
+    import checks.refreshes  # noqa: F401
+    from checks.registry import QUERIES
+    from docket_spark.streaming import refresh
+
+    files = QUERIES["inc_refreshed_metrics"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/refresh-" in file for file in files)
+
+    raw = placed_rows(spark).dropDuplicates(["complaint_id", ROW_ORDER]).localCheckpoint()
+    columns = gold.needed_columns(["company_month_metrics"])
+    first, later = raw.where(f"{ROW_ORDER}.day < 5"), raw.where(f"{ROW_ORDER}.day >= 3")
+    late = later.withColumn("tags", F.when(F.col("complaint_id") == "7", F.lit("new")).otherwise(F.col("tags")))
+    old, fresh = silver.silver_table(first), refresh.canonical_arrivals(late)
+    old_, fresh_ = (
+        silver.silver_table(first, columns=columns, digest=True),
+        refresh.canonical_arrivals(late, columns),
+    )
+    for a, b in (
+        (refresh.merge(old, fresh).select(*sorted(columns)), refresh.merge(old_, fresh_).select(*sorted(columns))),
+        (refresh.changes_from_arrivals(old, fresh), refresh.changes_from_arrivals(old_, fresh_)),
+    ):
+        assert sorted(rows(a), key=str) == sorted(rows(b), key=str) != []
