@@ -417,7 +417,7 @@ def exchanges(spark, frame):
 
 def placed_rows(spark):
     """Cleaned rows with repeated ids, shared places, rows without an id, and texts of all kinds."""
-    texts = [None, "", "a,b", "\u00e4\u4e2d \U0001f600", "x" * 300, '"quoted"\n', "0"]
+    texts = [None, "", "a,b", "\u00e4\u4e2d \U0001f600", "x" * 40_000, '"quoted"\n', "0"]
     entries = []
     for i in range(60):
         complaint = None if i % 11 == 0 else str(i % 23)
